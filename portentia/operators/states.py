@@ -38,6 +38,38 @@ def median_row(medians: DataFrame, features: Iterable[str], prefix: str = "__med
     )
 
 
+def state_aggregates(
+    features: list[str], label: str, positive: str, impute: bool
+) -> list[Column]:
+    """Aggregates of one bucket. With ``impute``, sums and counts instead of means."""
+    aggs = [F.count(F.lit(1)).alias(FLOW_COUNT), F.avg(matches_label(label, positive)).alias(RATIO)]
+    for c in features:
+        if impute:
+            aggs += [F.sum(c).alias(f"__sum_{c}"), F.count(c).alias(f"__n_{c}")]
+        else:
+            aggs.append(F.avg(c).alias(c))
+    return aggs
+
+
+def imputed_means(features: list[str], fill: dict[str, Column]) -> dict[str, Column]:
+    """Bucket means in which every missing value counts as its fill value."""
+    rows = F.col(FLOW_COUNT)
+    out = {}
+    for c in features:
+        known, n = F.col(f"__sum_{c}"), F.col(f"__n_{c}")
+        filled = F.coalesce(known, F.lit(0.0)) + (rows - n) * fill[c]
+        out[c] = F.when(n == rows, known).otherwise(filled) / rows
+    return out
+
+
+def state_columns(
+    id_columns: list[str], features: list[str], ratio_threshold: float
+) -> list[Column]:
+    """The output columns of a state table, with the positive flag."""
+    flag = (F.col(RATIO) > F.lit(ratio_threshold)).cast("int").alias(POSITIVE)
+    return [*[F.col(c) for c in (*id_columns, *features, FLOW_COUNT, RATIO)], flag]
+
+
 def build_states(
     flows: DataFrame,
     features: Iterable[str],
@@ -55,39 +87,17 @@ def build_states(
     are applied to the far smaller result. Map-side partial aggregation absorbs hot buckets.
     """
     features = list(features)
-    aggs = [F.count(F.lit(1)).alias(FLOW_COUNT), F.avg(matches_label(label, positive)).alias(RATIO)]
-    for c in features:
-        if medians is None:
-            aggs.append(F.avg(c).alias(c))
-        else:
-            aggs += [F.sum(c).alias(f"__sum_{c}"), F.count(c).alias(f"__n_{c}")]
-    states = flows.groupBy(*tl.keys, tl.floor(time).alias(tl.time)).agg(*aggs)
+    states = flows.groupBy(*tl.keys, tl.floor(time).alias(tl.time)).agg(
+        *state_aggregates(features, label, positive, impute=medians is not None)
+    )
     if medians is not None:
         if isinstance(medians, dict):
             fill = {c: F.lit(medians.get(c)).cast("double") for c in features}
         else:
             states = with_row(states, median_row(medians, features))
             fill = {c: F.col(f"__median_{c}") for c in features}
-        states = states.withColumns(
-            {
-                c: F.when(F.col(f"__n_{c}") == F.col(FLOW_COUNT), F.col(f"__sum_{c}") / F.col(FLOW_COUNT))
-                .otherwise(
-                    (
-                        F.coalesce(F.col(f"__sum_{c}"), F.lit(0.0))
-                        + (F.col(FLOW_COUNT) - F.col(f"__n_{c}")) * fill[c]
-                    )
-                    / F.col(FLOW_COUNT)
-                )
-                for c in features
-            }
-        )
-    return states.select(
-        *tl.id,
-        *features,
-        FLOW_COUNT,
-        RATIO,
-        (F.col(RATIO) > F.lit(ratio_threshold)).cast("int").alias(POSITIVE),
-    )
+        states = states.withColumns(imputed_means(features, fill))
+    return states.select(*state_columns(tl.id, features, ratio_threshold))
 
 
 def fill_medians(df: DataFrame, features: Iterable[str], medians: DataFrame, last: float | None = None) -> DataFrame:

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from portentia.functions.columns import matches_label, ordinal, threshold_ratio
+from portentia.functions.columns import (
+    matches_label,
+    ordinal,
+    parse_day_first,
+    threshold_ratio,
+)
 from portentia.operators import anomaly as A
 from portentia.operators import campaigns as C
 from portentia.operators import evaluation as E
@@ -29,6 +34,7 @@ from portentia.operators.states import (
 from portentia.plans import fixture as X
 from portentia.runtime import stage
 from portentia.sources.flows import first_rows, in_time_range
+from portentia.timeline import Timeline, with_row_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,12 +55,15 @@ SNAPSHOT_TIME = "2024-01-15 12:00:00"
 
 
 def presentable(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six places, times without zone."""
+    """Doubles rounded to six places, times without zone.
+
+    The nudge makes exact half-way values round the same way on engines that differ in the last bit.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, 6)
+            c = F.round(c + F.lit(1e-9), 6)
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         out.append(c.alias(f.name))
@@ -139,8 +148,6 @@ def distinct_labels(spark, sf):
 
 def time_extent(spark, sf):
     raw = X.raw_text_flows(spark, sf)
-    from portentia.functions.columns import parse_day_first
-
     return Q.time_extent(raw.select(parse_day_first("Timestamp").alias("ts")), "ts")
 
 
@@ -209,8 +216,6 @@ def attack_periods(spark, sf):
 
 
 def index_blocks(spark, sf):
-    from portentia.timeline import with_row_index
-
     indexed = with_row_index(X.states(spark, sf).select(T0, POSITIVE), TL)
     return S.index_blocks(indexed, TL, F.col(POSITIVE) == 1)
 
@@ -571,6 +576,18 @@ def roc_auc(spark, sf):
     return by_mse.unionByName(by_risk)
 
 
+# Flagship
+
+
+def flagship(spark: SparkSession, sf_dir: str, tl: Timeline | None = None) -> DataFrame:
+    """Events to scored states with risk levels, end to end. Hourly buckets by default."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tl = tl or Timeline(bucket_seconds=3600)
+    scores = X.scores(X.states(spark, sf_dir, tl), tl)
+    columns = [T0, POSITIVE, "mse", "mae", *ANOMALY_COLUMNS, *RISK_COLUMNS]
+    return presentable(X.engine(scores, tl).select(*columns))
+
+
 BATCH: dict[str, Query] = {
     "scan_flows": scan_flows,
     "scan_pruned": scan_pruned,
