@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ from portentia.operators.sequences import sequences
 from portentia.operators.states import POSITIVE, RATIO
 from portentia.timeline import Timeline, over_blocks, unbroken
 
+# Task functions travel with their helpers, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Predictor = Callable[[np.ndarray], np.ndarray]
 
 METHODS = ("window_mean", "persistence")
@@ -139,8 +144,8 @@ def score_sequences(
             T.StructField("errors", T.ArrayType(T.DoubleType())),
         ]
     )
-    keys = list(tl.keys)
-    names = [*keys, tl.time, "source_time", POSITIVE, "mse", "mae", "errors"]
+    keys, time = list(tl.keys), tl.time
+    names = [*keys, time, "source_time", POSITIVE, "mse", "mae", "errors"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +157,7 @@ def score_sequences(
             offsets = np.arange(0, err.size + 1, n_features, dtype=np.int32)
             columns = [batch.column(k) for k in keys] + [
                 batch.column("target_time"),
-                batch.column(tl.time),
+                batch.column(time),
                 batch.column("target_positive"),
                 pa.array((err**2).mean(axis=1)),
                 pa.array(err.mean(axis=1)),
