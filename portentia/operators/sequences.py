@@ -186,9 +186,13 @@ def positional_split(
 
 
 def stratified_split(df: DataFrame, label: str, row_id: Iterable[str], fraction: float = 0.8) -> DataFrame:
-    """Seedless random split per class by a hash of the row id: no shuffle, stable across runs."""
-    slot = F.pmod(F.xxhash64(F.col(label), *[F.col(c) for c in row_id]), F.lit(1_000_000))
-    return df.withColumn("split", F.when(slot < int(fraction * 1_000_000), "train").otherwise("test"))
+    """Split that is random within each class: a hash of class and row id decides.
+
+    Needs no shuffle, and the same row always lands on the same side.
+    """
+    text = F.concat_ws("|", F.col(label).cast("string"), *[F.col(c).cast("string") for c in row_id])
+    slot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return df.withColumn("split", F.when(slot < int(fraction * 2**32), "train").otherwise("test"))
 
 
 def is_time_ordered(df: DataFrame, tl: Timeline, row_id: str) -> DataFrame:

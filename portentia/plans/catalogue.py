@@ -231,8 +231,7 @@ def chrono_split(spark, sf):
 
 
 def stratified_split(spark, sf):
-    out = S.stratified_split(X.states(spark, sf), POSITIVE, [T0])
-    return out.groupBy(POSITIVE, "split").agg(F.count(F.lit(1)).alias("rows"))
+    return S.stratified_split(X.states(spark, sf), POSITIVE, [T0]).select(T0, POSITIVE, "split")
 
 
 def first_positive_states(spark, sf):

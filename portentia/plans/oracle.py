@@ -563,6 +563,9 @@ FINALS: dict[str, str] = {
     "positional_split": """SELECT time_window, row_index, CASE WHEN row_index >= 400 AND row_index < 700 THEN 'test'
         WHEN row_index >= 390 AND row_index < 710 THEN 'buffer' ELSE 'train' END AS split FROM checked""",
     "chrono_split": "SELECT time_window, CASE WHEN row_index < floor(0.8::DOUBLE * n_rows) THEN 'train' ELSE 'test' END AS split FROM checked",
+    "stratified_split": """SELECT time_window, is_positive, CASE WHEN
+        ('0x' || substr(md5(is_positive || '|' || CAST(time_window AS VARCHAR)), 1, 8))::BIGINT < 3435973836
+        THEN 'train' ELSE 'test' END AS split FROM states""",
     "first_positive_states": f"SELECT time_window, flow_count, {r('label_ratio')} FROM states WHERE is_positive = 1 ORDER BY time_window LIMIT 10",
     "class_weights": f"""SELECT is_positive, rows, {r('(sum(rows) OVER ())::DOUBLE / (count(*) OVER () * rows)', 'weight')}
         FROM (SELECT is_positive, count(*) AS rows FROM states GROUP BY 1) q""",
