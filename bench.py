@@ -62,9 +62,9 @@ def queries(spark):
             catalogue.TARGET_COLUMNS,
         ),
         "attack_periods": lambda: S.attack_periods(minute_states, MINUTE),
-        "evaluation_report": lambda: C.evaluation_report(engine(), X.campaigns(spark), MINUTE),
+        "evaluation_report": lambda: C.evaluation_report(stage(engine(), "bench"), X.campaigns(spark), MINUTE),
         "rollout": lambda: O.rollout_signals(
-            O.forecast_vectors(minute_states, MINUTE, X.STATE_FEATURES, scaler), MINUTE
+            O.forecast_paths(minute_states, MINUTE, X.STATE_FEATURES, scaler), MINUTE
         ),
         "rollout_evaluation": evaluation,
         "roc_auc": lambda: catalogue.roc_auc(spark, SF_DIR),

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from portentia.functions.columns import total
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it as often as ``body`` likes.
+
+    Array expressions are not shared between uses when the optimizer merges projections; a lambda
+    variable is.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def _fold(values: Column, term) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + term(v))
 
@@ -17,7 +28,7 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def mean_square(v: Column) -> Column:
-    return _fold(v, lambda x: x * x) / F.size(v)
+    return let(v, lambda u: _fold(u, lambda x: x * x) / F.size(u))
 
 
 def rms(v: Column) -> Column:
@@ -25,7 +36,7 @@ def rms(v: Column) -> Column:
 
 
 def mean_abs(v: Column) -> Column:
-    return _fold(v, F.abs) / F.size(v)
+    return let(v, lambda u: _fold(u, F.abs) / F.size(u))
 
 
 def max_abs(v: Column) -> Column:
@@ -52,7 +63,7 @@ def unscale(v: Column, mean: Column, std: Column) -> Column:
 def top_mean(v: Column, k: int) -> Column:
     """Mean of the ``k`` largest elements (all of them when the vector is shorter)."""
     best = F.slice(F.sort_array(v, asc=False), 1, k)
-    return _fold(best, lambda x: x) / F.size(best)
+    return let(best, lambda u: _fold(u, lambda x: x) / F.size(u))
 
 
 def ranked(v: Column, k: int) -> Column:

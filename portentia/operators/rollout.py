@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from portentia.functions import vectors as V
@@ -49,7 +49,7 @@ def _weights(rows: list[list[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(w) for w in row]) for row in rows])
 
 
-def forecast_vectors(
+def forecast_paths(
     states: DataFrame,
     tl: Timeline,
     features: Iterable[str],
@@ -58,12 +58,8 @@ def forecast_vectors(
     method: str = "window_mean",
     length: int = 10,
 ) -> DataFrame:
-    """Scaled forecasts (keys, time, step, target_time, predicted, previous) of all valid origins.
-
-    ``previous`` is the forecast one step earlier, or the last observed vector at step 1.
-    """
+    """One row per valid origin: the last observed vector and the ``path`` of scaled forecasts."""
     features = list(features)
-    f = len(features)
     scaled = scale_states(states, features, scaler)
 
     def build(w: WindowSpec) -> dict[str, Column]:
@@ -73,73 +69,95 @@ def forecast_vectors(
         }
 
     origins = over_blocks(scaled, tl, build, before=length - 1).filter("__ok")
-    rows = step_weights(method, steps, length)
-    last = [0.0] * (length - 1) + [1.0]
-    return (
-        origins.select(
-            *tl.id, "__x", F.posexplode(F.arrays_zip(
-                _weights(rows).alias("now"), _weights([last, *rows[:-1]]).alias("before")
-            )).alias("__i", "__w")
+    return origins.select(
+        *tl.id,
+        F.get("__x", F.lit(length - 1)).alias("last"),
+        F.transform(
+            _weights(step_weights(method, steps, length)),
+            lambda w: V.combine(w, F.col("__x"), len(features)),
+        ).alias("path"),
+    )
+
+
+def with_signals(paths: DataFrame, tl: Timeline) -> DataFrame:
+    """Add ``signals``: per step shock, deviation, change, stability and risk.
+
+    Everything about an origin is on its own row, so no step is brought back together by a shuffle.
+    """
+
+    def change(path: Column) -> Column:
+        previous = F.concat(F.array(F.col("last")), F.slice(path, 1, F.size(path) - 1))
+        return F.zip_with(path, previous, lambda p, s: V.rms(V.minus(p, s)))
+
+    def mean_after_first(shocks: Column) -> Column:
+        later = F.aggregate(shocks, F.lit(0.0), lambda acc, x: acc + x) - shocks[0]
+        return F.when(F.size(shocks) > 1, later / (F.size(shocks) - 1))
+
+    def step(i: Column, shock: Column, stability: Column, p: Column, deviation: Column) -> Column:
+        return F.struct(
+            (i + 1).cast("int").alias("step"),
+            tl.shift(tl.time, i + 1).alias("target_time"),
+            shock.alias("transition_shock"),
+            deviation.alias("future_state_deviation"),
+            V.mean_abs(p).alias("mean_abs_deviation"),
+            V.max_abs(p).alias("max_deviation"),
+            shock.alias("predicted_state_change"),
+            stability.alias("future_stability"),
+            (shock * RISK_SHOCK + deviation * RISK_DEVIATION).alias("simulation_risk"),
         )
-        .select(
-            *tl.id,
-            (F.col("__i") + 1).cast("int").alias("step"),
-            tl.shift(tl.time, F.col("__i") + 1).alias("target_time"),
-            V.combine(F.col("__w.now"), F.col("__x"), f).alias("predicted"),
-            V.combine(F.col("__w.before"), F.col("__x"), f).alias("previous"),
+
+    def signals(path: Column, shocks: Column, stability: Column) -> Column:
+        return F.transform(
+            path, lambda p, i: V.let(V.rms(p), lambda d: step(i, F.get(shocks, i), stability, p, d))
         )
+
+    return paths.withColumn(
+        "signals",
+        V.let(
+            F.col("path"),
+            lambda path: V.let(
+                change(path),
+                lambda shocks: V.let(
+                    mean_after_first(shocks), lambda stability: signals(path, shocks, stability)
+                ),
+            ),
+        ),
     )
 
 
-def rollout_signals(vectors: DataFrame, tl: Timeline) -> DataFrame:
-    """Shock, deviation, change, stability and risk of every origin and step."""
-    p, s = F.col("predicted"), F.col("previous")
-    base = vectors.select(
-        *tl.id,
-        "step",
-        "target_time",
-        V.rms(V.minus(p, s)).alias("transition_shock"),
-        V.rms(p).alias("future_state_deviation"),
-        V.mean_abs(p).alias("mean_abs_deviation"),
-        V.max_abs(p).alias("max_deviation"),
-    )
-    # One group per origin: at most MAX_STEPS rows.
-    origin = Window.partitionBy(*tl.id)
-    shock = F.col("transition_shock")
-    return base.withColumns(
-        {
-            "predicted_state_change": shock,
-            "future_stability": F.avg(F.when(F.col("step") > 1, shock)).over(origin),
-            "simulation_risk": shock * RISK_SHOCK + F.col("future_state_deviation") * RISK_DEVIATION,
-        }
-    )
+def rollout_signals(paths: DataFrame, tl: Timeline) -> DataFrame:
+    """One row per origin and step with the signals of that step."""
+    # The outer form keeps Spark from testing the array for emptiness, which would compute it twice.
+    return with_signals(paths, tl).select(*tl.id, F.inline_outer("signals"))
 
 
 def rollout_states(
-    vectors: DataFrame, tl: Timeline, features: Iterable[str], scaler: DataFrame
+    paths: DataFrame, tl: Timeline, features: Iterable[str], scaler: DataFrame
 ) -> DataFrame:
-    """Forecast states in original units, one column per feature."""
+    """Forecast states in original units, one row per origin and step, one column per feature."""
     features = list(features)
-    wide = with_row(vectors, scaler)
-    return wide.select(
+    exploded = paths.select(*tl.id, F.posexplode_outer("path").alias("__i", "__p"))
+    step = (F.col("__i") + 1).cast("int")
+    return with_row(exploded, scaler).select(
         *tl.id,
-        "step",
-        "target_time",
+        step.alias("step"),
+        tl.shift(tl.time, step).alias("target_time"),
         *[
-            (F.col("predicted")[i] * F.col(f"std_{c}") + F.col(f"mean_{c}")).alias(c)
+            (F.col("__p")[i] * F.col(f"std_{c}") + F.col(f"mean_{c}")).alias(c)
             for i, c in enumerate(features)
         ],
     )
 
 
-def rollout_trend(signals: DataFrame, tl: Timeline) -> DataFrame:
+def rollout_trend(paths: DataFrame, tl: Timeline) -> DataFrame:
     """Change of risk from the first to the last step of every origin, as a trend."""
-    ends = signals.groupBy(*tl.id).agg(
-        (F.max_by("simulation_risk", "step") - F.min_by("simulation_risk", "step")).alias("risk_change"),
-        F.count(F.lit(1)).alias("steps"),
+    change = V.let(
+        F.col("signals"),
+        lambda s: F.element_at(s, -1)["simulation_risk"] - F.element_at(s, 1)["simulation_risk"],
     )
+    ends = with_signals(paths, tl).select(*tl.id, F.explode(F.array(change)).alias("risk_change"))
     change = F.col("risk_change")
-    return ends.filter(F.col("steps") >= 2).withColumn(
+    return ends.withColumn(
         "trend",
         F.when(change > TREND_BAND, "INCREASING")
         .when(change < -TREND_BAND, "DECREASING")
@@ -192,6 +210,10 @@ def rollout_evaluation(
     origins = over_blocks(
         scaled, tl, build, before=length - 1, after=steps, rows=True
     ).filter(F.col("__ok") & (F.size("__future") == steps))
+    metrics = V.let(
+        V.minus(V.combine(F.col("__p.w"), F.col("__x"), f), F.col("__p.actual.v")),
+        lambda e: F.struct(V.mean_square(e).alias("mse"), V.mean_abs(e).alias("mae")),
+    )
     paired = (
         origins.select(
             *tl.id, "__x",
@@ -204,17 +226,12 @@ def rollout_evaluation(
         )
         .withColumn("step", (F.col("__i") + 1).cast("int"))
         .filter(F.col("__p.actual.t") == tl.shift(tl.time, F.col("step")))
-        .withColumn(
-            "__err",
-            V.minus(V.combine(F.col("__p.w"), F.col("__x"), f), F.col("__p.actual.v")),
-        )
         .select(
             *tl.id,
             "step",
             F.col("__p.actual.t").alias("target_time"),
-            V.mean_square(F.col("__err")).alias("mse"),
-            V.mean_abs(F.col("__err")).alias("mae"),
             F.col("__p.actual.positive").alias(POSITIVE),
+            F.inline(F.array(metrics)),
         )
     )
     return with_row(paired, baseline).select(

@@ -81,7 +81,8 @@ def two_decimals(c: Column) -> Column:
 
 
 def hits(terms: Iterable[str], text: Column) -> Column:
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    listed = F.array(*[F.lit(t) for t in terms])
+    return V.let(text, lambda known: F.filter(listed, lambda t: F.contains(known, t)))
 
 
 def top_feature_text(errors: Column, features: list[str], k: int = 10) -> Column:

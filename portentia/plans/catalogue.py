@@ -465,7 +465,8 @@ def normal_period(spark, sf):
 
 
 def signal_eval(spark, sf):
-    return C.evaluation_report(_engine(spark, sf), X.campaigns(spark), TL)
+    engine = stage(_engine(spark, sf).select(T0, POSITIVE, *RISK_COLUMNS), "engine")
+    return C.evaluation_report(engine, X.campaigns(spark), TL)
 
 
 def false_signals(spark, sf):
@@ -500,27 +501,26 @@ def attack_window(spark, sf):
 # Rollouts
 
 
-def _vectors(states, steps=15):
-    return O.forecast_vectors(states, TL, FEATURES, X.scaler(states), steps)
+def _paths(states, steps=15):
+    return O.forecast_paths(states, TL, FEATURES, X.scaler(states), steps)
 
 
 def rollout(spark, sf):
-    return O.rollout_signals(_vectors(X.states(spark, sf)), TL)
+    return O.rollout_signals(_paths(X.states(spark, sf)), TL)
 
 
 def rollout_states(spark, sf):
     states = X.states(spark, sf)
-    return O.rollout_states(_vectors(states, 5), TL, FEATURES, X.scaler(states))
+    return O.rollout_states(_paths(states, 5), TL, FEATURES, X.scaler(states))
 
 
 def rollout_trend(spark, sf):
-    signals = O.rollout_signals(_vectors(X.states(spark, sf)), TL)
-    return O.rollout_trend(signals, TL).select(T0, "risk_change", "trend")
+    return O.rollout_trend(_paths(X.states(spark, sf)), TL)
 
 
 def rollout_scenarios(spark, sf):
     """Origins before campaigns against origins of two calm days, as two appended scenarios."""
-    signals = O.rollout_signals(_vectors(X.states(spark, sf)), TL)
+    signals = O.rollout_signals(_paths(X.states(spark, sf)), TL)
     before = C.pre_attack_window(signals, X.campaigns(spark), TL, 10).withColumn(
         "scenario", F.concat(F.lit("pre-attack "), "campaign")
     )
