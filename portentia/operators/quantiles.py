@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portentia.functions.rows import with_row
+from portentia.runtime import stage
 
 def _long(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     def usable(c: str) -> Column:
@@ -59,52 +60,80 @@ def exact_quantiles(
     probs: Iterable[float],
     by: Iterable[str] = (),
     accuracy: int = 10_000,
+    bins: int = 256,
+    task_rows: int = 1_000_000,
 ) -> DataFrame:
     """Linear-interpolated quantiles as rows (by…, feature, prob, n, quantile).
 
     Two passes. The first is a bounded sketch per column that yields a value range with the exact
     quantile inside. The second counts what lies below the range and keeps value counts inside it
-    only, about ``8 / accuracy`` of the rows; both partially aggregated before the shuffle. Nulls
-    and NaN are ignored; a column without values gets a null quantile.
+    only, about ``8 / accuracy`` of the rows; both partially aggregated before the shuffle, and
+    written as a small table. If a column has more than ``task_rows`` distinct values left, they are
+    cut into bins of about equal size and only the bins that hold the wanted ranks are put in order.
+    Both passes run when the function is called. Nulls and NaN are ignored; a column without values
+    gets a null quantile.
     """
     columns, probs, by = list(columns), list(probs), list(by)
-    brackets = _brackets(df, columns, probs, by, accuracy)
     keys = [*by, "feature", "prob"]
-    # Without groups the bracket table has len(columns) * len(probs) rows, whatever the data size.
-    ranges = brackets if by else F.broadcast(brackets)
+
+    def fixed(side: DataFrame) -> DataFrame:
+        # Without groups: len(columns) * len(probs) rows (times at most `bins`), whatever the data.
+        return side if by else F.broadcast(side)
+
     slots = (
         _long(df, columns, by)
-        .join(ranges, [*by, "feature"])
+        .join(fixed(_brackets(df, columns, probs, by, accuracy)), [*by, "feature"])
         .filter(F.col("value").isNull() | (F.col("value") <= F.col("high")))
         .groupBy(*keys, F.when(F.col("value") >= F.col("low"), F.col("value")).alias("slot"))
         .agg(F.count("value").alias("cnt"), F.first("n").alias("n"))
     )
-    running = Window.partitionBy(*keys).orderBy(F.col("slot").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+    slots = stage(slots, "quantiles")
     position = F.col("prob") * (F.col("n") - 1)
     lower, upper = F.floor(position), F.ceil(position)
+    largest = slots.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= task_rows:
+        chosen = slots.withColumns({"__bin": F.lit(0), "__before": F.lit(0)})
+    else:
+        grid = [i / bins for i in range(1, bins)]
+        cuts = slots.groupBy(*keys).agg(F.percentile_approx("slot", grid, 10 * bins).alias("__cuts"))
+        place = F.size(F.filter("__cuts", lambda c: c < F.col("slot")))
+        binned = slots.join(fixed(cuts), keys).withColumn("__bin", F.coalesce(place, F.lit(0)))
+        earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+        wanted = (
+            binned.groupBy(*keys, "__bin")
+            .agg(F.sum("cnt").alias("__size"), F.max("n").alias("n"))
+            .withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+            .filter(
+                (F.col("n") == 0)
+                | ((F.col("__before") <= upper) & (F.col("__before") + F.col("__size") > lower))
+            )
+            .select(*keys, "__bin", "__before")
+        )
+        chosen = binned.drop("__cuts").join(fixed(wanted), [*keys, "__bin"])
+    inside = (
+        Window.partitionBy(*keys, "__bin")
+        .orderBy(F.col("slot").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     picked = (
-        slots.withColumn("upto", F.sum("cnt").over(running))
+        chosen.withColumn("upto", F.sum("cnt").over(inside) + F.col("__before"))
         .groupBy(*keys)
         .agg(
-            F.first("n").alias("n"),
+            F.max("n").alias("n"),
             F.coalesce(F.sum(F.when(F.col("slot").isNull(), F.col("cnt"))), F.lit(0)).alias("below"),
             F.min(F.when(F.col("upto") > lower, F.col("slot"))).alias("lo"),
             F.min(F.when(F.col("upto") > upper, F.col("slot"))).alias("hi"),
         )
     )
-    outside = (F.col("below") > lower) | F.col("lo").isNull() | F.col("hi").isNull()
+    missed = (F.col("below") > lower) | F.col("lo").isNull() | F.col("hi").isNull()
     quantile = F.when(
-        outside, F.raise_error(F.lit("quantile bracket missed; raise the accuracy")).cast("double")
+        missed, F.raise_error(F.lit("quantile bracket missed; raise the accuracy")).cast("double")
     ).otherwise(
         F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
             (upper - position) * F.col("lo") + (position - lower) * F.col("hi")
         )
     )
-    return picked.select(
-        *keys, "n", F.when(F.col("n") > 0, quantile).alias("quantile")
-    )
+    return picked.select(*keys, "n", F.when(F.col("n") > 0, quantile).alias("quantile"))
 
 
 def approximate_quantiles(

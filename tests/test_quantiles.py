@@ -17,15 +17,15 @@ from portentia.operators.quantiles import approximate_quantiles, exact_quantiles
 PROBS = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("accuracy", [100, 10_000])
-def test_exact_quantiles_with_a_hot_value(spark, accuracy):
-    """A third of the rows share one value; low accuracy makes the brackets narrow the data."""
+@pytest.mark.parametrize("accuracy, task_rows", [(100, 10**6), (10_000, 10**6), (100, 50), (10_000, 50)])
+def test_exact_quantiles_with_a_hot_value(spark, accuracy, task_rows):
+    """A third of the rows share one value; low accuracy narrows the ranges, few rows make bins."""
     n = 30_000
     df = spark.createDataFrame(_rows(n), "x double, y double, empty double")
     pdf = df.toPandas()
     got = {
         (r["feature"], r["prob"]): r["quantile"]
-        for r in exact_quantiles(df, ["x", "y", "empty"], PROBS, accuracy=accuracy).collect()
+        for r in exact_quantiles(df, ["x", "y", "empty"], PROBS, accuracy=accuracy, task_rows=task_rows).collect()
     }
     for c in ("x", "y"):
         for p in PROBS:
