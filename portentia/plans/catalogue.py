@@ -22,7 +22,7 @@ from portentia.operators import quality as Q
 from portentia.operators import risk as R
 from portentia.operators import rollout as O
 from portentia.operators import sequences as S
-from portentia.operators import stage as G
+from portentia.operators import snapshot as N
 from portentia.operators.scaling import scale_states, scaler_table
 from portentia.operators.states import (
     POSITIVE,
@@ -124,10 +124,13 @@ def missing_check(spark, sf):
 
 
 def time_range(spark, sf):
-    states = build_states(
-        X.flows(spark, sf), [], TL, X.LABEL, X.POSITIVE_LABEL, ratio_threshold=X.RATIO_THRESHOLD
+    """The bounds are bucket-aligned, so they are put on the raw column, where the scan can use them."""
+    events = in_time_range(
+        X.table(spark, sf, "events"), "2024-01-10 00:00:00", "2024-01-12 00:00:00", "ts"
+    )
+    return build_states(
+        X.typed_flows(events), [], TL, X.LABEL, X.POSITIVE_LABEL, ratio_threshold=X.RATIO_THRESHOLD
     )
-    return in_time_range(states, "2024-01-10 00:00:00", "2024-01-12 00:00:00")
 
 
 def label_counts(spark, sf):
@@ -325,7 +328,7 @@ def forecast_ordinal(spark, sf):
 
 
 def high_risk_events(spark, sf):
-    return _engine(spark, sf).filter(F.col("forecast_state") == "HIGH").select(
+    return N.risk_events(_engine(spark, sf), "HIGH").select(
         T0, "forecast_score", "forecast_reason"
     )
 
@@ -342,18 +345,7 @@ def latest_forecast(spark, sf):
 
 
 def forecast_summary(spark, sf):
-    state = F.col("forecast_state")
-    first_peak = F.struct(F.col("forecast_score"), -F.unix_timestamp(T0))
-    return _engine(spark, sf).agg(
-        F.count(F.lit(1)).alias("states"),
-        F.count_if(state == "LOW").alias("low"),
-        F.count_if(state == "MEDIUM").alias("medium"),
-        F.count_if(state == "HIGH").alias("high"),
-        F.avg("forecast_score").alias("mean_score"),
-        F.max("forecast_score").alias("max_score"),
-        F.max_by(T0, first_peak).alias("highest_score_time"),
-        F.max_by("forecast_state", first_peak).alias("highest_score_state"),
-    )
+    return N.forecast_summary(_engine(spark, sf), TL)
 
 
 def threshold_ratio_query(spark, sf):
@@ -387,10 +379,11 @@ def live_forecast(spark, sf):
     )
 
 
+TERMS = {"reconnaissance_terms": X.RECONNAISSANCE_TERMS, "command_terms": X.COMMAND_TERMS}
+
+
 def attack_stage(spark, sf):
-    engine = _engine(spark, sf)
-    staged = _staged(engine, k=3)
-    return staged.select(
+    return N.staged(_engine(spark, sf), FEATURES, 3, **TERMS).select(
         T0,
         F.col("stage.stage").alias("stage"),
         F.col("stage.confidence").alias("confidence"),
@@ -400,24 +393,13 @@ def attack_stage(spark, sf):
     )
 
 
-def _staged(engine, k):
-    return G.attack_stage(
-        engine,
-        G.top_feature_text(F.col("errors"), FEATURES, k),
-        reconnaissance_terms=X.RECONNAISSANCE_TERMS,
-        command_terms=X.COMMAND_TERMS,
-    )
-
-
 def snapshot(spark, sf):
     states = X.states(spark, sf)
-    engine = X.engine(X.scores(states)).drop("label_ratio")
-    joined = engine.join(states.select(T0, "label_ratio", "flow_count"), T0)
-    staged = P.with_top_feature(_staged(joined, k=3), FEATURES)
-    return staged.select(
+    table = N.snapshot_table(X.engine(X.scores(states)), states, TL, FEATURES, 3, **TERMS)
+    return table.select(
         T0, "mse", "mae", "flow_count", "label_ratio", POSITIVE, *RISK_COLUMNS,
         "top_feature",
-        G.top_feature_text(F.col("errors"), FEATURES, 3).alias("top_features"),
+        "top_features",
         F.col("stage.stage").alias("stage"),
         F.col("stage.confidence").alias("confidence"),
     )
@@ -426,11 +408,7 @@ def snapshot(spark, sf):
 def timeline_enriched(spark, sf):
     states = X.states(spark, sf)
     scores = X.scores(states)
-    engine = X.engine(scores).select(T0, "forecast_state", "forecast_score")
-    return (
-        engine.join(scores.select(T0, "mse", "mae"), T0, "left")
-        .join(states.select(T0, "flow_count", "label_ratio"), T0, "left")
-    )
+    return N.enriched_timeline(X.engine(scores), scores, states, TL)
 
 
 def state_diff(spark, sf):

@@ -128,9 +128,13 @@ def finite_features(df: DataFrame, features: Iterable[str]) -> DataFrame:
 def in_time_range(
     df: DataFrame, start: str, end: str, time: str = "time_window", closed: bool = False
 ) -> DataFrame:
-    """Rows with ``start <= time < end`` (or ``<= end`` when closed)."""
+    """Rows with ``start <= time < end`` (or ``<= end`` when closed).
+
+    The bounds take the type of the column, so the comparison reaches the scan.
+    """
     t = F.col(time)
-    lower, upper = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    kind = df.schema[time].dataType
+    lower, upper = F.lit(start).cast(kind), F.lit(end).cast(kind)
     return df.filter((t >= lower) & ((t <= upper) if closed else (t < upper)))
 
 
