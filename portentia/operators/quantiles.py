@@ -10,13 +10,45 @@ from pyspark.sql import functions as F
 from portentia.functions.rows import with_row
 from portentia.runtime import stage
 
-def _long(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    def usable(c: str) -> Column:
-        col = F.col(c).cast("double")
-        return F.when(~F.isnan(col), col)
+def _usable(c: str) -> Column:
+    col = F.col(c).cast("double")
+    return F.when(~F.isnan(col), col)
 
-    pairs = [F.struct(F.lit(c).alias("feature"), usable(c).alias("value")) for c in columns]
-    return df.select(*by, F.inline(F.array(*pairs)))
+
+def _value_counts(
+    df: DataFrame, columns: list[str], brackets: DataFrame, by: list[str]
+) -> tuple[DataFrame, int | None]:
+    """Counts per value inside the range of each column and probability, and in one below it.
+
+    Also the number of values per column if it is known (without groups).
+    """
+    if by:
+        pairs = [F.struct(F.lit(c).alias("feature"), _usable(c).alias("value")) for c in columns]
+        ranged = df.select(*by, F.inline(F.array(*pairs))).join(brackets, [*by, "feature"])
+        largest = None
+    else:
+        # len(columns) * len(probs) rows, whatever the data size; they become literals.
+        ranges = brackets.collect()
+        largest = max((r["n"] for r in ranges), default=0)
+        pairs = [
+            F.struct(
+                F.lit(r["feature"]).alias("feature"),
+                F.lit(r["prob"]).alias("prob"),
+                F.lit(r["n"]).alias("n"),
+                _usable(r["feature"]).alias("value"),
+                F.lit(r["low"]).alias("low"),
+                F.lit(r["high"]).alias("high"),
+            )
+            for r in ranges
+        ]
+        ranged = df.select(F.inline(F.array(*pairs)))
+    value = F.col("value")
+    counts = (
+        ranged.filter(value.isNull() | (value <= F.col("high")))
+        .groupBy(*by, "feature", "prob", F.when(value >= F.col("low"), value).alias("slot"))
+        .agg(F.count("value").alias("cnt"), F.first("n").alias("n"))
+    )
+    return counts, largest
 
 
 def _brackets(
@@ -25,15 +57,10 @@ def _brackets(
     """Per group, column and probability: a value range that surely holds the exact quantile."""
     margin = 4.0 / accuracy
     cuts = [c for p in probs for c in (max(p - margin, 0.0), min(p + margin, 1.0))]
-
-    def usable(c: str) -> Column:
-        col = F.col(c).cast("double")
-        return F.when(~F.isnan(col), col)
-
     aggs = []
     for i, c in enumerate(columns):
-        aggs.append(F.count(usable(c)).alias(f"__n{i}"))
-        aggs.append(F.percentile_approx(usable(c), cuts, accuracy).alias(f"__q{i}"))
+        aggs.append(F.count(_usable(c)).alias(f"__n{i}"))
+        aggs.append(F.percentile_approx(_usable(c), cuts, accuracy).alias(f"__q{i}"))
     grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     entries = []
     for i, c in enumerate(columns):
@@ -67,11 +94,11 @@ def exact_quantiles(
 
     Two passes. The first is a bounded sketch per column that yields a value range with the exact
     quantile inside. The second counts what lies below the range and keeps value counts inside it
-    only, about ``8 / accuracy`` of the rows; both partially aggregated before the shuffle, and
-    written as a small table. If a column has more than ``task_rows`` distinct values left, they are
-    cut into bins of about equal size and only the bins that hold the wanted ranks are put in order.
-    Both passes run when the function is called. Nulls and NaN are ignored; a column without values
-    gets a null quantile.
+    only, about ``8 / accuracy`` of the rows; both partially aggregated before the shuffle. If more
+    than ``task_rows`` distinct values of a column are left, they are written as a table, cut into
+    bins of about equal size, and only the bins that hold the wanted ranks are put in order.
+    The first pass runs when the function is called. Nulls and NaN are ignored; a column without
+    values gets a null quantile.
     """
     columns, probs, by = list(columns), list(probs), list(by)
     keys = [*by, "feature", "prob"]
@@ -80,18 +107,16 @@ def exact_quantiles(
         # Without groups: len(columns) * len(probs) rows (times at most `bins`), whatever the data.
         return side if by else F.broadcast(side)
 
-    slots = (
-        _long(df, columns, by)
-        .join(fixed(_brackets(df, columns, probs, by, accuracy)), [*by, "feature"])
-        .filter(F.col("value").isNull() | (F.col("value") <= F.col("high")))
-        .groupBy(*keys, F.when(F.col("value") >= F.col("low"), F.col("value")).alias("slot"))
-        .agg(F.count("value").alias("cnt"), F.first("n").alias("n"))
-    )
-    slots = stage(slots, "quantiles")
+    brackets = _brackets(df, columns, probs, by, accuracy)
+    slots, n = _value_counts(df, columns, brackets, by)
+    # Values inside a range: all of a short column, else its margins and the sketch's error.
+    held = None if n is None else n if n * 4.0 / accuracy < 4 else 12 * n / accuracy
     position = F.col("prob") * (F.col("n") - 1)
     lower, upper = F.floor(position), F.ceil(position)
-    largest = slots.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= task_rows:
+    if held is None or held > task_rows:
+        slots = stage(slots, "quantiles")
+        held = slots.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if held <= task_rows:
         chosen = slots.withColumns({"__bin": F.lit(0), "__before": F.lit(0)})
     else:
         grid = [i / bins for i in range(1, bins)]

@@ -17,7 +17,7 @@ from portentia.operators.quantiles import approximate_quantiles, exact_quantiles
 PROBS = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("accuracy, task_rows", [(100, 10**6), (10_000, 10**6), (100, 50), (10_000, 50)])
+@pytest.mark.parametrize("accuracy, task_rows", [(100, 10**6), (10_000, 10**6), (100, 50), (10_000, 5)])
 def test_exact_quantiles_with_a_hot_value(spark, accuracy, task_rows):
     """A third of the rows share one value; low accuracy narrows the ranges, few rows make bins."""
     n = 30_000
@@ -45,13 +45,14 @@ def _rows(n):
     ]
 
 
-def test_grouped_quantiles(spark):
+@pytest.mark.parametrize("task_rows", [10**6, 20])
+def test_grouped_quantiles(spark, task_rows):
     rng = random.Random(2)
     rows = [("g%d" % (i % 3), rng.random()) for i in range(900)]
     df = spark.createDataFrame(rows, "g string, v double")
     got = {
         (r["g"], r["prob"]): r["quantile"]
-        for r in exact_quantiles(df, ["v"], [0.25, 0.5], by=["g"]).collect()
+        for r in exact_quantiles(df, ["v"], [0.25, 0.5], by=["g"], task_rows=task_rows).collect()
     }
     for g in ("g0", "g1", "g2"):
         values = [v for k, v in rows if k == g]
