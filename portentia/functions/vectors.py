@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from portentia.functions.columns import total
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it as often as ``body`` likes.
@@ -98,8 +96,3 @@ def combine(weights: Column, sequence: Column, width: int) -> Column:
             lambda acc, x: acc + x,
         ),
     )
-
-
-def wide_mean(columns: list[Column]) -> Column:
-    """Mean across columns of one row, as flat arithmetic inside generated code."""
-    return total(columns) / F.lit(float(len(columns)))

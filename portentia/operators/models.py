@@ -72,7 +72,7 @@ def has_both_classes(df: DataFrame, label: str = "label") -> bool:
     return row["lo"] is not None and row["lo"] != row["hi"]
 
 
-def estimator(name: str, rows: int, trees: int = 300, iterations: int = 200, max_iter: int = 200):
+def estimator(name: str, rows: int, trees: int = 300, iterations: int = 200, max_iter: int = 2000):
     """The three classifier families. The logistic penalty is that of unit inverse strength."""
     common = {"featuresCol": "features", "labelCol": "label"}
     if name == "logistic":

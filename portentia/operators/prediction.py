@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portentia.functions import vectors as V
-from portentia.functions.columns import total
 from portentia.operators.scaling import scale_states, scaled, with_scaler
 from portentia.operators.sequences import sequences
 from portentia.operators.states import POSITIVE, RATIO
@@ -46,9 +45,8 @@ def score_states(
 ) -> DataFrame:
     """Scaled prediction error of every state that follows ``length`` gap-free states.
 
-    Features stay wide columns through the window and become vectors only in the output: the
-    moving statistics then run in one window operator, the metrics as flat arithmetic. Scaling is
-    linear, so errors are scaled after the prediction and the means cancel. Rows are stamped with
+    Features stay wide columns through the window, so the moving statistics run in one window
+    operator; the errors then become one vector and the metrics are taken from it. Scaling is linear, so errors are scaled after the prediction and the means cancel. Rows are stamped with
     the predicted minute (``stamp="target"``) or with the last input minute (``"source"``).
     """
     features = list(features)
@@ -61,14 +59,8 @@ def score_states(
 
     valid = over_blocks(states, tl, build, before=length).filter("__valid")
     wide = with_scaler(valid, scaler)
-    errors = [
-        F.abs((F.col(c) - F.col(f"__p_{c}")) / F.col(f"std_{c}")) for c in features
-    ]
-    predicted = [F.abs((F.col(f"__p_{c}") - F.col(f"mean_{c}")) / F.col(f"std_{c}")) for c in features]
-    actual = [F.abs(scaled(c)) for c in features]
-    wide = wide.withColumns({f"__e_{c}": e for c, e in zip(features, errors)})
-    es = [F.col(f"__e_{c}") for c in features]
-    n = F.lit(float(len(features)))
+    errors = [F.abs((F.col(c) - F.col(f"__p_{c}")) / F.col(f"std_{c}")) for c in features]
+    predicted = [(F.col(f"__p_{c}") - F.col(f"mean_{c}")) / F.col(f"std_{c}") for c in features]
     time = F.col(tl.time if stamp == "target" else "source_time")
     return wide.select(
         *tl.keys,
@@ -77,11 +69,19 @@ def score_states(
         F.col(tl.time).alias("target_time"),
         POSITIVE,
         RATIO,
-        (total([e * e for e in es]) / n).alias("mse"),
-        (total(es) / n).alias("mae"),
-        F.array(*es).alias("errors"),
-        (total(predicted) / n).alias("predicted_magnitude"),
-        (total(actual) / n).alias("actual_magnitude"),
+        F.inline(F.array(error_metrics(F.array(*errors)))),
+        V.mean_abs(F.array(*predicted)).alias("predicted_magnitude"),
+        V.mean_abs(F.array(*[scaled(c) for c in features])).alias("actual_magnitude"),
+    )
+
+
+def error_metrics(errors: Column) -> Column:
+    """Struct (mse, mae, errors) of a vector of absolute errors, which is built once."""
+    return V.let(
+        errors,
+        lambda e: F.struct(
+            V.mean_square(e).alias("mse"), V.mean_abs(e).alias("mae"), e.alias("errors")
+        ),
     )
 
 

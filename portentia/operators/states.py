@@ -1,4 +1,4 @@
-"""Flows to fixed-width states, with median imputation fused into the aggregate."""
+"""Flows to fixed-width states, with median imputation inside the aggregate."""
 
 from __future__ import annotations
 
@@ -39,27 +39,19 @@ def median_row(medians: DataFrame, features: Iterable[str], prefix: str = "__med
 
 
 def state_aggregates(
-    features: list[str], label: str, positive: str, impute: bool
+    features: list[str], label: str, positive: str, fill: dict[str, Column] | None
 ) -> list[Column]:
-    """Aggregates of one bucket. With ``impute``, sums and counts instead of means."""
+    """Aggregates of one bucket. A missing value counts as its fill value, or not at all."""
     aggs = [F.count(F.lit(1)).alias(FLOW_COUNT), F.avg(matches_label(label, positive)).alias(RATIO)]
     for c in features:
-        if impute:
-            aggs += [F.sum(c).alias(f"__sum_{c}"), F.count(c).alias(f"__n_{c}")]
-        else:
-            aggs.append(F.avg(c).alias(c))
+        # A sum per feature keeps a wide aggregate within what Spark compiles as one stage.
+        value = F.avg(c) if fill is None else F.sum(F.coalesce(F.col(c), fill[c])) / F.count(F.lit(1))
+        aggs.append(value.alias(c))
     return aggs
 
 
-def imputed_means(features: list[str], fill: dict[str, Column]) -> dict[str, Column]:
-    """Bucket means in which every missing value counts as its fill value."""
-    rows = F.col(FLOW_COUNT)
-    out = {}
-    for c in features:
-        known, n = F.col(f"__sum_{c}"), F.col(f"__n_{c}")
-        filled = F.coalesce(known, F.lit(0.0)) + (rows - n) * fill[c]
-        out[c] = F.when(n == rows, known).otherwise(filled) / rows
-    return out
+def literal_fill(features: list[str], medians: dict[str, float]) -> dict[str, Column]:
+    return {c: F.lit(medians.get(c)).cast("double") for c in features}
 
 
 def state_columns(
@@ -82,22 +74,22 @@ def build_states(
 ) -> DataFrame:
     """One row per (keys, bucket): feature means, flow count, positive ratio and flag.
 
-    With ``medians`` a missing value counts as the feature's median. The mean of the filled values
-    is ``(sum + missing * median) / rows``, so the flows are aggregated as they are and the medians
-    are applied to the far smaller result. Map-side partial aggregation absorbs hot buckets.
+    With ``medians`` a missing value counts as the feature's median. The medians enter the aggregate
+    as one scalar row, so the flows are read once for the states and joined with nothing. Map-side
+    partial aggregation absorbs hot buckets.
     """
     features = list(features)
-    states = flows.groupBy(*tl.keys, tl.floor(time).alias(tl.time)).agg(
-        *state_aggregates(features, label, positive, impute=medians is not None)
+    fill = None
+    if isinstance(medians, dict):
+        fill = literal_fill(features, medians)
+    elif medians is not None:
+        flows = with_row(flows, median_row(medians, features))
+        fill = {c: F.col(f"__median_{c}") for c in features}
+    return (
+        flows.groupBy(*tl.keys, tl.floor(time).alias(tl.time))
+        .agg(*state_aggregates(features, label, positive, fill))
+        .select(*state_columns(tl.id, features, ratio_threshold))
     )
-    if medians is not None:
-        if isinstance(medians, dict):
-            fill = {c: F.lit(medians.get(c)).cast("double") for c in features}
-        else:
-            states = with_row(states, median_row(medians, features))
-            fill = {c: F.col(f"__median_{c}") for c in features}
-        states = states.withColumns(imputed_means(features, fill))
-    return states.select(*state_columns(tl.id, features, ratio_threshold))
 
 
 def fill_medians(df: DataFrame, features: Iterable[str], medians: DataFrame, last: float | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The registered model queries. Forest and boosting run with fewer trees than the defaults."""
+"""The registered model queries. They run with fewer trees and iterations than the defaults."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from portentia.runtime import stage
 
 TREES = 20
 ITERATIONS = 10
+MAX_ITER = 50
 HALVES = (
     ("first half", "2024-01-01 00:00:00", "2024-01-15 23:45:00"),
     ("second half", "2024-01-16 00:00:00", "2024-01-30 23:45:00"),
@@ -48,7 +49,7 @@ def _horizon_report(spark, sf, name: str, **parameters) -> DataFrame:
 
 
 def horizon_logistic(spark, sf):
-    return _horizon_report(spark, sf, "logistic")
+    return _horizon_report(spark, sf, "logistic", max_iter=MAX_ITER)
 
 
 def horizon_forest(spark, sf):
@@ -61,13 +62,13 @@ def horizon_gbt(spark, sf):
 
 def model_coefficients(spark, sf):
     train = M.horizon_rows(_dataset(spark, sf), TL, "starts_within_10")
-    return M.coefficients(M.fit_horizon(stage(train, "horizon"), "logistic"), spark)
+    return M.coefficients(M.fit_horizon(stage(train, "horizon"), "logistic", max_iter=MAX_ITER), spark)
 
 
 def campaign_holdout(spark, sf):
     return M.campaign_holdout(
         _dataset(spark, sf), campaign_table(spark, HALVES), TL, (HALVES[0][0], HALVES[1][0]),
-        trees=TREES, iterations=ITERATIONS,
+        trees=TREES, iterations=ITERATIONS, max_iter=MAX_ITER,
     )
 
 
@@ -99,7 +100,9 @@ def sequence_classifier(spark, sf):
     out = None
     for name, split in splits.items():
         split = stage(split.select(*rows.columns, "split"), "split")
-        model = M.fit_sequence_classifier(split.filter(F.col("split") == "train"))
+        model = M.fit_sequence_classifier(
+            split.filter(F.col("split") == "train"), max_iter=MAX_ITER
+        )
         predicted = M.predict_sequences(model, split.filter(F.col("split") == "test"))
         report = M.evaluate(predicted).select(F.lit(name).alias("split"), "*")
         out = report if out is None else out.unionByName(report)

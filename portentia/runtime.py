@@ -11,12 +11,16 @@ _local_base: str | None = None
 
 
 def session(app: str = "portentia", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators rely on (UTC, AQE on)."""
+    """A session with the settings the operators rely on (UTC, AQE on).
+
+    State tables are wide: the field limit of code generation is raised above twice their width.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.codegen.maxFields", "500")
     )
     if master:
         builder = builder.master(master)

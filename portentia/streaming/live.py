@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from portentia.functions.columns import total
 from portentia.functions.vectors import arg_max_name
+from portentia.operators.prediction import error_metrics
 from portentia.operators.risk import LIVE_BASELINE_ROWS, live_forecast
 from portentia.operators.states import (
     FLOW_COUNT,
     POSITIVE,
     RATIO,
     build_states,
-    imputed_means,
+    literal_fill,
     state_aggregates,
     state_columns,
 )
@@ -68,15 +68,12 @@ def _closed_states(
     delay: str,
 ) -> DataFrame:
     require_columns(flows, [*tl.keys, time, label, *features])
-    states = (
+    fill = None if medians is None else literal_fill(features, medians)
+    return (
         flows.withWatermark(time, delay)
         .groupBy(*tl.keys, F.window(time, _seconds(tl.bucket_seconds)).alias(_BUCKET))
-        .agg(*state_aggregates(features, label, positive, impute=medians is not None))
+        .agg(*state_aggregates(features, label, positive, fill))
     )
-    if medians is not None:
-        fill = {c: F.lit(medians.get(c)).cast("double") for c in features}
-        states = states.withColumns(imputed_means(features, fill))
-    return states
 
 
 def stream_states(
@@ -182,23 +179,16 @@ def stream_scores(
             )
         ],
     )
-    errors = [
-        F.abs((F.col(c) - F.col(f"__p_{c}")) / F.lit(scaler[c][1])) for c in features
-    ]
-    wide = windows.filter(F.col("__states") == length + 1).withColumns(
-        {f"__e_{c}": e for c, e in zip(features, errors)}
+    errors = F.array(
+        *[F.abs((F.col(c) - F.col(f"__p_{c}")) / F.lit(scaler[c][1])) for c in features]
     )
-    es = [F.col(f"__e_{c}") for c in features]
-    n = F.lit(float(len(features)))
-    scored = wide.select(
+    scored = windows.filter(F.col("__states") == length + 1).select(
         *tl.keys,
         target_start.alias(tl.time),
         tl.shift(F.col("__span.end"), -2).alias("source_time"),
         POSITIVE,
         RATIO,
-        (total([e * e for e in es]) / n).alias("mse"),
-        (total(es) / n).alias("mae"),
-        F.array(*es).alias("errors"),
+        F.inline(F.array(error_metrics(errors))),
     )
     return scored.withColumns(
         {
