@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from portentia.functions.rows import with_row
@@ -22,33 +22,49 @@ def _value_counts(
 
     Also the number of values per column if it is known (without groups).
     """
+    value = F.col("value")
     if by:
         pairs = [F.struct(F.lit(c).alias("feature"), _usable(c).alias("value")) for c in columns]
         ranged = df.select(*by, F.inline(F.array(*pairs))).join(brackets, [*by, "feature"])
-        largest = None
-    else:
-        # len(columns) * len(probs) rows, whatever the data size; they become literals.
-        ranges = brackets.collect()
-        largest = max((r["n"] for r in ranges), default=0)
-        pairs = [
-            F.struct(
-                F.lit(r["feature"]).alias("feature"),
-                F.lit(r["prob"]).alias("prob"),
-                F.lit(r["n"]).alias("n"),
-                _usable(r["feature"]).alias("value"),
-                F.lit(r["low"]).alias("low"),
-                F.lit(r["high"]).alias("high"),
+        counts = (
+            ranged.filter(value.isNull() | (value <= F.col("high")))
+            .groupBy(*by, "feature", "prob", F.when(value >= F.col("low"), value).alias("slot"))
+            .agg(F.count("value").alias("cnt"), F.first("n").alias("n"))
+        )
+        return counts, None
+    # len(columns) * len(probs) rows, whatever the data size; they become literals.
+    ranges = brackets.collect()
+
+    def entry(r: Row, **fields: Column) -> Column:
+        fixed = {"feature": F.lit(r["feature"]), "prob": F.lit(r["prob"]), "n": F.lit(r["n"])}
+        return F.struct(*[c.alias(name) for name, c in {**fixed, **fields}.items()])
+
+    # One flat pass counts what lies below; the other unpivots only the few values in range.
+    below = df.agg(
+        *[F.count_if(_usable(r["feature"]) < r["low"]).alias(f"__b{i}") for i, r in enumerate(ranges)]
+    ).select(
+        F.inline(
+            F.array(
+                *[
+                    entry(r, slot=F.lit(None).cast("double"), cnt=F.col(f"__b{i}"))
+                    for i, r in enumerate(ranges)
+                ]
             )
-            for r in ranges
-        ]
-        ranged = df.select(F.inline(F.array(*pairs)))
-    value = F.col("value")
-    counts = (
-        ranged.filter(value.isNull() | (value <= F.col("high")))
-        .groupBy(*by, "feature", "prob", F.when(value >= F.col("low"), value).alias("slot"))
-        .agg(F.count("value").alias("cnt"), F.first("n").alias("n"))
+        )
+    )
+    in_range = [
+        F.when(
+            (_usable(r["feature"]) >= r["low"]) & (_usable(r["feature"]) <= r["high"]),
+            entry(r, slot=_usable(r["feature"])),
+        )
+        for r in ranges
+    ]
+    inside = (
+        df.select(F.inline(F.array_compact(F.array(*in_range))))
+        .groupBy("feature", "prob", "slot")
+        .agg(F.count(F.lit(1)).alias("cnt"), F.first("n").alias("n"))
     )
-    return counts, largest
+    return below.unionByName(inside), max(r["n"] for r in ranges)
 
 
 def _brackets(
@@ -92,9 +108,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles as rows (by…, feature, prob, n, quantile).
 
-    Two passes. The first is a bounded sketch per column that yields a value range with the exact
-    quantile inside. The second counts what lies below the range and keeps value counts inside it
-    only, about ``8 / accuracy`` of the rows; both partially aggregated before the shuffle. If more
+    The first pass is a bounded sketch per column that yields a value range with the exact quantile
+    inside. Then what lies below the range is counted, and value counts are kept inside it only,
+    about ``8 / accuracy`` of the rows; all partially aggregated before the shuffle. If more
     than ``task_rows`` distinct values of a column are left, they are written as a table, cut into
     bins of about equal size, and only the bins that hold the wanted ranks are put in order.
     The first pass runs when the function is called. Nulls and NaN are ignored; a column without
