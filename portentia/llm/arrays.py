@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at a time; keeps the working arrays of a task at a few tens of MB.
-SLICE_BYTES = 1 << 20
+#: Bytes of text handled at a time; keeps the working arrays of a task at about 20 MB.
+SLICE_BYTES = 1 << 18
 #: An odd 64-bit multiplier, its inverse modulo 2**64, and the constants of a 64-bit finaliser.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(size, base, dtype=U64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 8 * SLICE_BYTES:
+        if size <= 16 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 

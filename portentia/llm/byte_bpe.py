@@ -321,7 +321,7 @@ def _mapped(docs, path, pattern, text, names, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
         for batch in batches:
-            for at, end, _, _ in A.slices(batch.column(text), 4 * A.SLICE_BYTES):
+            for at, end, _, _ in A.slices(batch.column(text), 8 * A.SLICE_BYTES):
                 part = batch.slice(at, end - at)
                 made = [make(coder, x or "") for x in part.column(text).to_pylist()]
                 new = [pa.array([m[k] for m in made], pa.binary()) for k in range(len(names))]

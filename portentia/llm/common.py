@@ -12,6 +12,8 @@ TASK_BYTES = 24 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table. Texts are large rows: fewer of them go to Python at a time than Spark's default."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

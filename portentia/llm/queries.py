@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portentia.llm.common import keyed_text, read
+from portentia.runtime import run_dir
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,51 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm.repeats import remove_repeats
+
+    cut = remove_repeats(keyed_text(read(spark, sf_dir, "documents")))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select(
+        "doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from portentia.llm import token_files as T
+
+    path = run_dir(spark, "tokens")
+    T.write_tokens(keyed_text(read(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), path)
+    segments = T.read_segments(spark, path)
+    docs = T.documents(segments).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return T.with_starts(docs, segments).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm import sanitise as S
+
+    spans = S.find_spans(keyed_text(read(spark, sf_dir, "documents")))
+    base = F.array_join(F.concat(*[S.joined(k) for k in S.KINDS]), ",")
+    every = F.array_join(F.concat(*[S.joined(k) for k in (*S.KINDS, "term")]), ",")
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in S.KINDS]
+    return spans.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm.html_text import extract
+
+    pages = extract(read(spark, sf_dir, "pages"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
+    "op1_remove_repeats": op1_remove_repeats,
+    "op2_token_files": op2_token_files,
+    "op5_sanitise": op5_sanitise,
+    "op9_main_text": op9_main_text,
     "op4_quality_rules": op4_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
