@@ -65,6 +65,22 @@ def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm.pitman_yor import language_model
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    scores, model = language_model(keyed_text(read(spark, sf_dir, "documents")), held_out)
+    return scores.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(keyed_text(read(spark, sf_dir, "documents")), size=4)
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portentia.llm.html_text import extract
 
@@ -76,6 +92,8 @@ QUERIES = {
     "op1_remove_repeats": op1_remove_repeats,
     "op2_token_files": op2_token_files,
     "op5_sanitise": op5_sanitise,
+    "op6_pitman_yor": op6_pitman_yor,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_main_text": op9_main_text,
     "op4_quality_rules": op4_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
