@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from portentia.runtime import stage
 
@@ -19,7 +20,47 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document, or an earlier line, already holds nearly alike."""
+    from portentia.llm.line_dedup import without_duplicates
+
+    return without_duplicates(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    from portentia.llm.common import keyed_text
+    from portentia.llm.near_duplicates import near_duplicates
+
+    copies = near_duplicates(keyed_text(docs)).where("not kept").select(F.col("doc_id").alias("__copy"))
+    return docs.join(copies, docs["doc_id"].cast("long") == copies["__copy"], "left_anti")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    from portentia.llm.common import read
+    from portentia.llm.decontaminate import clean
+
+    return clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, as packed little-endian 32-bit integers, with their number."""
+    import public_tokenizers
+
+    from portentia.llm.byte_bpe import encode
+
+    coded = encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("byte_bpe", encoding_stage),
+]
 
 #: Cutoffs with binomial bounds, line and document similarity and the tokenizer are not expressible in SQL.
 ORACLE_SQL = None

@@ -95,6 +95,23 @@ def runs(flag: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(flag & ~after[1:]) + 1
 
 
+def lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number in the row, start and end of every \\n-split line that holds a word."""
+    breaks = np.flatnonzero(data == 10)
+    n = len(offs) - 1
+    counts = np.diff(np.searchsorted(breaks, offs)) + 1
+    row = np.repeat(np.arange(n), counts)
+    start = np.sort(np.concatenate([offs[:-1], breaks + 1]))
+    end = np.append(start[1:] - 1, len(data))
+    last = np.cumsum(counts) - 1
+    end[last] = offs[1:]
+    number = np.arange(len(row)) - np.repeat(last - counts + 1, counts)
+    solid = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(~SPACE[data], out=solid[1:])
+    worded = solid[end] > solid[start]
+    return row[worded], number[worded], start[worded], end[worded]
+
+
 def per_row(positions: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """How many of the sorted positions fall into each row."""
     return np.diff(np.searchsorted(positions, offs))

@@ -158,17 +158,23 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
                     names=["id", "s"],
                 )
 
-    sets = stage(held.mapInArrow(make, "id long, s binary").dropDuplicates(["id"]), "sets")
+    return same_sets(pairs, stage(held.mapInArrow(make, "id long, s binary").dropDuplicates(["id"]), "sets"), percent)
+
+
+def same_sets(pairs: DataFrame, sets: DataFrame, percent: int, unpack=lambda raw: np.frombuffer(raw, U64)) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; `sets` has (id, s), and `unpack` makes sorted hashes of s."""
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                u, v = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-                at = np.minimum(np.searchsorted(u, v), len(u) - 1)
-                shared = int((u[at] == v).sum())
-                keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
+            keep, last, u = [], None, np.zeros(0, U64)
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb")):
+                if a != last:
+                    last, u = a, unpack(x.as_py())
+                v = unpack(y.as_py())
+                at = np.minimum(np.searchsorted(u, v), max(0, len(u) - 1))
+                shared = int((u[at] == v).sum()) if len(u) else 0
+                keep.append(100 * shared >= percent * (len(u) + len(v) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")

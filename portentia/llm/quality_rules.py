@@ -66,24 +66,16 @@ def _counts(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.R
             inside = np.zeros(len(hashes) + 3, dtype=bool)
             for k in range(3):
                 inside[begin[twice] + k] = True
-            breaks = np.flatnonzero(data == 10)
-            line_start = np.sort(np.concatenate([offs[:-1], breaks + 1]))
-            line_row = np.repeat(np.arange(end - at), np.diff(np.searchsorted(breaks, offs)) + 1)
-            line_end = np.append(line_start[1:] - 1, len(data))
-            last = np.flatnonzero(np.append(line_row[1:] != line_row[:-1], True))
-            line_end[last] = offs[1:][line_row[last]]
-            solid = np.zeros(len(data) + 1, dtype=np.int64)
-            np.cumsum(~A.SPACE[data], out=solid[1:])
-            worded = solid[line_end] > solid[line_start]
-            line_hash = A.span_hash(A.prefix_sums(data), line_start[worded], line_end[worded])
-            _, later = A.repeated(line_row[worded], line_hash)
+            line_row, _, line_start, line_end = A.lines(data, offs)
+            line_hash = A.span_hash(A.prefix_sums(data), line_start, line_end)
+            _, later = A.repeated(line_row, line_hash)
             measured = [
                 n_words,
                 A.row_sums(A.characters(data) & ~A.SPACE[data], offs),
                 A.row_sums(SYMBOLS[data], offs),
-                np.bincount(line_row[worded][later], minlength=end - at),
+                np.bincount(line_row[later], minlength=end - at),
                 np.bincount(rows[inside[: len(rows)]], minlength=end - at),
-                np.bincount(line_row[worded], minlength=end - at),
+                np.bincount(line_row, minlength=end - at),
             ]
             columns = [batch.column(c).slice(at, end - at) for c in keep]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(m.astype(np.int64)) for m in measured], names=keep + NAMES)

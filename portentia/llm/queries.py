@@ -9,6 +9,12 @@ from portentia.llm.common import keyed_text, read
 from portentia.runtime import run_dir
 
 
+def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm.decontaminate import leaks
+
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portentia.llm.quality_rules import quality
 
@@ -81,6 +87,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(keyed_text(read(spark, sf_dir, "documents")), size=4)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm.line_dedup import removed_lines
+
+    return removed_lines(keyed_text(read(spark, sf_dir, "documents")))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portentia.llm.html_text import extract
 
@@ -94,7 +106,9 @@ QUERIES = {
     "op5_sanitise": op5_sanitise,
     "op6_pitman_yor": op6_pitman_yor,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_line_dedup": op8_line_dedup,
     "op9_main_text": op9_main_text,
+    "op3_leaks": op3_leaks,
     "op4_quality_rules": op4_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
