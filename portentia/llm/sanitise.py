@@ -30,7 +30,7 @@ WORD_GAP = r"[^\p{L}\p{M}\p{N}]+"
 #: Characters on each side of an entity in which words count as its terms.
 CONTEXT = 80
 #: Different contexts, conditional probability and bits from which a term discloses an entity.
-MIN_CONTEXTS, MIN_PROBABILITY, MIN_BITS = 4, 0.5, 8.0
+MIN_CONTEXTS, MIN_PROBABILITY, MIN_BITS = 4, 0.5, 6.0
 
 
 def digits(value: Column) -> Column:
