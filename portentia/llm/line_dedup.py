@@ -6,7 +6,7 @@ BANDS bands of BAND_ROWS values bring similar lines together; a pair counts only
 shingle sets, made from the lines' texts, reaches the threshold. Classes and links form components by distributed
 union-find, and of each component the first line (smallest doc_id, then line number) stays.
 
-Band lists are treated as near_duplicates treats its lists: every member meets the smallest first, later only members of
+Band lists are treated as near_duplicates treats its lists: every member meets the most central first, later only members of
 different components meet, pair by pair in short lists and in blocks in long ones; none is dropped. A pair at exactly
 80 percent is missed by all bands with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, under 0.001; closer pairs far less.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from portentia.llm import arrays as A
 from portentia.llm.common import components, partitions
-from portentia.llm.near_duplicates import K, SHORT, cross_pairs, in_blocks, same_sets, with_components
+from portentia.llm.near_duplicates import SHORT, cross_pairs, in_blocks, same_sets, several_components, star_pairs, with_components
 from portentia.runtime import stage
 
 SHINGLE = 8
@@ -157,7 +157,7 @@ def banded(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def meeting(table: pa.Table) -> pa.Table:
-    """(v, id, pivot, df) of the bands of one part in which several lines meet."""
+    """(v, id, df) of the bands of one part in which several lines meet."""
     pair = np.concatenate([np.frombuffer(p.as_py(), U64).reshape(-1, 2) for p in table.column("payload")])
     band, node = pair[:, 0], pair[:, 1].view(np.int64)
     order = np.lexsort((node, band))
@@ -167,11 +167,11 @@ def meeting(table: pa.Table) -> pa.Table:
     band, node = band[new], node[new]
     at = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
     counts = np.diff(np.append(at, len(band)))
-    df, pivot = np.repeat(counts, counts), np.repeat(node[at], counts)
+    df = np.repeat(counts, counts)
     several = df > 1
     return pa.table(
-        [pa.array(band[several].view(np.int64)), pa.array(node[several]), pa.array(pivot[several]), pa.array(df[several])],
-        names=["v", "id", "pivot", "df"],
+        [pa.array(band[several].view(np.int64)), pa.array(node[several]), pa.array(df[several])],
+        names=["v", "id", "df"],
     )
 
 
@@ -203,21 +203,15 @@ def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
 
 
-def line_sketches(texts: DataFrame) -> DataFrame:
-    """(id, n, sketch) of lines, for comparisons in blocks."""
+def sized(texts: DataFrame) -> DataFrame:
+    """(id, n, s): adds the number of shingles of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [line_set(x.as_py()) for x in batch.column("s")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([x[:K].view(np.int64) for x in sets], pa.list_(pa.int64())),
-                ],
-                names=["id", "n", "sketch"],
-            )
+            n = pa.array([len(line_set(x.as_py())) for x in batch.column("s")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), n, batch.column("s")], names=["id", "n", "s"])
 
-    return texts.mapInArrow(run, "id long, n long, sketch array<bigint>")
+    return texts.mapInArrow(run, "id long, n long, s binary")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -225,21 +219,21 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     seen = stage(occurrences(docs), "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
     classes = stage(seen.groupBy(F.col("h").alias("id")).agg(first, F.count("*").alias("n")), "classes")
-    met = stage(banded(docs, partitions(docs)).groupBy("part").applyInArrow(meeting, "v long, id long, pivot long, df long"), "met")
+    met = stage(banded(docs, partitions(docs)).groupBy("part").applyInArrow(meeting, "v long, id long, df long"), "met")
     places = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "first.doc_id", "first.line")
     texts = stage(line_texts(docs, places), "line_texts")
-    pairs = met.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = stage(star_pairs(met), "pairs")
     links = stage(same_sets(pairs, texts, percent, line_set), "links")
     found = stage(components(links), "components")
-    apart = with_components(met.where("df > 2").select("v", "id", "df"), found)
-    split = apart.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("v")
-    apart = stage(apart.join(split, "v", "left_semi"), "apart")
-    more = cross_pairs(apart.where(F.col("df") <= SHORT)).join(pairs, ["a", "b"], "left_anti")
+    apart = stage(several_components(with_components(met.where("df > 2"), found)), "apart")
+    more = stage(cross_pairs(apart.where(F.col("df") <= SHORT)).join(pairs, ["a", "b"], "left_anti"), "pairs")
     long_lists = apart.where(F.col("df") > SHORT)
-    sketched = line_sketches(texts.join(long_lists.select("id").distinct(), "id", "left_semi"))
-    more = stage(more.union(in_blocks(long_lists, stage(sketched, "line_sketches"), percent)).distinct(), "pairs")
+    joined = in_blocks(long_lists, sized(texts.join(long_lists.select("id").distinct(), "id", "left_semi")), percent, line_set)
     if not more.isEmpty():
-        found = stage(components(links.union(same_sets(more, texts, percent, line_set))), "components")
+        joined = joined.union(same_sets(more, texts, percent, line_set))
+    joined = stage(joined, "links")
+    if not joined.isEmpty():
+        found = stage(components(links.union(joined)), "components")
     grouped = with_components(classes, found)
     kept = grouped.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     gone = seen.join(grouped.select(F.col("id").alias("h"), "comp").join(kept, "comp").select("h", "kept"), "h")

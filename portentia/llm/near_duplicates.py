@@ -8,11 +8,12 @@ threshold is verified on the full sets.
 Completeness: sets of up to 5 * (LISTED - 1) shingles at 80 percent must share one of their LISTED smallest values; larger
 similar sets miss it with probability 0.2 ** LISTED. The estimate only drops pairs six standard deviations low.
 
-No list is expanded into all its pairs. First every member is compared with its list's smallest class, which settles
-groups of copies; only members of different components are compared further: pair by pair in lists of up to SHORT, while
-members of longer lists (a passage that many documents share) are listed anew by their whole sketches, values in long
-lists last, so that similar sketches must meet in a rarer value; what still meets only in long lists is compared sketch
-by sketch in blocks, none of it being dropped.
+No list is expanded into all its pairs. First every member is compared with the most central class of its list (whose
+sketch values have the longest lists: the origin of a group of copies), which settles groups of copies; only members of
+different components are compared further: pair by pair in lists of up to SHORT, while members of longer lists (a
+passage that many documents share) are listed anew by their full sets, rarest values first: similar sets share one of
+the n - ceil(n * percent / 100) + 1 rarest. What meets only in long lists even so is compared in blocks, which give the
+links that join components and no more; none of it is dropped.
 
 Cases: null and empty texts have the empty set and are linked with nothing; fewer words than a shingle make one shingle;
 rows with equal ids count as one document of the component; a row without id is its own component (null) and kept;
@@ -34,7 +35,7 @@ from portentia.runtime import stage
 
 K = 32
 LISTED = 16
-SHORT = 32
+SHORT = 16
 BLOCK = 256
 U64 = np.uint64
 
@@ -90,11 +91,25 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def meetings(lists: DataFrame) -> DataFrame:
-    """Adds to (v, id) how many meet in v and the smallest of them; values met once go."""
-    met = lists.groupBy("v").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1")
+    """Adds to (v, id) how many meet in v; values met once go."""
+    met = lists.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     return lists.join(met, "v")
 
 
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of a list (v, id, df) and the list's most central member."""
+    central = lists.groupBy("id").agg(F.sum(F.log2("df")).alias("c"))
+    hubs = lists.join(central, "id").groupBy("v").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("hub"))
+    pairs = lists.join(hubs, "v").where("id != hub")
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def several_components(lists: DataFrame) -> DataFrame:
+    """The rows of lists (v, id, comp, ...) whose members lie in more than one component."""
+    split = lists.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("v")
+    return lists.join(split, "v", "left_semi")
+
+
 def _stack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sketches as rows of a matrix (missing values are the largest), and their sizes."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -135,10 +150,8 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. The sets of the documents in pairs are made anew from the
-    texts; each pair meets its two sets in two joins."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(id, n, s): the full sets of the classes in `ids`, as packed sorted hashes, made anew from the texts."""
     named = classes.join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "d1", "d2")
     held = docs.join(named, "doc_id").select("doc_id", "d1", "d2", "text")
 
@@ -147,21 +160,37 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
             for at, end, data, offs in A.slices(batch.column("text")):
                 of, values = shingle_sets(data, offs, size)
                 edge = np.searchsorted(of, np.arange(end - at + 1))
-                with np.errstate(over="ignore"):
-                    sums = np.array([values[a:b].sum(dtype=U64) for a, b in zip(edge, edge[1:])], dtype=U64).view(np.int64)
+                sums = np.array([values[a:b].sum(dtype=U64) for a, b in zip(edge, edge[1:])], dtype=U64).view(np.int64)
                 mine = sums == batch.column("d1").slice(at, end - at).to_numpy()  # of rows with one id, the one named
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, end - at).filter(pa.array(mine)),
+                        batch.column("doc_id").slice(at, end - at).filter(pa.array(mine)), pa.array(np.diff(edge)[mine]),
                         pa.array([values[edge[k] : edge[k + 1]].tobytes() for k in np.flatnonzero(mine)], pa.binary()),
                     ],
-                    names=["id", "s"],
+                    names=["id", "n", "s"],
                 )
 
-    return same_sets(pairs, stage(held.mapInArrow(make, "id long, s binary").dropDuplicates(["id"]), "sets"), percent)
+    return held.mapInArrow(make, "id long, n long, s binary").dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold; each pair meets its two sets in two joins."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return same_sets(pairs, stage(full_sets(ids, docs, classes, size).select("id", "s"), "sets"), percent)
+
+
+def packed_set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, U64)
+
+
+def shared_count(u: np.ndarray, v: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(u) or not len(v):
+        return 0
+    return int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
 
 
-def same_sets(pairs: DataFrame, sets: DataFrame, percent: int, unpack=lambda raw: np.frombuffer(raw, U64)) -> DataFrame:
+def same_sets(pairs: DataFrame, sets: DataFrame, percent: int, unpack=packed_set) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; `sets` has (id, s), and `unpack` makes sorted hashes of s."""
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
 
@@ -172,8 +201,7 @@ def same_sets(pairs: DataFrame, sets: DataFrame, percent: int, unpack=lambda raw
                 if a != last:
                     last, u = a, unpack(x.as_py())
                 v = unpack(y.as_py())
-                at = np.minimum(np.searchsorted(u, v), max(0, len(u) - 1))
-                shared = int((u[at] == v).sum()) if len(u) else 0
+                shared = shared_count(u, v)
                 keep.append(100 * shared >= percent * (len(u) + len(v) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -188,14 +216,15 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def in_blocks(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of long lists (v, id, comp, df) in different components whose sketches allow the threshold.
+def in_blocks(lists: DataFrame, sets: DataFrame, percent: int, unpack=packed_set) -> DataFrame:
+    """Links (a, b) between members of long lists (v, id, comp) in different components, by their sets (id, n, s).
 
-    Members are dealt to blocks by size step and hash; a block meets the blocks of its own and the next size step of its list, each
-    meeting being a task's group of at most two blocks. Only pairs that pass leave it.
+    Members are dealt to blocks by size step and hash; a block meets the blocks of its own and the next size step of its
+    list, each meeting being a task's group of at most two blocks. A meeting gives the links that join components
+    there, so at most as many as it has members.
     """
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    members = lists.join(classes.select("id", "n", "sketch"), "id").withColumn("step", step)
+    members = lists.join(sets.select("id", "n", "s"), "id").withColumn("step", step)
     sizes = members.groupBy("v", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = members.join(sizes, ["v", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     after = sizes.select("v", (F.col("step") - 1).alias("step"), F.col("blocks").alias("next_blocks"))
@@ -213,18 +242,23 @@ def in_blocks(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     meets = members.withColumn("m", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))))
 
     def compare(table: pa.Table) -> pa.Table:
-        sketch, _ = _stack(table.column("sketch"))
-        ids, comp, n = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
+        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        ids, n = table.column("id").to_numpy()[order], table.column("n").to_numpy()[order]
+        comp = np.unique(table.column("comp").to_numpy()[order], return_inverse=True)[1]
+        raw = table.column("s")
+        members = [unpack(raw[int(k)].as_py()) for k in order]
         found = []
         for k in range(len(ids) - 1):
-            others = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
-            if len(others):
-                mine = np.broadcast_to(sketch[k], (len(others), K))
-                hit = others[may_match(mine, np.full(len(others), n[k]), sketch[others], n[others], percent)]
-                found += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in hit]
+            near = (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])) & (comp[k + 1 :] != comp[k])
+            for j in (np.flatnonzero(near) + k + 1).tolist():
+                if comp[j] != comp[k]:
+                    shared = shared_count(members[k], members[j])
+                    if 100 * shared >= percent * (n[k] + n[j] - shared):
+                        found.append((ids[k], ids[j]))
+                        comp[comp == comp[j]] = comp[k]
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    groups = meets.select("v", "m.step", "m.lower", "m.upper", "id", "comp", "n", "sketch").groupBy("v", "step", "lower", "upper")
+    groups = meets.select("v", "m.step", "m.lower", "m.upper", "id", "comp", "n", "s").groupBy("v", "step", "lower", "upper")
     return groups.applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -245,28 +279,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select(F.col("doc_id").alias("id"), "n", "d1", "d2", "sketch"), "classes",
     )
     lists = stage(meetings(classes.select("id", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))), "lists")
-    first = estimated(lists.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), classes, percent)
-    links = stage(verified(stage(first, "pairs"), docs, classes, size, percent), "links")
+    first = stage(estimated(star_pairs(lists), classes, percent), "pairs")
+    links = stage(verified(first, docs, classes, size, percent), "links")
     found = stage(components(links), "components")
-    # what the comparison with the smallest class left apart
-    apart = with_components(lists.select("v", "id", "df"), found)
-    split = apart.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("v")
-    apart = stage(apart.join(split, "v", "left_semi"), "apart")
-    short = estimated(cross_pairs(apart.where(F.col("df") <= SHORT)), classes, percent)
+    # what the comparison with the central class left apart
+    apart = stage(several_components(with_components(lists, found)), "apart")
+    more = estimated(cross_pairs(apart.where(F.col("df") <= SHORT)).join(first, ["a", "b"], "left_anti"), classes, percent)
     again = apart.where(F.col("df") > SHORT).select("id", "comp").distinct()
-    values = again.join(classes.select("id", "n", "sketch"), "id").select("id", "comp", "n", F.explode("sketch").alias("v"))
-    values = meetings_all(values)
-    t = percent / 100
-    shared = int(K * t - 6 * (K * t * (1 - t)) ** 0.5)
-    order = Window.partitionBy("id").orderBy(F.col("df") > SHORT, "v")
-    needed = F.when(F.col("n") <= K, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).otherwise(K - shared + 1)
-    values = stage(values.withColumn("r", F.row_number().over(order)).where((F.col("r") <= needed) & (F.col("df") > 1)), "values")
-    rarer = estimated(cross_pairs(values.where(F.col("df") <= SHORT).select("v", "id", "comp")), classes, percent)
-    blocks = in_blocks(values.where(F.col("df") > SHORT).select("v", "id", "comp"), classes, percent)
-    more = stage(short.union(rarer).union(blocks).distinct(), "pairs")
+    sets = stage(full_sets(again, docs, classes, size), "sets")
+    rare = stage(rarest(sets, percent), "rare")
+    rare = several_components(rare.join(again, "id"))
+    rare = stage(rare, "rare")
+    short = cross_pairs(rare.where(F.col("df") <= SHORT)).join(first, ["a", "b"], "left_anti")
+    more = stage(more.union(estimated(short, classes, percent)).distinct(), "pairs")
+    joined = in_blocks(rare.where(F.col("df") > SHORT), sets, percent)
     if not more.isEmpty():
-        links = links.union(verified(more, docs, classes, size, percent))
-        found = stage(components(links), "components")
+        joined = joined.union(verified(more, docs, classes, size, percent))
+    joined = stage(joined, "links")
+    if not joined.isEmpty():
+        found = stage(components(links.union(joined)), "components")
     # classes under one id are one document
     named = with_components(named, found)
     return rows.join(named.select("d1", "d2", "n", "comp"), ["d1", "d2", "n"], "left").select(
@@ -274,6 +305,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ).withColumn("kept", F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def meetings_all(lists: DataFrame) -> DataFrame:
-    """Adds how many meet in v."""
-    return lists.join(lists.groupBy("v").agg(F.count("*").alias("df")), "v")
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, id, df) of the rarest values of each set, as many as similar sets must share one of; values met once go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, n, raw in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("s")):
+                values = packed_set(raw.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(n, id_)), pa.array(np.full(n, n))], names=["v", "id", "n"])
+
+    values = sets.mapInArrow(run, "v long, id long, n long")
+    values = values.join(values.groupBy("v").agg(F.count("*").alias("df")), "v")
+    order = Window.partitionBy("id").orderBy("df", "v")  # within one set
+    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return values.withColumn("r", F.row_number().over(order)).where((F.col("r") <= needed) & (F.col("df") > 1)).select("v", "id", "df")

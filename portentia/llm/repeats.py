@@ -286,7 +286,8 @@ def _grouped(found: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     }
 
 
-SHARDS = pa.schema([("shard", pa.int32()), ("places", pa.binary()), ("texts", pa.binary())])
+WINDOW = np.dtype([("place", STRETCH), ("text", "u1", LENGTH)])
+SHARDS = pa.schema([("shard", pa.int32()), ("places", pa.binary()), ("texts", pa.binary()), ("windows", pa.binary())])
 
 
 def cut_texts(shards: int):
@@ -296,6 +297,7 @@ def cut_texts(shards: int):
         found = _stretches(answers)
         wanted = _grouped(found[found["kind"] != REPEAT])
         out: dict[int, tuple[list, list]] = {}
+        windows: list[np.ndarray] = []
         seen = set()
         for doc, text, body in zip(docs.column("doc").to_pylist(), docs.column("hash").to_pylist(), docs.column("text")):
             places = wanted.get((doc, text))
@@ -306,41 +308,68 @@ def cut_texts(shards: int):
             for place in places:
                 start, end = int(place["start"]), int(place["start"] + place["windows"])
                 if place["kind"] == SPREAD:
-                    own = gram_hashes(data[start : end + LENGTH - 1], LENGTH)
-                    for k, h in enumerate(own):
-                        one = place.copy()
-                        one["start"], one["windows"], one["h"] = start + k, 1, h
-                        held = out.setdefault(int(h % U64(shards)), ([], []))
-                        held[0].append(one)
-                        held[1].append(data[start + k : start + k + LENGTH].tobytes())
+                    own = np.zeros(end - start, dtype=WINDOW)
+                    own["place"] = place
+                    own["place"]["start"] += np.arange(end - start, dtype=np.uint32)
+                    own["place"]["windows"] = 1
+                    own["place"]["h"] = gram_hashes(data[start : end + LENGTH - 1], LENGTH)
+                    own["text"] = np.lib.stride_tricks.sliding_window_view(data[start : end + LENGTH - 1], LENGTH)
+                    windows.append(own)
                 else:
                     held = out.setdefault(int(A.mix(place["h"].reshape(1))[0] % U64(shards)), ([], []))
                     held[0].append(place)
                     held[1].append(data[start : end + LENGTH - 1].tobytes())
-        rows = sorted(out.items())
-        return pa.table(
-            [
-                pa.array([k for k, _ in rows], pa.int32()),
-                pa.array([np.array(p, dtype=STRETCH).tobytes() for _, (p, _) in rows], pa.binary()),
-                pa.array([b"".join(t) for _, (_, t) in rows], pa.binary()),
-            ],
-            schema=SHARDS,
-        )
+        rows = [(k, np.array(p, dtype=STRETCH).tobytes(), b"".join(t), None) for k, (p, t) in sorted(out.items())]
+        if windows:
+            spread = np.concatenate(windows)
+            # copies inside the bucket: only the earliest goes on, the others are repeats already
+            spread, copies = collapsed(spread)
+            to = (spread["place"]["h"] % U64(shards)).astype(np.int64)
+            rows += [(int(k), None, None, spread[to == k].tobytes()) for k in np.unique(to)]
+            rows += [(-1 - int(k), None, None, copies[copies["bucket"] == k].tobytes()) for k in np.unique(copies["bucket"])]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(SHARDS.types)], schema=SHARDS)
 
     return run
 
 
+def collapsed(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of each group of equal windows, and the places of the others. Windows with one hash but other bytes
+    than the earliest stay."""
+    place = windows["place"]
+    order, fresh = earliest([place["start"], place["text"], place["doc"]], place["h"])
+    windows = windows[order]
+    first = np.flatnonzero(fresh)
+    lead = np.repeat(first, np.diff(np.append(first, len(order))))
+    copy = ~fresh & (windows["text"] == windows["text"][lead]).all(axis=1)
+    copies = windows["place"][copy].copy()
+    copies["kind"] = REPEAT
+    return windows[~copy], copies
+
+
 def sort_shard(table: pa.Table) -> pa.Table:
     """One shard: suffix arrays over the segments of a few hashes at a time; repeats in stretches, by bucket."""
-    places = np.concatenate([np.frombuffer(p.as_py(), STRETCH) for p in table.column("places")])
-    body = np.concatenate([np.frombuffer(t.as_py(), np.uint8) for t in table.column("texts")])
+    shard = table.column("shard")[0].as_py() if table.num_rows else 0
+    if shard < 0:
+        return pa.table([pa.array([-1 - shard] * table.num_rows, pa.int32()), table.column("windows")], schema=ANSWERS)
+
+    def joined(name: str, kind) -> np.ndarray:
+        found = [np.frombuffer(x.as_py(), kind) for x in table.column(name) if x.is_valid]
+        return np.concatenate(found) if found else np.zeros(0, kind)
+
+    places, body = joined("places", STRETCH), joined("texts", np.uint8)
+    windows, copies = collapsed(joined("windows", WINDOW))
+    alone = np.ones(len(windows) + 1, dtype=bool)  # a window whose hash no other has repeats nothing
+    h = windows["place"]["h"]
+    alone[1:-1] = h[1:] != h[:-1]
+    windows = windows[~(alone[1:] & alone[:-1])] if len(windows) else windows
+    places, body = np.concatenate([places, windows["place"]]), np.concatenate([body, windows["text"].reshape(-1)])
     sizes = places["windows"].astype(np.int64) + LENGTH - 1
     begins = np.cumsum(sizes) - sizes
     order = np.lexsort((places["start"], places["text"], places["doc"], places["h"]))
     h = places["h"][order]
     group_end = np.flatnonzero(np.append(h[1:] != h[:-1], True)) + 1
     total = np.concatenate([[0], np.cumsum(sizes[order])])
-    out, at = [], 0
+    out, at = [copies], 0
     while at < len(order):
         reach = max(int(np.searchsorted(total, total[at] + ARRAY)), at + 1)
         end = int(group_end[min(np.searchsorted(group_end, reach), len(group_end) - 1)])
@@ -423,7 +452,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     dealt = deal(texts, n, hot)
     answers = stage(dealt.groupBy("part").applyInArrow(resolve, PAYLOAD), "segments")
     by_bucket = texts.groupBy("bucket").cogroup(answers.groupBy("part"))
-    cut = by_bucket.applyInArrow(cut_texts(n), "shard int, places binary, texts binary")
+    cut = by_bucket.applyInArrow(cut_texts(n), "shard int, places binary, texts binary, windows binary")
     sorted_ = stage(cut.groupBy("shard").applyInArrow(sort_shard, PAYLOAD), "repeats")
     found = answers.unionByName(sorted_)
     return texts.groupBy("bucket").cogroup(found.groupBy("part")).applyInArrow(remove, REMOVED)

@@ -15,6 +15,7 @@ order among themselves; a very long document makes one long segment; an empty ta
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 
 from portentia.llm import arrays as A
 from portentia.llm.common import partitions
-from portentia.llm.token_cache import WORDS
 
 SEGMENT = 1 << 16
 CHUNK_BITS = 8
@@ -36,6 +36,9 @@ MAGIC = b"DAC1"
 SEGMENTS = "shard int, seq int, first_token long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, codes binary"
 #: White space that is not one of the six ASCII characters, and separators that some libraries count as such.
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u3000\\ufeff]")
+COMMON = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Words kept per generation and worker (about 120 MB).
+WORDS = 600_000
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint32)
 
 
@@ -111,6 +114,7 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # a large table of words without cycles
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -122,20 +126,47 @@ class WordIds:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
 
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters: each is one word to the tokenizer, so many go as one text."""
+        out: list[bytes] = []
+        for at in range(0, len(stems), 256):
+            some = stems[at : at + 256]
+            done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(done.ids, dtype="<u4").tobytes()
+            ends = np.cumsum(np.bincount(np.array(done.word_ids, dtype=np.int64), minlength=len(some))) * 4
+            out += [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian ids of every text. Texts with unusual spaces go to the tokenizer as a whole."""
+        """Packed little-endian ids of every text. Texts with unusual spaces go to the tokenizer as a whole.
+
+        Common words (Latin letters, perhaps a mark at the end) share the ids of their lower-case stem, as the
+        tokenizer lower-cases and cuts marks off; other words are encoded as they are.
+        """
         odd = [k for k, t in enumerate(texts) if ODD_SPACE.search(t)]
         whole = dict(zip(odd, self._batch([texts[k] for k in odd])))
         split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        wanted = set().union(*split) if split else set()
-        new = []
-        for word in wanted.difference(self.words):
+        missing = set().union(*split).difference(self.words) if split else set()
+        parts, wanted, plain = {}, set(), set()
+        for word in missing:
             found = self.old.get(word)
-            if found is None:
-                new.append(word)
-            else:
+            if found is not None:
                 self.words[word] = found
-        self.words.update(zip(new, self._batch(new)))
+                continue
+            common = COMMON.fullmatch(word)
+            parts[word] = (common[1].lower(), common[2]) if common else (word, "")
+            wanted.update(parts[word])
+            if common:
+                plain.add(parts[word][0])
+        wanted.discard("")
+        new = [w for w in wanted if w not in self.words and w not in self.old]
+        letters, others = [w for w in new if w in plain], [w for w in new if w not in plain]
+        stems = dict(zip(letters, self._stems(letters))) | dict(zip(others, self._batch(others)))
+        stems[""] = b""
+        for w in wanted.difference(new):
+            stems[w] = self.words.get(w) or self.old[w]
+        self.words.update((w, i) for w, i in stems.items() if w)
+        self.words.update((word, stems[stem] + stems[mark]) for word, (stem, mark) in parts.items())
         get = self.words.__getitem__
         out = [whole[k] if k in whole else b"".join(map(get, words)) for k, words in enumerate(split)]
         if len(self.words) > WORDS:

@@ -17,6 +17,7 @@ from portentia.llm import repeats as R
 from portentia.llm import sanitise as S
 from portentia.llm import suffix_array as SA
 from portentia.llm import token_files as T
+from portentia.llm.common import components
 
 ROWS = corpus()
 LABELS = "doc_id long, quality int, toxic int"
@@ -270,25 +271,20 @@ def test_near_duplicates_in_long_lists(spark, empty):
     assert near_duplicates.near_duplicates(empty.select("doc_id", "text")).count() == 0
 
 
-def test_blocks_keep_every_similar_pair(spark):
-    """Lists longer than a block, compared block by block, give what comparing all pairs gives."""
+def test_blocks_join_what_all_pairs_join(spark):
+    """Lists longer than a block, compared block by block, link the same components as comparing all pairs."""
     rng = np.random.default_rng(5)
-    base = np.sort(rng.integers(1, 1 << 60, near_duplicates.K))
-    rows = []
-    for i in range(300):
+    base = np.sort(rng.integers(1, 1 << 60, 40))
+    sets = {}
+    for i in range(600):
         own = base.copy()
-        own[rng.integers(0, len(own), 1 + i % 30)] = rng.integers(1, 1 << 60, 1)
-        rows.append((i, len(own), sorted(set(own.tolist()))))
-    classes = spark.createDataFrame([(i, len(s), s) for i, _, s in rows], "id long, n long, sketch array<bigint>")
-    lists = spark.createDataFrame([(7, i, i) for i, *_ in rows], "v long, id long, comp long")
-    want = set()
-    for i, _, a in rows:
-        for j, _, b in rows[i + 1 :]:
-            n = len(set(a) & set(b))
-            if 100 * n >= 80 * (len(a) + len(b) - n):
-                want.add((i, j))
-    got = near_duplicates.in_blocks(lists, classes, 80).collect()
-    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+        own[rng.integers(0, len(own), i % 30)] = rng.integers(1, 1 << 60, i % 30)
+        sets[i] = np.unique(own).astype(np.uint64)
+    df = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in sets.items()], "id long, n long, s binary")
+    lists = spark.createDataFrame([(7, i, i) for i in sets], "v long, id long, comp long")
+    want = groups({i: set(s.tolist()) for i, s in sets.items()})
+    found = {i: i for i in sets} | {r.node: r.component for r in components(near_duplicates.in_blocks(lists, df, 80)).collect()}
+    assert found == want and 1 < len(set(want.values())) < 600
 
 
 def test_lines(docs, empty):
