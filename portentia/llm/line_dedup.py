@@ -6,8 +6,9 @@ BANDS bands of BAND_ROWS values bring similar lines together; a pair counts only
 shingle sets, made from the lines' texts, reaches the threshold. Classes and links form components by distributed
 union-find, and of each component the first line (smallest doc_id, then line number) stays.
 
-Band lists are treated as near_duplicates treats its lists: every member meets the most central first, later only members of
-different components meet, pair by pair in short lists and in blocks in long ones; none is dropped. A pair at exactly
+Band lists are treated as near_duplicates treats its lists: every member meets the most central one first, later only
+members of different components meet, pair by pair in short lists; members of long ones are listed anew by the rarest
+shingles of their sets; none is dropped. A pair at exactly
 80 percent is missed by all bands with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, under 0.001; closer pairs far less.
 
 Cases: lines without a word are never removed and belong to no group; null and empty texts have no lines to remove; lines
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from portentia.llm import arrays as A
 from portentia.llm.common import components, partitions
-from portentia.llm.near_duplicates import SHORT, cross_pairs, in_blocks, same_sets, several_components, star_pairs, with_components
+from portentia.llm.near_duplicates import SHORT, cross_pairs, rare_links, same_sets, several_components, star_pairs, with_components
 from portentia.runtime import stage
 
 SHINGLE = 8
@@ -203,13 +204,16 @@ def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
 
 
-def sized(texts: DataFrame) -> DataFrame:
-    """(id, n, s): adds the number of shingles of each line."""
+def line_sets(texts: DataFrame) -> DataFrame:
+    """(id, n, s): the shingle sets of lines, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pa.array([len(line_set(x.as_py())) for x in batch.column("s")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), n, batch.column("s")], names=["id", "n", "s"])
+            sets = [line_set(x.as_py()) for x in batch.column("s")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["id", "n", "s"],
+            )
 
     return texts.mapInArrow(run, "id long, n long, s binary")
 
@@ -226,9 +230,11 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = stage(same_sets(pairs, texts, percent, line_set), "links")
     found = stage(components(links), "components")
     apart = stage(several_components(with_components(met.where("df > 2"), found)), "apart")
-    more = stage(cross_pairs(apart.where(F.col("df") <= SHORT)).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    long_lists = apart.where(F.col("df") > SHORT)
-    joined = in_blocks(long_lists, sized(texts.join(long_lists.select("id").distinct(), "id", "left_semi")), percent, line_set)
+    more = cross_pairs(apart.where(F.col("df") <= SHORT))
+    again = apart.where(F.col("df") > SHORT).select("id", "comp").distinct()
+    sets = stage(line_sets(texts.join(again, "id", "left_semi")), "line_sets")
+    short, joined = rare_links(again, sets, percent)
+    more = stage(more.union(short).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         joined = joined.union(same_sets(more, texts, percent, line_set))
     joined = stage(joined, "links")

@@ -216,7 +216,7 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def in_blocks(lists: DataFrame, sets: DataFrame, percent: int, unpack=packed_set) -> DataFrame:
+def in_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of long lists (v, id, comp) in different components, by their sets (id, n, s).
 
     Members are dealt to blocks by size step and hash; a block meets the blocks of its own and the next size step of its
@@ -246,7 +246,7 @@ def in_blocks(lists: DataFrame, sets: DataFrame, percent: int, unpack=packed_set
         ids, n = table.column("id").to_numpy()[order], table.column("n").to_numpy()[order]
         comp = np.unique(table.column("comp").to_numpy()[order], return_inverse=True)[1]
         raw = table.column("s")
-        members = [unpack(raw[int(k)].as_py()) for k in order]
+        members = [packed_set(raw[int(k)].as_py()) for k in order]
         found = []
         for k in range(len(ids) - 1):
             near = (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])) & (comp[k + 1 :] != comp[k])
@@ -262,6 +262,17 @@ def in_blocks(lists: DataFrame, sets: DataFrame, percent: int, unpack=packed_set
     return groups.applyInArrow(compare, "a long, b long").distinct()
 
 
+def rare_links(again: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For members of long lists (id, comp) and their sets (id, n, s): pairs to verify, and links found in blocks.
+
+    Members are listed by the rarest values of their sets, so that only similar sets must meet in a list.
+    """
+    rare = stage(rarest(sets, percent), "rare")
+    rare = stage(several_components(rare.join(again, "id")), "rare")
+    short = cross_pairs(rare.where(F.col("df") <= SHORT))
+    return short, in_blocks(rare.where(F.col("df") > SHORT), sets, percent)
+
+
 def with_components(df: DataFrame, found: DataFrame) -> DataFrame:
     """Adds comp: the component of id, or id itself."""
     return df.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
@@ -287,12 +298,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     more = estimated(cross_pairs(apart.where(F.col("df") <= SHORT)).join(first, ["a", "b"], "left_anti"), classes, percent)
     again = apart.where(F.col("df") > SHORT).select("id", "comp").distinct()
     sets = stage(full_sets(again, docs, classes, size), "sets")
-    rare = stage(rarest(sets, percent), "rare")
-    rare = several_components(rare.join(again, "id"))
-    rare = stage(rare, "rare")
-    short = cross_pairs(rare.where(F.col("df") <= SHORT)).join(first, ["a", "b"], "left_anti")
-    more = stage(more.union(estimated(short, classes, percent)).distinct(), "pairs")
-    joined = in_blocks(rare.where(F.col("df") > SHORT), sets, percent)
+    short, joined = rare_links(again, sets, percent)
+    more = stage(more.union(estimated(short.join(first, ["a", "b"], "left_anti"), classes, percent)).distinct(), "pairs")
     if not more.isEmpty():
         joined = joined.union(verified(more, docs, classes, size, percent))
     joined = stage(joined, "links")
