@@ -16,3 +16,16 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("__row", value).select(
         *df.columns, *[F.col(f"__row.`{n}`").alias(n) for n in names]
     )
+
+
+def same_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on key columns by null-safe equality: a null key is a key like any other.
+
+    Every operator that joins on series keys or classes goes by this rule, as grouping and windows do.
+    """
+    side = other.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        on = one if on is None else on & one
+    return df.join(side, on, how).drop(*[f"__k_{k}" for k in keys])

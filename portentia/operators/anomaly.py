@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from portentia.functions.rows import with_row
+from portentia.functions.rows import same_keys, with_row
 from portentia.operators.quantiles import exact_quantiles, one_row
 from portentia.operators.states import POSITIVE
 from portentia.timeline import Timeline, over_blocks
@@ -90,7 +90,7 @@ def describe_scores(
             for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
         ]
     )
-    joined = basic.join(spread, keys) if keys else with_row(basic, spread)
+    joined = same_keys(basic, spread, keys) if keys else with_row(basic, spread)
     return joined.select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -110,10 +110,16 @@ class HorizonModel:
         )
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        self.model.write().overwrite().save(f"{path}/{self.name}")
         if self.scaler is not None:
             self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, name: str) -> HorizonModel:
+        """A saved model, for a scoring job that does not train."""
+        scaler = spark.read.parquet(f"{path}/scaler") if name == "logistic" else None
+        return cls(name, PipelineModel.load(f"{path}/{name}"), scaler)
+
 
 def fit_horizon(train: DataFrame, name: str, **parameters: int) -> HorizonModel:
     """Fit one horizon model on rows from :func:`horizon_rows`."""
@@ -136,6 +142,23 @@ def coefficients(model: HorizonModel, spark: SparkSession) -> DataFrame:
     ).orderBy(F.col("magnitude").desc(), "feature")
 
 
+def logistic_gradient(model: HorizonModel, train: DataFrame) -> float:
+    """Largest entry of the gradient of the penalised weighted log loss at the fitted coefficients, over all rows."""
+    fitted = model.model.stages[-1]
+    rows = scale_states(with_balance(train), HORIZON_FEATURES, model.scaler)
+    values = [float(v) for v in fitted.coefficients.toArray()]
+    margin = F.lit(float(fitted.intercept))
+    for c, v in zip(HORIZON_FEATURES, values):
+        margin = margin + F.lit(v) * F.col(c)
+    error = F.col("weight") * (1 / (1 + F.exp(-margin)) - F.col("label"))
+    sums = rows.agg(
+        F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), F.sum(error).alias("intercept"),
+        *[F.sum(error * F.col(c)).alias(c) for c in HORIZON_FEATURES],
+    ).first()
+    slopes = [sums[c] / sums["w"] + v / sums["n"] for c, v in zip(HORIZON_FEATURES, values)]
+    return max(abs(g) for g in (sums["intercept"] / sums["w"], *slopes))
+
+
 def evaluate(predicted: DataFrame) -> DataFrame:
     """One row: confusion counts, rates and AUC of (label, predicted, probability)."""
     predicted = stage(predicted.select("label", "predicted", "probability"), "predicted")

@@ -172,16 +172,30 @@ def score_sequences(
     return narrow.mapInArrow(score, schema)
 
 
+#: Matrices beyond this many rows (about 0.9 GB) are not gathered; shares are first added in so many groups.
+MAX_WIDTH, SUM_PARTS = 10_000, 64
+
+
 def fit_linear(
     seq: DataFrame, n_features: int, length: int = 10, ridge: float = 1.0
 ) -> np.ndarray:
     """Ridge regression of the next vector on the ``length`` previous ones.
 
-    Returns weights of shape (length * f + 1, f), the last row being the intercept. Every task adds
-    up its share of the normal equations; the sums (whose size depends on the number of features
-    only) are added per matrix row on the cluster, and one small system is solved.
+    Returns weights of shape (length * f + 1, f), the last row being the intercept.
+    """
+    gram, moments = normal_equations(seq, n_features, length)
+    return np.linalg.solve(gram + _penalty(len(gram), ridge), moments)
+
+
+def normal_equations(seq: DataFrame, n_features: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the lagged vectors with themselves and with the next vector, summed over all rows.
+
+    Every task adds up its share; the shares are added as whole matrix rows on the cluster. The matrix reaches the
+    driver: its size depends on the number of features only and is refused beyond MAX_WIDTH.
     """
     width = length * n_features + 1
+    if width > MAX_WIDTH:
+        raise ValueError(f"{width} lagged values; the normal equations are solved on the driver up to {MAX_WIDTH}")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((width, width + n_features))
@@ -201,20 +215,39 @@ def fit_linear(
             names=["i", "row"],
         )
 
-    sums = (
-        seq.select("x", "y")
-        .mapInArrow(partial, "i int, row array<double>")
-        .select("i", F.posexplode("row").alias("j", "v"))
-        .groupBy("i", "j")
-        .agg(F.sum("v").alias("v"))
-        .toArrow()
-    )
+    def add(rows: pa.Table) -> pa.Table:
+        """Rows of one index, a few at a time by `part`, to one."""
+        values = rows.column("row").combine_chunks()
+        total = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).sum(axis=0)
+        return pa.table([rows.column("i").slice(0, 1), pa.array([total])], names=["i", "row"])
+
+    shares = seq.select("x", "y").mapInArrow(partial, "i int, row array<double>")
+    # two levels, so that no group holds the rows of all tasks
+    for parts in (SUM_PARTS, 1):
+        part = F.pmod(F.spark_partition_id(), F.lit(parts)).alias("part")
+        shares = shares.select("i", "row", part).groupBy("i", "part").applyInArrow(add, "i int, row array<double>")
+    sums = shares.toArrow().sort_by("i")
     system = np.zeros((width, width + n_features))
-    system[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["v"].to_numpy()
-    gram, moments = system[:, :width], system[:, width:]
+    system[sums["i"].to_numpy()] = np.array(sums["row"].to_pylist())
+    return system[:, :width], system[:, width:]
+
+
+def _penalty(width: int, ridge: float) -> np.ndarray:
     penalty = ridge * np.eye(width)
     penalty[-1, -1] = 0.0
-    return np.linalg.solve(gram + penalty, moments)
+    return penalty
+
+
+def residual(
+    states: DataFrame, tl: Timeline, features: Iterable[str], scaler: DataFrame, weights: np.ndarray,
+    length: int = 10, ridge: float = 1.0,
+) -> float:
+    """Largest residual of the normal equations at the weights, relative to the largest moment."""
+    features = list(features)
+    seq = sequences(scale_states(states, features, scaler), tl, features, length, normal_only=True)
+    gram, moments = normal_equations(seq, len(features), length)
+    left = (gram + _penalty(len(gram), ridge)) @ weights - moments
+    return float(np.abs(left).max() / max(1.0, np.abs(moments).max()))
 
 
 def linear_predictor(weights: np.ndarray) -> Predictor:

@@ -4,67 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portentia.functions.rows import with_row
+from portentia.functions.columns import finite
+from portentia.functions.rows import same_keys, with_row
 from portentia.runtime import stage
 
 def _usable(c: str) -> Column:
-    col = F.col(c).cast("double")
-    return F.when(~F.isnan(col), col)
+    return finite(F.col(c).cast("double"))
 
 
-def _value_counts(
-    df: DataFrame, columns: list[str], brackets: DataFrame, by: list[str]
-) -> tuple[DataFrame, int | None]:
-    """Counts per value inside the range of each column and probability, and in one below it.
+def _value_counts(df: DataFrame, columns: list[str], brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Counts per value inside the range of each column and probability, and in one slot (null) below it.
 
-    Also the number of values per column if it is known (without groups).
+    One pass: the ranges come with every row as one array (of a class, by null-safe equality), what lies above a range
+    is left out before rows are made of it, and all that lies below it falls into one slot, so partial aggregation
+    leaves about the values in range.
     """
-    value = F.col("value")
-    if by:
-        pairs = [F.struct(F.lit(c).alias("feature"), _usable(c).alias("value")) for c in columns]
-        ranged = df.select(*by, F.inline(F.array(*pairs))).join(brackets, [*by, "feature"])
-        counts = (
-            ranged.filter(value.isNull() | (value <= F.col("high")))
-            .groupBy(*by, "feature", "prob", F.when(value >= F.col("low"), value).alias("slot"))
-            .agg(F.count("value").alias("cnt"), F.first("n").alias("n"))
-        )
-        return counts, None
-    # len(columns) * len(probs) rows, whatever the data size; they become literals.
-    ranges = brackets.collect()
-
-    def entry(r: Row, **fields: Column) -> Column:
-        fixed = {"feature": F.lit(r["feature"]), "prob": F.lit(r["prob"]), "n": F.lit(r["n"])}
-        return F.struct(*[c.alias(name) for name, c in {**fixed, **fields}.items()])
-
-    # One flat pass counts what lies below; the other unpivots only the few values in range.
-    below = df.agg(
-        *[F.count_if(_usable(r["feature"]) < r["low"]).alias(f"__b{i}") for i, r in enumerate(ranges)]
-    ).select(
-        F.inline(
-            F.array(
-                *[
-                    entry(r, slot=F.lit(None).cast("double"), cnt=F.col(f"__b{i}"))
-                    for i, r in enumerate(ranges)
-                ]
-            )
-        )
+    entry = F.struct(*[F.col(c) for c in ("feature", "prob", "n", "low", "high")])
+    ranges = brackets.groupBy(*by).agg(F.collect_list(entry).alias("__ranges"))  # columns * probabilities entries
+    values = df.select(*by, F.create_map(*[x for c in columns for x in (F.lit(c), _usable(c))]).alias("__values"))
+    ranged = same_keys(values, ranges, by) if by else with_row(values, ranges)
+    slots = F.filter(
+        F.transform(
+            "__ranges",
+            lambda r: F.struct(
+                r["feature"].alias("feature"), r["prob"].alias("prob"), r["n"].alias("n"),
+                F.when(F.col("__values")[r["feature"]] >= r["low"], F.col("__values")[r["feature"]]).alias("slot"),
+                # an empty column keeps one entry with a count of 0
+                F.when(r["n"] == 0, F.lit(0)).when(F.col("__values")[r["feature"]] <= r["high"], F.lit(1)).alias("one"),
+            ),
+        ),
+        lambda e: e["one"].isNotNull(),
     )
-    in_range = [
-        F.when(
-            (_usable(r["feature"]) >= r["low"]) & (_usable(r["feature"]) <= r["high"]),
-            entry(r, slot=_usable(r["feature"])),
-        )
-        for r in ranges
-    ]
-    inside = (
-        df.select(F.inline(F.array_compact(F.array(*in_range))))
-        .groupBy("feature", "prob", "slot")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.first("n").alias("n"))
+    return (
+        ranged.select(*by, F.inline(slots))
+        .groupBy(*by, "feature", "prob", "slot")
+        .agg(F.sum("one").alias("cnt"), F.first("n").alias("n"))
     )
-    return below.unionByName(inside), max(r["n"] for r in ranges)
 
 
 def _brackets(
@@ -104,53 +82,38 @@ def exact_quantiles(
     by: Iterable[str] = (),
     accuracy: int = 10_000,
     bins: int = 256,
-    task_rows: int = 1_000_000,
 ) -> DataFrame:
     """Linear-interpolated quantiles as rows (by…, feature, prob, n, quantile).
 
-    The first pass is a bounded sketch per column that yields a value range with the exact quantile
-    inside. Then what lies below the range is counted, and value counts are kept inside it only,
-    about ``8 / accuracy`` of the rows; all partially aggregated before the shuffle. If more
-    than ``task_rows`` distinct values of a column are left, they are written as a table, cut into
-    bins of about equal size, and only the bins that hold the wanted ranks are put in order.
-    The first pass runs when the function is called. Nulls and NaN are ignored; a column without
-    values gets a null quantile.
+    The first pass is a bounded sketch per column that yields a value range with the exact quantile inside. The second
+    counts what lies below the range and, inside it only, the values: about ``8 / accuracy`` of the rows, partially
+    aggregated before the shuffle. They are written as a table, cut into bins of about equal size, and only the bins
+    that hold the wanted ranks are put in order, so no task orders all values of a column. The rank error of the sketch
+    is bounded by ``1 / accuracy`` and the range is four times as wide on each side, so it cannot miss. Both passes run
+    when the function is called. Nulls, NaN and infinities are ignored; a column without values gets a null quantile.
     """
     columns, probs, by = list(columns), list(probs), list(by)
     keys = [*by, "feature", "prob"]
-
-    def fixed(side: DataFrame) -> DataFrame:
-        # Without groups: len(columns) * len(probs) rows (times at most `bins`), whatever the data.
-        return side if by else F.broadcast(side)
-
-    brackets = _brackets(df, columns, probs, by, accuracy)
-    slots, n = _value_counts(df, columns, brackets, by)
-    # Values inside a range: all of a short column, else its margins and the sketch's error.
-    held = None if n is None else n if n * 4.0 / accuracy < 4 else 12 * n / accuracy
+    brackets = stage(_brackets(df, columns, probs, by, accuracy), "brackets")
+    slots = stage(_value_counts(df, columns, brackets, by), "quantiles")
     position = F.col("prob") * (F.col("n") - 1)
     lower, upper = F.floor(position), F.ceil(position)
-    if held is None or held > task_rows:
-        slots = stage(slots, "quantiles")
-        held = slots.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if held <= task_rows:
-        chosen = slots.withColumns({"__bin": F.lit(0), "__before": F.lit(0)})
-    else:
-        grid = [i / bins for i in range(1, bins)]
-        cuts = slots.groupBy(*keys).agg(F.percentile_approx("slot", grid, 10 * bins).alias("__cuts"))
-        place = F.size(F.filter("__cuts", lambda c: c < F.col("slot")))
-        binned = slots.join(fixed(cuts), keys).withColumn("__bin", F.coalesce(place, F.lit(0)))
-        earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-        wanted = (
-            binned.groupBy(*keys, "__bin")
-            .agg(F.sum("cnt").alias("__size"), F.max("n").alias("n"))
-            .withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
-            .filter(
-                (F.col("n") == 0)
-                | ((F.col("__before") <= upper) & (F.col("__before") + F.col("__size") > lower))
-            )
-            .select(*keys, "__bin", "__before")
+    grid = [i / bins for i in range(1, bins)]
+    cuts = slots.groupBy(*keys).agg(F.percentile_approx("slot", grid, 10 * bins).alias("__cuts"))
+    place = F.size(F.filter("__cuts", lambda c: c < F.col("slot")))
+    binned = same_keys(slots, cuts, keys).withColumn("__bin", F.coalesce(place, F.lit(0)))
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (
+        binned.groupBy(*keys, "__bin")
+        .agg(F.sum("cnt").alias("__size"), F.max("n").alias("n"))
+        .withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+        .filter(
+            (F.col("n") == 0)
+            | ((F.col("__before") <= upper) & (F.col("__before") + F.col("__size") > lower))
         )
-        chosen = binned.drop("__cuts").join(fixed(wanted), [*keys, "__bin"])
+        .select(*keys, "__bin", "__before")
+    )
+    chosen = same_keys(binned.drop("__cuts"), wanted, [*keys, "__bin"])
     inside = (
         Window.partitionBy(*keys, "__bin")
         .orderBy(F.col("slot").asc_nulls_first())
@@ -187,8 +150,8 @@ def approximate_quantiles(
             x
             for i, c in enumerate(columns)
             for x in (
-                F.count(c).alias(f"__n{i}"),
-                F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(f"__q{i}"),
+                F.count(_usable(c)).alias(f"__n{i}"),
+                F.percentile_approx(_usable(c), probs, accuracy).alias(f"__q{i}"),
             )
         ]
     )

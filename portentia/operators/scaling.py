@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portentia.functions.columns import finite
 from portentia.functions.rows import with_row
 from portentia.operators.sequences import normal_coverage
 from portentia.timeline import Timeline
@@ -31,8 +32,9 @@ def fit_scaler(
         raise ValueError(f"unknown fit_rows: {fit_rows}")
     aggs: list[Column] = []
     for c in features:
-        std = F.stddev_pop(c)
-        aggs.append(F.avg(c).alias(f"mean_{c}"))
+        own = finite(F.col(c).cast("double"))
+        std = F.stddev_pop(own)
+        aggs.append(F.avg(own).alias(f"mean_{c}"))
         aggs.append(F.when(std == 0, F.lit(1.0)).otherwise(std).alias(f"std_{c}"))
     return states.agg(*aggs)
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from portentia.functions.rows import with_row
+from portentia.functions.rows import same_keys, with_row
 from portentia.operators.states import POSITIVE
 from portentia.timeline import Timeline, over_blocks, unbroken, with_row_index
 
@@ -167,7 +167,7 @@ def chronological_split(df: DataFrame, tl: Timeline, fraction: float = 0.8) -> D
     keys = list(tl.keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     indexed = with_row_index(df, tl)
-    sized = indexed.join(sizes, keys) if keys else with_row(indexed, sizes)
+    sized = same_keys(indexed, sizes, keys) if keys else with_row(indexed, sizes)
     train = F.col("row_index") < F.floor(F.lit(fraction) * F.col("__rows"))
     return sized.withColumn("split", F.when(train, "train").otherwise("test")).drop("__rows")
 
@@ -196,11 +196,20 @@ def stratified_split(df: DataFrame, label: str, row_id: Iterable[str], fraction:
 
 
 def is_time_ordered(df: DataFrame, tl: Timeline, row_id: str) -> DataFrame:
-    """One row: does the id never fall when rows are put in time order?"""
+    """One row: does the id never fall when rows are put in time order?
+
+    Raw rows are ordered inside one bucket at a time; over the buckets only their first and last ids are compared. Rows
+    of one instant may come in any order, so their smallest id counts first.
+    """
+    bucket = df.select(*tl.keys, F.col(tl.time).alias("__at"), F.col(row_id).alias("__id"), tl.floor(tl.time).alias(tl.time))
+    inside = Window.partitionBy(*tl.id).orderBy("__at", "__id")
+    falls = bucket.withColumn("__before", F.lag("__id", 1).over(inside)).groupBy(*tl.id).agg(
+        F.count_if(F.col("__before") > F.col("__id")).alias("__falls"),
+        F.min_by("__id", F.struct("__at", "__id")).alias("__first"),
+        F.max_by("__id", F.struct("__at", "__id")).alias("__last"),
+    )
     return over_blocks(
-        df.select(*tl.id, row_id),
-        tl,
-        lambda w: {"__before": F.lag(row_id, 1).over(w)},
-        before=1,
-        rows=True,
-    ).agg((F.count_if(F.col("__before") > F.col(row_id)) == 0).alias("is_monotonic"))
+        falls, tl, lambda w: {"__before": F.lag("__last", 1).over(w)}, before=1, rows=True
+    ).agg(
+        (F.coalesce(F.sum("__falls") + F.count_if(F.col("__before") > F.col("__first")), F.lit(0)) == 0).alias("is_monotonic")
+    )

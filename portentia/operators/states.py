@@ -20,7 +20,10 @@ POSITIVE = "is_positive"
 def feature_medians(
     df: DataFrame, features: Iterable[str], exact: bool = True, where: Column | None = None
 ) -> DataFrame:
-    """Median per feature as rows (feature, median). ``exact=False`` needs one pass instead of two."""
+    """Median per feature as rows (feature, median) over its finite values.
+
+    Exact medians read the flows twice (a sketch, then the counts around it); ``exact=False`` reads them once.
+    """
     features = list(features)
     if where is not None:
         df = df.withColumns({c: F.when(where, F.col(c)) for c in features})
@@ -41,11 +44,12 @@ def median_row(medians: DataFrame, features: Iterable[str], prefix: str = "__med
 def state_aggregates(
     features: list[str], label: str, positive: str, fill: dict[str, Column] | None
 ) -> list[Column]:
-    """Aggregates of one bucket. A missing value counts as its fill value, or not at all."""
+    """Aggregates of one bucket. A missing, NaN or infinite value counts as its fill value, or not at all."""
     aggs = [F.count(F.lit(1)).alias(FLOW_COUNT), F.avg(matches_label(label, positive)).alias(RATIO)]
     for c in features:
         # A sum per feature keeps a wide aggregate within what Spark compiles as one stage.
-        value = F.avg(c) if fill is None else F.sum(F.coalesce(F.col(c), fill[c])) / F.count(F.lit(1))
+        own = finite(F.col(c).cast("double"))
+        value = F.avg(own) if fill is None else F.sum(F.coalesce(own, fill[c])) / F.count(F.lit(1))
         aggs.append(value.alias(c))
     return aggs
 

@@ -32,13 +32,15 @@ from portentia.operators.states import (
     fill_normal_medians,
 )
 from portentia.plans import fixture as X
-from portentia.runtime import stage
-from portentia.sources.flows import first_rows, in_time_range
+from portentia.runtime import run_dir, stage
+from portentia.sources.flows import clean_flows as clean
+from portentia.sources.flows import first_rows, in_time_range, read_csv
 from portentia.timeline import Timeline, with_row_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TL = X.TIMELINE
+KEYED = Timeline(bucket_seconds=3600, keys=("sensor",))
 FEATURES = X.STATE_FEATURES
 T0 = TL.time
 
@@ -98,6 +100,57 @@ def network_states(spark, sf):
     )
 
 
+def csv_states(spark, sf):
+    """The same states from header CSV files: written as dirty text, read as text, cleaned."""
+    path = run_dir(spark, "csv")
+    X.raw_text_flows(spark, sf).drop("event_id").write.option("header", True).csv(path)
+    raw = read_csv(spark, path, ["Timestamp", "Label", *X.DIRTY_FEATURES])
+    flows = stage(clean(raw, X.DIRTY_FEATURES), "flows")
+    return build_states(
+        flows, X.DIRTY_FEATURES, TL, "Label", X.POSITIVE_LABEL,
+        ratio_threshold=X.RATIO_THRESHOLD, medians=feature_medians(flows, X.DIRTY_FEATURES),
+    )
+
+
+def states_dirty_doubles(spark, sf):
+    """States of flows whose double column holds NaN, infinities and nulls, without a cleaning step before."""
+    e = F.col("event_id")
+    value = (
+        F.when(e % 97 == 0, F.lit(float("nan"))).when(e % 89 == 0, F.lit(float("inf")))
+        .when(e % 83 == 0, F.lit(float("-inf"))).when(e % 79 != 0, F.col("value"))
+    )
+    flows = X.flows(spark, sf).withColumn("value", value)
+    return build_states(
+        flows, ["value"], TL, X.LABEL, X.POSITIVE_LABEL,
+        ratio_threshold=X.RATIO_THRESHOLD, medians=feature_medians(flows, ["value"]),
+    )
+
+
+def is_time_ordered(spark, sf):
+    events = X.flows(spark, sf).select(F.col("ts").alias(T0), "event_id")
+    return S.is_time_ordered(events, TL, "event_id")
+
+
+# Keyed series: one of four sensors, the rows of one of them without a key
+
+
+def keyed_states(spark, sf):
+    flows = X.flows(spark, sf).withColumn("sensor", F.nullif(F.col("user_id").cast("long") % 4, F.lit(3)))
+    return build_states(flows, ["value"], KEYED, X.LABEL, X.POSITIVE_LABEL, ratio_threshold=X.RATIO_THRESHOLD)
+
+
+def keyed_targets(spark, sf):
+    return S.forecast_targets(stage(keyed_states(spark, sf), "states"), KEYED).select(*KEYED.id, *TARGET_COLUMNS)
+
+
+def keyed_attack_periods(spark, sf):
+    return S.attack_periods(stage(keyed_states(spark, sf), "states"), KEYED)
+
+
+def keyed_row_index(spark, sf):
+    return with_row_index(stage(keyed_states(spark, sf), "states").select(*KEYED.id, POSITIVE), KEYED)
+
+
 def impute_median(spark, sf):
     flows = X.cleaned(spark, sf)
     filled = fill_medians(flows, X.DIRTY_FEATURES, feature_medians(flows, X.DIRTY_FEATURES))
@@ -572,6 +625,13 @@ BATCH: dict[str, Query] = {
     "clean_flows": clean_flows,
     "time_range": time_range,
     "network_states": network_states,
+    "csv_states": csv_states,
+    "states_dirty_doubles": states_dirty_doubles,
+    "is_time_ordered": is_time_ordered,
+    "keyed_states": keyed_states,
+    "keyed_targets": keyed_targets,
+    "keyed_attack_periods": keyed_attack_periods,
+    "keyed_row_index": keyed_row_index,
     "impute_median": impute_median,
     "impute_normal_median": impute_normal_median,
     "feature_medians": feature_medians_query,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from portentia.operators.rollout import step_weights
 from portentia.operators.risk import HORIZONS
 from portentia.operators import risk as R
 from portentia.operators import stage as G
@@ -321,8 +320,20 @@ CTES: dict[str, str] = {
 }
 
 
+def _mean_weights(steps: int, length: int = 10) -> list[list[float]]:
+    """How much each observed value counts in every later value of a chain of trailing means: each observed value is
+    set to one in turn and the chain is run."""
+    columns = []
+    for k in range(length):
+        chain = [float(i == k) for i in range(length)]
+        for _ in range(steps):
+            chain.append(sum(chain[-length:]) / length)
+        columns.append(chain[length:])
+    return [list(row) for row in zip(*columns)]
+
+
 def _weight_rows(steps: int) -> str:
-    rows = step_weights("window_mean", steps)
+    rows = _mean_weights(steps)
     before = [[0.0] * 9 + [1.0], *rows[:-1]]
     names = ", ".join(["step", *[f"w{i}" for i in range(10)], *[f"b{i}" for i in range(10)]])
     body = ", ".join(
@@ -696,5 +707,83 @@ FINALS["live_vs_batch"] = " UNION ALL ".join(
 FINALS["stream_forecast"] = FINALS["live_forecast"] + f" WHERE {_CLOSED}"
 
 
+FINALS["csv_states"] = FINALS["network_states"]
+_DIRTY = "event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0 OR event_id % 79 = 0"
+FINALS["states_dirty_doubles"] = f"""SELECT time_bucket({B}, ts) AS time_window,
+    {r("avg(coalesce(q.value, m))", 'value')}, count(*) AS flow_count,
+    {r("avg(CAST(event_type = 'error' AS INTEGER))", 'label_ratio')}, {_STATE_AVG.format(label='event_type')}
+    FROM (SELECT ts, event_type, CASE WHEN {_DIRTY} THEN NULL ELSE value END AS value FROM flows) q,
+    (SELECT quantile_cont(value, 0.5) AS m FROM flows WHERE NOT ({_DIRTY})) GROUP BY 1"""
+FINALS["is_time_ordered"] = """SELECT count(*) FILTER (event_id < before) = 0 AS is_monotonic
+    FROM (SELECT event_id, lag(event_id) OVER (ORDER BY ts) AS before FROM flows) q"""
+_HOUR = "INTERVAL 60 MINUTE"
+_KEYED = f"""(SELECT nullif(CAST(user_id AS BIGINT) % 4, 3) AS sensor, time_bucket({_HOUR}, ts) AS time_window, avg(value) AS value,
+    count(*) AS flow_count, avg(CAST(event_type = 'error' AS INTEGER)) AS label_ratio,
+    {_STATE_AVG.format(label='event_type')} FROM flows GROUP BY 1, 2)"""
+_PER_SENSOR = "PARTITION BY sensor ORDER BY time_window"
+FINALS["keyed_states"] = f"SELECT sensor, time_window, {r('value')}, flow_count, {r('label_ratio')}, is_positive FROM {_KEYED} q"
+FINALS["keyed_row_index"] = f"SELECT sensor, time_window, is_positive, row_number() OVER ({_PER_SENSOR}) - 1 AS row_index FROM {_KEYED} q"
+FINALS["keyed_targets"] = "SELECT sensor, time_window, " + ", ".join(
+    f"""CASE WHEN lead(time_window, {h}) OVER o = time_window + {h} * {_HOUR}
+        THEN max(is_positive) OVER ({_PER_SENSOR} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END AS positive_within_{h},
+        CASE WHEN lead(time_window, {h}) OVER o = time_window + {h} * {_HOUR} THEN CASE WHEN is_positive <> 0 THEN 0
+        ELSE max(is_positive) OVER ({_PER_SENSOR} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END END AS starts_within_{h}"""
+    for h in HORIZONS
+) + f" FROM {_KEYED} q WINDOW o AS ({_PER_SENSOR})"
+FINALS["keyed_attack_periods"] = f"""SELECT sensor, min(time_window) AS "start", max(time_window) AS "end", count(*) AS duration
+    FROM (SELECT sensor, time_window, epoch(time_window)::BIGINT // 3600 - row_number() OVER ({_PER_SENSOR}) AS run
+          FROM {_KEYED} q WHERE is_positive = 1) q GROUP BY sensor, run"""
+
+
+def _side(prefix: str, where: str) -> str:
+    return (f"count(*) FILTER ({where}) AS {prefix}_rows, "
+            f"CAST(coalesce(sum(label) FILTER ({where}), 0) AS BIGINT) AS {prefix}_positives")
+
+
+def _horizon_rows(h: int) -> str:
+    return f"""SELECT a.time_window, t.starts_within_{h} AS label, row_number() OVER (ORDER BY a.time_window) - 1 AS i,
+        count(*) OVER () AS n FROM anomaly a JOIN targets t USING (time_window)
+        WHERE a.is_positive = 0 AND t.starts_within_{h} IS NOT NULL"""
+
+
+_BY_HORIZON = " UNION ALL ".join(
+    f"SELECT {h} AS horizon, {_side('train', 'i < floor(CAST(0.7 AS DOUBLE) * n)')}, "
+    f"{_side('test', 'i >= floor(CAST(0.7 AS DOUBLE) * n)')}, true AS sound FROM ({_horizon_rows(h)}) q"
+    for h in HORIZONS
+)
+for _name in ("horizon_logistic", "horizon_forest", "horizon_gbt"):
+    FINALS[_name] = _BY_HORIZON
+_HORIZON_FEATURES = (
+    "mse", "mae", "rolling_3", "rolling_5", "rolling_10", "max_5", "max_10", "change_1", "change_3", "ratio_10",
+    "above_95", "above_99", "above95_count_5", "above95_count_10",
+)
+FINALS["model_coefficients"] = f"""SELECT feature, {_side('train', 'true')}, true AS sound
+    FROM ({_horizon_rows(10)}) q, (VALUES {', '.join(f"('{f}')" for f in _HORIZON_FEATURES)}) v(feature) GROUP BY feature"""
+_HALF = "CASE WHEN time_window < TIMESTAMP '2024-01-16' THEN 'first half' ELSE 'second half' END"
+FINALS["campaign_holdout"] = " UNION ALL ".join(
+    f"""SELECT train, horizon, model, train_rows, train_positives, test_rows, test_positives, true AS sound FROM (
+        SELECT '{train}' AS train, {h} AS horizon, {_side('train', f"half = '{train}'")}, {_side('test', f"half <> '{train}'")}
+        FROM (SELECT *, {_HALF} AS half FROM ({_horizon_rows(h)}) q WHERE time_window < TIMESTAMP '2024-01-31') q) q,
+        (VALUES ('logistic'), ('forest'), ('boosting')) v(model)
+        WHERE train_positives > 0 AND train_positives < train_rows AND test_positives > 0 AND test_positives < test_rows"""
+    for train in ("first half", "second half")
+    for h in HORIZONS
+)
+FINALS["next_state_var"] = "SELECT is_positive, count(*) AS states, true AS sound FROM scores GROUP BY 1"
+_LABELLED = f"""SELECT time_window, lead(is_positive) OVER o AS label, lead(time_window) OVER o AS following,
+    row_number() OVER o - 1 AS place FROM states WINDOW o AS (ORDER BY time_window)"""
+_SEQUENCE_ROWS = f"""SELECT *, row_number() OVER (ORDER BY time_window) - 1 AS i, count(*) OVER () AS n,
+    ('0x' || substr(md5(concat_ws('|', CASE label WHEN 1 THEN '1.0' ELSE '0.0' END, strftime(time_window, '%Y-%m-%d %H:%M:%S'))), 1, 8))::BIGINT AS slot
+    FROM ({_LABELLED}) q WHERE label IS NOT NULL AND place >= 9"""
+FINALS["sequence_classifier"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS split, {_side('train', train)}, {_side('test', test)}, true AS sound FROM ({_SEQUENCE_ROWS}) q"
+    for name, train, test in (
+        ("stratified", f"slot < {int(0.8 * 2**32)}", f"slot >= {int(0.8 * 2**32)}"),
+        ("chronological", "i < floor(CAST(0.8 AS DOUBLE) * n)", "i >= floor(CAST(0.8 AS DOUBLE) * n)"),
+        ("campaign", "i < 390 OR i >= 710", "i >= 400 AND i < 700"),
+    )
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: statement(final) for name, final in FINALS.items()}

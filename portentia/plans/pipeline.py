@@ -41,8 +41,8 @@ def run_batch(
     """Write every stage below ``out`` and return the tables as read back.
 
     Each stage reads the table of the one before it: flows are scanned for the medians and once for
-    the states, everything after works on rows per bucket, and a failed run can resume from the
-    last table. Tables are partitioned by date.
+    the states, everything after works on rows per bucket. Tables are partitioned by date. A run writes
+    every table anew.
     """
     tl = settings.tl
     spark = flows.sparkSession

@@ -30,11 +30,18 @@ def session(app: str = "portentia", master: str | None = None, **conf: str) -> S
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it.
+
+    A temporary folder of this machine serves only a session that runs in one process (master ``local``): executors on
+    other machines would each write to a disk of their own, so a cluster without the setting is refused.
+    """
     global _local_base
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_base is None:
         _local_base = tempfile.mkdtemp(prefix="portentia-")
     return _local_base

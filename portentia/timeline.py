@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from portentia.functions.rows import same_keys
+
 _HOME = "__home_block"
 _BLOCK = "__block"
 _ROW = "__row_index"
@@ -77,7 +79,7 @@ def with_row_index(df: DataFrame, tl: Timeline, name: str = "row_index") -> Data
         .select(*keys, _CHUNK, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
     )
     return (
-        numbered.join(offsets, [*keys, _CHUNK])
+        same_keys(numbered, offsets, [*keys, _CHUNK])
         .withColumn(name, (F.col("__local") + F.col("__offset")).cast("long"))
         .drop(_CHUNK, "__local", "__offset")
     )
