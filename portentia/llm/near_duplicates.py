@@ -262,13 +262,38 @@ def in_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return groups.applyInArrow(compare, "a long, b long").distinct()
 
 
+def likely(sets: DataFrame, percent: int) -> DataFrame:
+    """The ids whose K smallest values meet other sets often enough for one of these to be similar: six standard
+    deviations below what similar sets share, or the exact share where K values are the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [packed_set(raw.as_py())[:K].view(np.int64) for raw in batch.column("s")]
+            counts = [len(x) for x in low]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.zeros(0, np.int64), *low])),
+                    pa.array(np.repeat(batch.column("id").to_numpy(), counts)), pa.array(np.repeat(batch.column("n").to_numpy(), counts)),
+                ],
+                names=["v", "id", "n"],
+            )
+
+    t = percent / 100
+    least = int(K * t - 6 * (K * t * (1 - t)) ** 0.5)
+    met = meetings(sets.select("id", "n", "s").mapInArrow(run, "v long, id long, n long"))
+    # sets a similar one of which may be larger than a sketch share fewer of their K smallest values
+    enough = F.when(100 * F.col("n") <= K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(least)
+    return met.groupBy("id", "n").agg(F.count("*").alias("met")).where(F.col("met") >= enough).select("id")
+
+
 def rare_links(again: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """For members of long lists (id, comp) and their sets (id, n, s): pairs to verify, and links found in blocks.
 
     Members are listed by the rarest values of their sets, so that only similar sets must meet in a list.
     """
-    rare = stage(rarest(sets, percent), "rare")
-    rare = stage(several_components(rare.join(again, "id")), "rare")
+    again = stage(again.join(likely(sets, percent), "id", "left_semi"), "likely")
+    sets = sets.join(again, "id", "left_semi")
+    rare = stage(several_components(rarest(sets, percent).join(again, "id")), "rare")
     short = cross_pairs(rare.where(F.col("df") <= SHORT))
     return short, in_blocks(rare.where(F.col("df") > SHORT), sets, percent)
 
