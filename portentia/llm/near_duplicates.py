@@ -36,7 +36,7 @@ from portentia.runtime import stage
 K = 32
 LISTED = 16
 SHORT = 16
-BLOCK = 256
+BLOCK = 512
 U64 = np.uint64
 
 
@@ -295,7 +295,12 @@ def rare_links(again: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     sets = sets.join(again, "id", "left_semi")
     rare = stage(several_components(rarest(sets, percent).join(again, "id")), "rare")
     short = cross_pairs(rare.where(F.col("df") <= SHORT))
-    return short, in_blocks(rare.where(F.col("df") > SHORT), sets, percent)
+    # long lists that share members become one: their members meet once, not list by list
+    long_lists = rare.where(F.col("df") > SHORT).select("v", "id", "comp")
+    heads = long_lists.groupBy("v").agg(F.min("id").alias("head"))
+    families = components(long_lists.join(heads, "v").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    members = long_lists.select("id", "comp").distinct().join(families.toDF("id", "v"), "id")
+    return short, in_blocks(several_components(stage(members, "families")), sets, percent)
 
 
 def with_components(df: DataFrame, found: DataFrame) -> DataFrame:
