@@ -112,11 +112,17 @@ def flush(
     ratio_threshold: float = 0.0,
     medians: dict[str, float] | None = None,
 ) -> DataFrame:
-    """States of the buckets that are still open at the end of a finite stream."""
+    """States of the buckets that are still open at the end of a finite stream.
+
+    The last closed bucket is read first (one value), so the bound is a literal of the column's own type and reaches the
+    scan of the flows: only what is open is read again.
+    """
     # The watermark is global, so everything after the last closed bucket is open.
-    last = closed.agg(F.max(tl.time).alias("t")).scalar()
-    start = tl.shift(last, 1)
-    tail = flows.filter(last.isNull() | (F.col(time) >= start))
+    last = closed.agg(F.max(F.unix_timestamp(tl.time))).first()[0]
+    tail = flows
+    if last is not None:
+        start = F.timestamp_seconds(F.lit(last + tl.bucket_seconds)).cast(flows.schema[time].dataType)
+        tail = flows.filter(F.col(time) >= start)
     return build_states(
         tail, features, tl, label, positive, time, ratio_threshold, medians
     )
