@@ -4,7 +4,7 @@ A line is the set of its character shingles. Equal lines (by a 64-bit hash) are
 with one hash per shingle: its bins give the signature's values, empty bins borrow from others by a fixed sequence.
 BANDS bands of BAND_ROWS values bring similar lines together; a pair counts only if the Jaccard similarity of its full
 shingle sets, made from the lines' texts, reaches the threshold. Classes and links form components by distributed
-union-find, and of each component the first line (smallest doc_id, then line number) stays.
+union-find, and of each component the first line (smallest doc_id, then hash of the text, then line number) stays.
 
 Band lists are treated as near_duplicates treats its lists: every member meets the most central one first, later only
 members of different components meet, pair by pair in short lists; members of long ones are listed anew by the rarest
@@ -12,8 +12,9 @@ shingles of their sets; none is dropped. A pair at exactly
 80 percent is missed by all bands with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, under 0.001; closer pairs far less.
 
 Cases: lines without a word are never removed and belong to no group; null and empty texts have no lines to remove; lines
-shorter than a shingle are one shingle; rows with equal ids share their line numbers, and null ids sort first; very long
-lines and texts are taken whole.
+shorter than a shingle are one shingle; a row is known by its doc_id and its text, so different texts under one id (null
+ids too, which sort first) keep their own line numbers; of rows with equal ids and texts one counts as the first, and the
+others lose all lines with a word; very long lines and texts are taken whole.
 """
 
 from __future__ import annotations
@@ -92,21 +93,33 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_hash() -> Column:
+    """With the doc_id, what a row is known by."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def same_row(other: DataFrame, doc_id: str, text: str) -> Column:
+    """Do doc_id and text_hash name the row that the columns of `other` name?"""
+    return F.col("doc_id").eqNullSafe(other[doc_id]) & (F.col("text_hash") == other[text])
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, line) of every line with a word."""
+    """(h, doc_id, text_hash, line) of every line with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, texts = batch.column("doc_id"), batch.column("text_hash")
             for at, end, data, offs in A.slices(batch.column("text")):
                 row, number, start, stop = A.lines(data, offs)
-                h = A.span_hash(A.prefix_sums(data), start, stop)
+                h, row = A.span_hash(A.prefix_sums(data), start, stop), pa.array(row + at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), ids.take(pa.array(row + at)), pa.array(number.astype(np.int32))],
-                    names=["h", "doc_id", "line"],
+                    [pa.array(h.view(np.int64)), ids.take(row), texts.take(row), pa.array(number.astype(np.int32))],
+                    names=["h", "doc_id", "text_hash", "line"],
                 )
 
-    return docs.mapInArrow(run, "h long, doc_id long, line int")
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(
+        run, "h long, doc_id long, text_hash long, line int"
+    )
 
 
 def banded(docs: DataFrame, parts: int) -> DataFrame:
@@ -182,9 +195,10 @@ def line_set(raw: bytes) -> np.ndarray:
 
 
 def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, s): the bytes of the lines at `places` (id, doc_id, line)."""
-    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
-    held = docs.join(wanted.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
+    """(id, s): the bytes of the lines at `places` (id, doc_id, text_hash, line)."""
+    wanted = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "id")).alias("wanted")).toDF("d", "t", "wanted")
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), "text")
+    held = rows.join(wanted, same_row(wanted, "d", "t")).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +210,7 @@ def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
                         raw = split[one["line"]].encode()
                         data = np.frombuffer(raw, np.uint8)
                         h = A.span_hash(A.prefix_sums(data), np.array([0]), np.array([len(data)])).view(np.int64)[0]
-                        if h == one["id"]:  # of rows with one id, the one that holds the line
+                        if h == one["id"]:  # not of another text with the same hash
                             ids.append(one["id"])
                             texts.append(raw)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["id", "s"])
@@ -219,12 +233,12 @@ def line_sets(texts: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id and removed (array of line numbers from 0): the lines that are not the first of their component."""
+    """doc_id, text_hash and removed (array of line numbers from 0): the lines that are not the first of their component."""
     seen = stage(occurrences(docs), "lines")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
+    first = F.min(F.struct("doc_id", "text_hash", "line")).alias("first")
     classes = stage(seen.groupBy(F.col("h").alias("id")).agg(first, F.count("*").alias("n")), "classes")
     met = stage(banded(docs, partitions(docs)).groupBy("part").applyInArrow(meeting, "v long, id long, df long"), "met")
-    places = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "first.doc_id", "first.line")
+    places = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "first.*")
     texts = stage(line_texts(docs, places), "line_texts")
     pairs = stage(star_pairs(met), "pairs")
     links = stage(same_sets(pairs, texts, percent, line_set), "links")
@@ -243,31 +257,55 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     grouped = with_components(classes, found)
     kept = grouped.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     gone = seen.join(grouped.select(F.col("id").alias("h"), "comp").join(kept, "comp").select("h", "kept"), "h")
-    gone = gone.where(~F.struct("doc_id", "line").eqNullSafe(F.col("kept")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = gone.where(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("kept")))
+    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def _lines() -> Column:
     return F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
 
 
+def _worded(text: Column) -> Column:
+    return text.rlike(r"[^\x20\x09-\x0D]")
+
+
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_lines, n_removed and removed of every row of (doc_id, text)."""
-    gone = duplicate_lines(docs, percent).withColumnRenamed("doc_id", "d")
-    counted = docs.select("doc_id", F.size(_lines()).cast("long").alias("n_lines"))
+    gone = duplicate_lines(docs, percent).toDF("d", "t", "removed")
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), F.size(_lines()).cast("long").alias("n_lines"))
+    rows = stage(rows.groupBy("doc_id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.count("*").alias("n")), "rows")
     none = F.array().cast("array<int>")
-    joined = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left").withColumn("removed", F.coalesce("removed", none))
-    return joined.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    first = rows.join(gone, same_row(gone, "d", "t"), "left").select("doc_id", "n_lines", F.coalesce("removed", none).alias("removed"))
+    # of equal rows all but one lose every line with a word
+    again = rows.where("n > 1").toDF("d", "t", "n_lines", "n")
+    worded = F.filter(F.transform(_lines(), lambda line, k: F.when(_worded(line), k)), lambda k: k.isNotNull())
+    keyed = docs.select("doc_id", text_hash().alias("text_hash"), "text")
+    copied = keyed.join(again, same_row(again, "d", "t"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    copied = copied.select("doc_id", "text_hash", worded.alias("removed"))
+    more = copied.join(again, same_row(again, "d", "t")).select(
+        "doc_id", "n_lines", "removed", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))).alias("copy")
+    )
+    return first.unionByName(more.drop("copy")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def without_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of `docs`, with all columns, their texts without the removed lines. A text that loses its last line with
     a word goes: all it held stays elsewhere."""
-    gone = duplicate_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), percent)
-    gone = gone.toDF("__d", "__gone")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = duplicate_lines(named, percent).toDF("__d", "__t", "__gone")
     kept = F.filter(_lines(), lambda line, k: ~F.array_contains(F.col("__gone"), k))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__d"]), "left").withColumn("__text", text)
-    stays = F.col("__gone").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["__d"]) & (text_hash() == gone["__t"])
+    joined = docs.join(gone, same, "left").withColumn("__text", text)
+    stays = F.col("__gone").isNull() | _worded(F.col("__text"))
     names = [F.col("__text").alias("text") if n == "text" else F.col(n) for n in docs.columns]
-    return joined.where(stays).select(*names)
+    left = joined.where(stays)
+    again = named.where(_worded(F.col("text"))).groupBy("doc_id", text_hash().alias("text_hash")).count().where("count > 1")
+    again = stage(again.select("doc_id", "text_hash"), "copied").toDF("__c", "__u")
+    if again.isEmpty():
+        return left.select(*names)
+    # of equal rows with a word one stays
+    copied = F.col("doc_id").cast("long").eqNullSafe(again["__c"]) & (text_hash() == again["__u"])
+    one = left.join(again, copied, "left_semi").withColumns({"__c": F.col("doc_id").cast("long"), "__u": text_hash()})
+    rest = left.join(again, copied, "left_anti").select(*names)
+    return rest.unionByName(one.dropDuplicates(["__c", "__u"]).select(*names))
