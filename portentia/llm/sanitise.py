@@ -3,8 +3,9 @@
 Four kinds are found by pattern (e-mail, ip, card, phone). Every value found is a protected entity. Words within
 CONTEXT characters of an entity are its terms; over the whole corpus it is counted how often a term occurs at all and
 how often next to that entity. A term discloses an entity if an observer who sees it learns it: the conditional
-probability of the entity given the term and the pointwise mutual information in bits both reach their thresholds, over
-enough different contexts (copies of a passage count once). Disclosing terms are marked wherever they occur, and
+probability of the entity given the term and the pointwise mutual information in bits both reach their thresholds. Every
+pair is measured; a pair met few times is held to a lower bound of the probability (Wilson, one standard error), in which
+copies of a passage count once. Disclosing terms are marked wherever they occur, and
 `sanitise` generalises entities to their kind and removes disclosing terms.
 
 Cases: null and empty texts have no spans; matches that fail a check (ip parts, Luhn, digit counts) are dropped and the
@@ -29,8 +30,8 @@ KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 WORD_GAP = r"[^\p{L}\p{M}\p{N}]+"
 #: Characters on each side of an entity in which words count as its terms.
 CONTEXT = 80
-#: Different contexts, conditional probability and bits from which a term discloses an entity.
-MIN_CONTEXTS, MIN_PROBABILITY, MIN_BITS = 4, 0.5, 6.0
+#: Lower bound of the conditional probability, and bits at that bound, from which a term discloses an entity.
+MIN_PROBABILITY, MIN_BITS = 0.5, 6.0
 
 
 def digits(value: Column) -> Column:
@@ -138,15 +139,19 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_GAP), lambda w: F.length(w) > 1)
 
 
+def lower_bound(share: Column, trials: Column) -> Column:
+    """Wilson's lower bound, at one standard error, of a probability seen as `share` of so many trials."""
+    spread = F.sqrt(share * (1 - share) / trials + 1 / (4 * trials * trials))
+    return (share + 1 / (2 * trials) - spread) / (1 + 1 / trials)
+
+
 def disclosing_terms(
-    base: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS, min_probability: float = MIN_PROBABILITY,
-    min_bits: float = MIN_BITS,
+    base: DataFrame, docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_bits: float = MIN_BITS
 ) -> DataFrame:
     """(term, entity, together, occurrences, bits) of the terms that disclose an entity.
 
-    Next to entities: one row per word of a context, reduced per (entity, term). Over the corpus only terms that came
-    together with some entity in enough contexts are counted; the words of all texts meet them in a join that reduces
-    to one count per term before it is shuffled.
+    Next to entities: one row per word of a context, reduced per (entity, term). The words of all texts are reduced to
+    one count per term before they are shuffled and meet the pairs.
     """
     near = base.select(
         F.explode(F.concat(*[
@@ -157,14 +162,15 @@ def disclosing_terms(
     words = near.select("entity", F.xxhash64("context").alias("place"), F.explode(F.array_distinct(_terms(F.col("context")))).alias("term"))
     once = words.groupBy("entity", "term", "place").agg(F.count("*").alias("n"))
     pairs = once.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
-    pairs = stage(pairs.where(F.col("contexts") >= min_contexts), "term_pairs")
+    pairs = stage(pairs, "term_pairs")
     candidates = pairs.select("term").distinct()
     total = docs.select(F.size(_terms(F.coalesce("text", F.lit("")))).alias("n")).agg(F.sum("n")).first()[0] or 0
-    spoken = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).join(candidates, "term")
-    spoken = spoken.groupBy("term").agg(F.count("*").alias("occurrences"))
+    spoken = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+    spoken = spoken.groupBy("term").agg(F.count("*").alias("occurrences")).join(candidates, "term", "left_semi")
     share = near.groupBy("entity").agg(F.sum(F.size(_terms(F.col("context")))).alias("around"))
     found = pairs.join(spoken, "term").join(share, "entity")
-    found = found.withColumn("probability", F.least(F.lit(1.0), F.col("together") / F.col("occurrences")))
+    share_of = F.least(F.lit(1.0), F.col("together") / F.col("occurrences"))
+    found = found.withColumn("probability", lower_bound(share_of, F.col("contexts") / share_of))
     found = found.withColumn("bits", F.log2(F.col("probability") * F.lit(float(max(total, 1))) / F.greatest("around", F.lit(1))))
     return found.where((F.col("probability") >= min_probability) & (F.col("bits") >= min_bits)).select(
         "term", "entity", "together", "occurrences", "bits"
@@ -173,12 +179,14 @@ def disclosing_terms(
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_key, terms: spans in order) of the texts that hold a disclosing term."""
-    words = docs.select("text", text_key().alias("text_key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    held = words.join(terms.select("term").distinct(), "term").dropDuplicates(["text_key", "term"])
-    held = held.withColumn("p", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])\Q"), "term", F.lit(r"\E(?![\p{L}\p{M}\p{N}])")))
-    found = held.withColumn("found", F.regexp_extract_all("text", F.col("p"), F.lit(0)))
-    placed = found.select("text_key", F.explode(located(F.col("found"), F.split("text", F.col("p"), -1))).alias("s"))
-    return placed.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end", "s.value"))).alias("term"))
+    words = docs.select(text_key().alias("text_key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    held = words.join(terms.select("term").distinct(), "term").groupBy("text_key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    either = F.concat_ws("|", F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))))
+    p = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    texts = docs.select(text_key().alias("text_key"), "text").join(held, "text_key").dropDuplicates(["text_key"])
+    found = texts.withColumn("p", p).withColumn("found", F.regexp_extract_all("text", F.col("p"), F.lit(0)))
+    placed = located(F.col("found"), F.split("text", F.col("p"), -1))
+    return found.select("text_key", F.transform(placed, lambda s: F.struct(s["start"], s["end"], s["value"])).alias("term"))
 
 
 def find_spans(docs: DataFrame, **thresholds: float) -> DataFrame:

@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import pytest
+
 from portentia.llm import line_dedup
+from portentia.llm import sanitise as S
 
 
 def test_rows_under_one_id_keep_their_own_lines(spark):
@@ -30,3 +33,14 @@ def test_equal_places_of_different_texts_are_different_lines(spark):
     rows = [(5, "The same first line, long enough to matter.\nalpha beta gamma"), (5, "The same first line, long enough to matter.\ndelta epsilon zeta")]
     got = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.removed for r in got) == [[], [0]]
+
+
+@pytest.mark.parametrize("contexts", [1, 2, 3])
+def test_terms_of_rare_entities_are_found(spark, contexts):
+    """A nickname met next to one address only, in one to three passages, also gives it away; copies prove nothing more."""
+    rows = [(k, f"note {k + 10} from quuxley today\nwrite to kim@mail.example.org at {k + 10} please") for k in range(contexts)]
+    rows += [(50 + k, f"note {k} write to us please today at {k} from office, nothing else {k * 3}") for k in range(600)]
+    rows += [(30, rows[0][1]), (40, "From frimble: write to lee@mail.example.org"), (41, "The frimble is gone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [t.value for t in r.term or []] for r in S.find_spans(df).collect()}
+    assert found[0] == found[30] == ["quuxley"] and not found[41] and not found[60]
