@@ -2,7 +2,7 @@
 
 import pytest
 
-from portentia.llm import line_dedup
+from portentia.llm import html_text, line_dedup
 from portentia.llm import sanitise as S
 
 
@@ -44,3 +44,18 @@ def test_terms_of_rare_entities_are_found(spark, contexts):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: [t.value for t in r.term or []] for r in S.find_spans(df).collect()}
     assert found[0] == found[30] == ["quuxley"] and not found[41] and not found[60]
+
+
+TEXT = "<p>" + "Some words of the article stand here. " * 6 + "</p>"
+
+
+def test_names_alone_cut_no_article():
+    """Wrappers, titles and paragraphs whose class holds a name such as sidebar, header or alert stay."""
+    for wrapper in ('class="layout has-sidebar"', 'id="content-with-sidebar"', 'class="sidebar"', "class=header"):
+        assert html_text.main_text(f"<div {wrapper}><div>{TEXT}{TEXT}</div></div>").count("Some words") == 12
+    for name in ("alert", "notice", "share", "search", "promo"):
+        page = f'<article><div class="entry-header"><h1>Title here</h1></div>{TEXT}<p class="{name}">Take great care.</p>{TEXT}</article>'
+        got = html_text.main_text(page)
+        assert got.startswith("Title here\n") and "\nTake great care.\n" in got
+    page = f'<div class="sidebar"><p>Other</p></div><article>{TEXT}<div class="share"><a href=1>Share</a> it</div><div class="comments"><h3>Replies</h3>{TEXT}</div>{TEXT}</article>'
+    assert html_text.main_text(page).count("Some words") == 12 and "Share" not in html_text.main_text(page)
