@@ -212,7 +212,6 @@ class Page:
             i = self.parent[i]
             on_path.add(i)
         keep = [False] * len(self.tag)
-        marked = self.tag[core] in ("article", "main")
         for i in range(len(self.tag)):
             if self.cut[i]:
                 continue
@@ -220,7 +219,7 @@ class Page:
                 keep[i] = True
             elif i and self.parent[i] in on_path and i not in on_path:
                 mostly_links = 2 * self.links[i] > self.chars[i]
-                keep[i] = self.density[i] >= threshold and not mostly_links and (not marked or self.tag[i] == self.tag[core])
+                keep[i] = self.density[i] >= threshold and not mostly_links
         blocks, now = [], []
         for node, text in self.parts:
             if text:

@@ -59,3 +59,11 @@ def test_names_alone_cut_no_article():
         assert got.startswith("Title here\n") and "\nTake great care.\n" in got
     page = f'<div class="sidebar"><p>Other</p></div><article>{TEXT}<div class="share"><a href=1>Share</a> it</div><div class="comments"><h3>Replies</h3>{TEXT}</div>{TEXT}</article>'
     assert html_text.main_text(page).count("Some words") == 12 and "Share" not in html_text.main_text(page)
+
+
+def test_text_beside_the_article_is_kept():
+    """Title, lead and further sections next to an article stay if they reach the threshold, whatever their tags."""
+    article, words = f"<article>{TEXT * 5}<p>One <b>more</b> <i>part</i>.</p></article>", "Words of a lead or section that stands outside the article. " * 4
+    page = f"<body><main><h1>The title of the page is long enough</h1><p>{words}</p>{article}<section><p>{words}</p></section></main><div><a href=1>Menu</a> <a href=2>x</a></div></body>"
+    got = html_text.main_text(page).split("\n")
+    assert got[0] == "The title of the page is long enough" and got[1] == got[-1] == words.strip() and len(got) == 9
