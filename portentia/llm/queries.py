@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portentia.llm.common import keyed_text, read
-from portentia.runtime import run_dir
+from portentia.runtime import run_dir, stage
 
 
 def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,28 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm.spelling import variants, word_counts
+
+    docs = keyed_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return variants(stage(word_counts(docs), "words"))
+
+
+def op12_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm.vector_file import top_k
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portentia.llm.hard_negatives import hard_negatives
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_remove_repeats": op1_remove_repeats,
     "op2_token_files": op2_token_files,
@@ -111,5 +133,40 @@ QUERIES = {
     "op3_leaks": op3_leaks,
     "op4_quality_rules": op4_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_top_k_search": op12_top_k_search,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+
+#: Usable vectors as integer codes (doubles, exact for products of this size).
+_CODES = """codes AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+ORACLE: dict[str, str] = {
+    "op12_top_k_search": f"""
+WITH {_CODES}, pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM codes q JOIN codes c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+""",
+    "op13_hard_negatives": f"""
+WITH {_CODES}, named AS (
+    SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM codes WHERE label IS NOT NULL
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_inner_product(a.v, c.v)::BIGINT AS score
+    FROM named a JOIN named c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+    n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n USING (anchor_id)
+WHERE NOT n.alike AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+QUALIFY rank <= 5
+""",
 }
-ORACLE: dict[str, str] = {}
