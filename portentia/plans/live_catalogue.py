@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from portentia.operators.scaling import scaler_table
 from portentia.plans import fixture as X
 from portentia.plans.catalogue import FEATURES, TL, Query
+from portentia.operators import prediction as P
 from portentia.operators.quality import compare_tables
-from portentia.operators.states import POSITIVE
+from portentia.operators.states import POSITIVE, feature_medians
 from portentia.operators.risk import HORIZONS
 from portentia.runtime import run_dir
-from portentia.streaming import live
+from portentia.streaming import keyed, live
+from portentia.timeline import Timeline
 
 T0 = TL.time
 
@@ -42,11 +44,8 @@ def _states(stream: DataFrame) -> DataFrame:
     )
 
 
-def _scores(stream: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
-    return live.stream_scores(
-        stream, X.FLOW_FEATURES, TL, X.LABEL, X.POSITIVE_LABEL, scaler,
-        ratio_threshold=X.RATIO_THRESHOLD,
-    )
+def _scores(stream: DataFrame, scaler: dict[str, tuple[float, float]], predictor=keyed.window_mean) -> DataFrame:
+    return keyed.keyed_scores(_states(stream), FEATURES, TL, scaler, predictor)
 
 
 def stream_states(spark, sf):
@@ -75,37 +74,45 @@ def stream_late_drop(spark, sf):
     return spark.read.parquet(f"{out}/states").select(T0, "flow_count", "label_ratio", POSITIVE)
 
 
-def _streamed_scores(spark, sf):
-    states = X.states(spark, sf)
+def _streamed_scores(spark, sf, states, predictor=keyed.window_mean):
     out = run_dir(spark, "stream_scores")
-    scored = _scores(_events_stream(spark, sf), _scaler(states))
-    live.run_available(scored, f"{out}/scores", f"{out}/checkpoint")
-    return states, spark.read.parquet(f"{out}/scores")
+    scored = _scores(_events_stream(spark, sf), _scaler(states), predictor)
+    keyed.run_keyed(scored, f"{out}/scores", f"{out}/checkpoint")
+    return spark.read.schema(scored.schema).parquet(f"{out}/scores")
 
 
 def stream_scores(spark, sf):
-    return _streamed_scores(spark, sf)[1].select(
+    """Closed states meet the last ten vectors kept for their key."""
+    return _streamed_scores(spark, sf, X.states(spark, sf)).select(
         T0, "source_time", POSITIVE, "mse", "mae", "top_feature", "top_feature_error"
     )
 
 
 def live_vs_batch(spark, sf):
     """Replayed errors against the batch errors of the same minutes."""
-    states, streamed = _streamed_scores(spark, sf)
-    return compare_tables(streamed, X.scores(states), [T0], ["mse", "mae"])
+    states = X.states(spark, sf)
+    return compare_tables(_streamed_scores(spark, sf, states), X.scores(states), [T0], ["mse", "mae"])
+
+
+def stream_scores_linear(spark, sf):
+    """A fitted linear model on the stream against the batch scores of the same weights."""
+    states = X.states(spark, sf)
+    scaler = X.scaler(states)
+    weights = P.fit_next_state(states, TL, FEATURES, scaler)
+    streamed = _streamed_scores(spark, sf, states, P.linear_predictor(weights))
+    batch = P.score_linear(states, TL, FEATURES, scaler, weights)
+    return compare_tables(streamed, batch, [T0], ["mse", "mae"])
 
 
 def stream_forecast(spark, sf):
-    """Three arrivals, each run through scoring and rolling risk before the next."""
+    """Three arrivals; the last errors of the key are in its state, so each arrival is read once."""
     scaler = _scaler(X.states(spark, sf))
     out = run_dir(spark, "stream_forecast")
     flows = X.flows(spark, sf)
     for arrival in range(3):
         flows.filter(_slice() == arrival).write.mode("append").parquet(f"{out}/flows")
         scored = _scores(live.stream_table(spark, f"{out}/flows", flows.schema), scaler)
-        live.run_available(scored, f"{out}/scores", f"{out}/score_checkpoint")
-        scores = live.stream_table(spark, f"{out}/scores", scored.schema)
-        live.run_live_forecast(scores, TL, f"{out}/risk", f"{out}/risk_work")
+        keyed.run_keyed(keyed.keyed_forecast(scored), f"{out}/risk", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/risk").select(
         T0, "mse", "baseline", "ratio", "current_level",
         "above95_count_5", "above95_count_10", "above99_count_5", "above99_count_10",
@@ -114,10 +121,57 @@ def stream_forecast(spark, sf):
     )
 
 
+SENSORS = Timeline(bucket_seconds=3600, keys=("sensor",))
+
+
+def _sensor_states(spark, sf, name: str, arrival: Column, arrivals: int, idle_seconds: float | None = None) -> DataFrame:
+    """States by sensor of flows that arrive in parts; rows without an arrival never come."""
+    out = run_dir(spark, name)
+    flows = X.flows(spark, sf).withColumn("sensor", F.expr("nullif(CAST(user_id AS BIGINT) % 4, 3)"))
+    for part in range(arrivals):
+        flows.filter(arrival == part).write.mode("append").parquet(f"{out}/flows")
+        stream = live.stream_table(spark, f"{out}/flows", flows.schema)
+        states = keyed.keyed_states(
+            stream, ["value", "k"], SENSORS, X.LABEL, X.POSITIVE_LABEL, ratio_threshold=X.RATIO_THRESHOLD, idle_seconds=idle_seconds
+        )
+        keyed.run_keyed(states, f"{out}/states", f"{out}/checkpoint", timers=True)
+    return spark.read.schema(states.schema).parquet(f"{out}/states")
+
+
+def stream_slow_sensor(spark, sf):
+    """One sensor arrives ten days behind the others and loses nothing: buckets close by their own sensor's time."""
+    slow = F.coalesce((F.col("sensor") == 0).cast("int"), F.lit(0))
+    return _sensor_states(spark, sf, "slow_sensor", _slice() + slow, 4)
+
+
+def stream_idle_flush(spark, sf):
+    """One sensor falls silent for good: a timer closes its last bucket. Those of the others are still open."""
+    silent = F.coalesce(F.col("sensor") == 0, F.lit(False)) & (_slice() == 2)
+    return _sensor_states(spark, sf, "idle_flush", F.when(~silent, _slice()), 3, idle_seconds=0.001)
+
+
+def stream_filled_states(spark, sf):
+    """Stored medians fill what is missing on the stream."""
+    flows = X.flows(spark, sf)
+    gaps = F.when(F.col("event_id") % 97 != 0, F.col("value"))
+    medians = {r["feature"]: r["median"] for r in feature_medians(flows.withColumn("value", gaps), ["value", "k"]).collect()}
+    out = run_dir(spark, "filled_states")
+    stream = _events_stream(spark, sf).withColumn("value", gaps)
+    states = keyed.keyed_states(
+        stream, ["value", "k"], TL, X.LABEL, X.POSITIVE_LABEL, ratio_threshold=X.RATIO_THRESHOLD, medians=medians
+    )
+    keyed.run_keyed(states, f"{out}/states", f"{out}/checkpoint", timers=True)
+    return spark.read.schema(states.schema).parquet(f"{out}/states")
+
+
 STREAMING: dict[str, Query] = {
     "stream_states": stream_states,
     "stream_late_drop": stream_late_drop,
     "stream_scores": stream_scores,
     "live_vs_batch": live_vs_batch,
     "stream_forecast": stream_forecast,
+    "stream_scores_linear": stream_scores_linear,
+    "stream_slow_sensor": stream_slow_sensor,
+    "stream_idle_flush": stream_idle_flush,
+    "stream_filled_states": stream_filled_states,
 }

@@ -707,6 +707,33 @@ FINALS["live_vs_batch"] = " UNION ALL ".join(
 FINALS["stream_forecast"] = FINALS["live_forecast"] + f" WHERE {_CLOSED}"
 
 
+FINALS["stream_scores_linear"] = FINALS["live_vs_batch"]
+
+
+def _sensor_buckets(flows: str, keep: str) -> str:
+    """States by sensor and hour of the flows that came, where `keep` holds of the bucket and its sensor's last one."""
+    return f"""SELECT sensor, time_window, {rs('value', 'k')}, flow_count, {r('label_ratio')}, is_positive FROM (
+        SELECT *, max(time_window) OVER (PARTITION BY sensor) AS latest FROM (
+            SELECT sensor, time_bucket(INTERVAL 60 MINUTE, ts) AS time_window, avg(value) AS value, avg(k) AS k,
+                count(*) AS flow_count, avg(CAST(event_type = 'error' AS INTEGER)) AS label_ratio,
+                {_STATE_AVG.format(label='event_type')}
+            FROM (SELECT *, nullif(CAST(user_id AS BIGINT) % 4, 3) AS sensor FROM flows) q WHERE {flows} GROUP BY 1, 2
+        ) s
+    ) b WHERE {keep}"""
+
+
+FINALS["stream_slow_sensor"] = _sensor_buckets("true", "time_window < latest")
+FINALS["stream_idle_flush"] = _sensor_buckets(
+    "NOT (sensor IS NOT DISTINCT FROM 0 AND ts >= TIMESTAMP '2024-01-21')", "time_window < latest OR sensor IS NOT DISTINCT FROM 0"
+)
+FINALS["stream_filled_states"] = f"""SELECT time_window, {rs('value', 'k')}, flow_count, {r('label_ratio')}, is_positive FROM (
+    SELECT time_bucket({B}, ts) AS time_window, avg(coalesce(gap, m)) AS value, avg(coalesce(k, mk)) AS k, count(*) AS flow_count,
+        avg(CAST(event_type = 'error' AS INTEGER)) AS label_ratio, {_STATE_AVG.format(label='event_type')}
+    FROM (SELECT *, CASE WHEN event_id % 97 <> 0 THEN value END AS gap FROM flows) f,
+        (SELECT quantile_cont(CASE WHEN event_id % 97 <> 0 THEN value END, 0.5) AS m, quantile_cont(k, 0.5) AS mk FROM flows) q
+    GROUP BY 1) s WHERE {_CLOSED}"""
+
+
 FINALS["csv_states"] = FINALS["network_states"]
 _DIRTY = "event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0 OR event_id % 79 = 0"
 FINALS["states_dirty_doubles"] = f"""SELECT time_bucket({B}, ts) AS time_window,
