@@ -66,11 +66,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
     held: list[list[np.ndarray]] = [[], [], [], [], [], []]
     ids: list = []
     size = base = 0
-    for batch in batches:
+    for batch in (b.slice(k, BLOCK_DOCS // 2) for b in batches for k in range(0, b.num_rows, BLOCK_DOCS // 2)):
         flags = batch.column("held_out").to_numpy(zero_copy_only=False)
         names = batch.column("doc_id").to_pylist()
         for at, end, data, offs in A.slices(batch.column("text")):
             n = end - at
+            if base + n > BLOCK_DOCS:  # document numbers of a block have 16 bits
+                yield ids, *(np.concatenate(h) for h in held[:5])
+                held, ids, size, base = [[], [], [], [], [], []], [], 0, 0
             rows, hashes, _ = A.words(data, offs, lower=True)
             counts = np.bincount(rows, minlength=n)
             place = np.cumsum(counts + 1) - 1  # of the end token of each row
@@ -87,7 +90,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
                 store.append(value)
             ids += names[at:end]
             base, size = base + n, size + len(data)
-            if size >= BLOCK or base >= BLOCK_DOCS - 2048:
+            if size >= BLOCK:
                 yield ids, *(np.concatenate(h) for h in held[:5])
                 held, ids, size, base = [[], [], [], [], [], []], [], 0, 0
     if ids:
