@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from portentia.llm import arrays as A
 from portentia.llm.common import components, partitions
-from portentia.llm.near_duplicates import SHORT, cross_pairs, rare_links, same_sets, several_components, star_pairs, with_components
+from portentia.llm.near_duplicates import SHORT, cross_pairs, rare_links, same_sets, several_components, star_pairs, text_hash, with_components
 from portentia.runtime import stage
 
 SHINGLE = 8
@@ -93,11 +93,6 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_hash() -> Column:
-    """With the doc_id, what a row is known by."""
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
 def same_row(other: DataFrame, doc_id: str, text: str) -> Column:
     """Do doc_id and text_hash name the row that the columns of `other` name?"""
     return F.col("doc_id").eqNullSafe(other[doc_id]) & (F.col("text_hash") == other[text])
@@ -295,17 +290,18 @@ def without_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = duplicate_lines(named, percent).toDF("__d", "__t", "__gone")
     kept = F.filter(_lines(), lambda line, k: ~F.array_contains(F.col("__gone"), k))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["__d"]) & (text_hash() == gone["__t"])
-    joined = docs.join(gone, same, "left").withColumn("__text", text)
-    stays = F.col("__gone").isNull() | _worded(F.col("__text"))
-    names = [F.col("__text").alias("text") if n == "text" else F.col(n) for n in docs.columns]
-    left = joined.where(stays)
-    again = named.where(_worded(F.col("text"))).groupBy("doc_id", text_hash().alias("text_hash")).count().where("count > 1")
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row")).withColumns(
+        {"__key": F.col("__row.doc_id").cast("long"), "text": F.col("__row.text").cast("string")}
+    ).withColumn("__hash", text_hash())
+    joined = held.join(gone, held["__key"].eqNullSafe(gone["__d"]) & (held["__hash"] == gone["__t"]), "left").withColumn("__left", text)
+    left = joined.where(F.col("__gone").isNull() | _worded(F.col("__left")))
+    row = F.struct(*[F.col("__left").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    left = left.select(row.alias("__row"), "__key", "__hash")
+    again = named.where(_worded(F.col("text"))).groupBy("doc_id", text_hash().alias("text_hash")).agg(F.count("*").alias("n")).where("n > 1")
     again = stage(again.select("doc_id", "text_hash"), "copied").toDF("__c", "__u")
     if again.isEmpty():
-        return left.select(*names)
+        return left.select("__row.*")
     # of equal rows with a word one stays
-    copied = F.col("doc_id").cast("long").eqNullSafe(again["__c"]) & (text_hash() == again["__u"])
-    one = left.join(again, copied, "left_semi").withColumns({"__c": F.col("doc_id").cast("long"), "__u": text_hash()})
-    rest = left.join(again, copied, "left_anti").select(*names)
-    return rest.unionByName(one.dropDuplicates(["__c", "__u"]).select(*names))
+    copied = left["__key"].eqNullSafe(again["__c"]) & (left["__hash"] == again["__u"])
+    one = left.join(again, copied, "left_semi").dropDuplicates(["__key", "__hash"])
+    return left.join(again, copied, "left_anti").unionByName(one).select("__row.*")

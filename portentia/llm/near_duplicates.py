@@ -16,8 +16,9 @@ the n - ceil(n * percent / 100) + 1 rarest. What meets only in long lists even s
 links that join components and no more; none of it is dropped.
 
 Cases: null and empty texts have the empty set and are linked with nothing; fewer words than a shingle make one shingle;
-rows with equal ids count as one document of the component; a row without id is its own component (null) and kept;
-texts of any length are hashed whole.
+classes are named by row numbers, so rows under one id (null too) are judged by their own texts; a component's id is the
+smallest id in it, null if it has none (its rows then count as kept); texts of any length are hashed whole; empty tables
+give an empty result; columns other than doc_id and text are never looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portentia.llm import arrays as A
@@ -75,19 +76,28 @@ def _sketch(size: int):
                 sketch = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(low))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, n), pa.array(np.diff(edge)),
+                        batch.column("doc_id").slice(at, n), batch.column("text_hash").slice(at, n), pa.array(np.diff(edge)),
                         pa.array((sums[edge[1:]] - sums[edge[:-1]]).view(np.int64)),
                         pa.array((mixed[edge[1:]] - mixed[edge[:-1]]).view(np.int64)), sketch,
                     ],
-                    names=["doc_id", "n", "d1", "d2", "sketch"],
+                    names=["doc_id", "text_hash", "n", "d1", "d2", "sketch"],
                 )
 
     return run
 
 
+def text_hash() -> Column:
+    """With the doc_id, what a row is known by."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (distinct shingles), d1, d2 (digest of the set) and the K smallest hashes, in unsigned order."""
-    return docs.mapInArrow(_sketch(size), "doc_id long, n long, d1 long, d2 long, sketch array<bigint>")
+    """Row number, doc_id, text_hash, n (distinct shingles), d1, d2 (digest of the set) and the K smallest hashes, in
+    unsigned order."""
+    made = docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(
+        _sketch(size), "doc_id long, text_hash long, n long, d1 long, d2 long, sketch array<bigint>"
+    )
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
 def meetings(lists: DataFrame) -> DataFrame:
@@ -152,8 +162,10 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(id, n, s): the full sets of the classes in `ids`, as packed sorted hashes, made anew from the texts."""
-    named = classes.join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "d1", "d2")
-    held = docs.join(named, "doc_id").select("doc_id", "d1", "d2", "text")
+    named = classes.join(ids, "id", "left_semi").select("id", "d1", "doc_id", "text_hash").toDF("id", "d1", "__d", "__t")
+    rows = docs.select("doc_id", "text", text_hash().alias("text_hash"))
+    same = rows["doc_id"].eqNullSafe(named["__d"]) & (rows["text_hash"] == named["__t"])
+    held = rows.join(named, same).select("id", "d1", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +173,10 @@ def full_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) ->
                 of, values = shingle_sets(data, offs, size)
                 edge = np.searchsorted(of, np.arange(end - at + 1))
                 sums = np.array([values[a:b].sum(dtype=U64) for a, b in zip(edge, edge[1:])], dtype=U64).view(np.int64)
-                mine = sums == batch.column("d1").slice(at, end - at).to_numpy()  # of rows with one id, the one named
+                mine = sums == batch.column("d1").slice(at, end - at).to_numpy()  # not of another text with the same hash
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, end - at).filter(pa.array(mine)), pa.array(np.diff(edge)[mine]),
+                        batch.column("id").slice(at, end - at).filter(pa.array(mine)), pa.array(np.diff(edge)[mine]),
                         pa.array([values[edge[k] : edge[k + 1]].tobytes() for k in np.flatnonzero(mine)], pa.binary()),
                     ],
                     names=["id", "n", "s"],
@@ -216,6 +228,27 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def sharing_pairs(members: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of sets of fitting sizes that share one of their rarest values among these sets, as similar ones must."""
+    n = np.array([len(m) for m in members])
+    of = np.repeat(np.arange(len(members)), n)
+    _, value, counts = np.unique(np.concatenate([np.zeros(0, U64), *members]), return_inverse=True, return_counts=True)
+    order = np.lexsort((value, counts[value], of))
+    of, value = of[order], value[order]
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    prefix = (rank <= (n - -(-n * percent // 100))[of]) & (counts[value] > 1)
+    of, value = of[prefix], value[prefix]
+    order = np.lexsort((of, value))
+    of, value = of[order], value[order]
+    ends = np.searchsorted(value, value, side="right")
+    for k in range(len(members)):
+        mine = np.flatnonzero(of == k)
+        if len(mine):
+            met = np.unique(np.concatenate([of[a + 1 : b] for a, b in zip(mine.tolist(), ends[mine].tolist())]))
+            for j in met[(100 * np.minimum(n[met], n[k]) >= percent * np.maximum(n[met], n[k]))].tolist():
+                yield k, j
+
+
 def in_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of long lists (v, id, comp) in different components, by their sets (id, n, s).
 
@@ -243,19 +276,17 @@ def in_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
-        ids, n = table.column("id").to_numpy()[order], table.column("n").to_numpy()[order]
+        ids = table.column("id").to_numpy()[order]
         comp = np.unique(table.column("comp").to_numpy()[order], return_inverse=True)[1]
         raw = table.column("s")
         members = [packed_set(raw[int(k)].as_py()) for k in order]
         found = []
-        for k in range(len(ids) - 1):
-            near = (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])) & (comp[k + 1 :] != comp[k])
-            for j in (np.flatnonzero(near) + k + 1).tolist():
-                if comp[j] != comp[k]:
-                    shared = shared_count(members[k], members[j])
-                    if 100 * shared >= percent * (n[k] + n[j] - shared):
-                        found.append((ids[k], ids[j]))
-                        comp[comp == comp[j]] = comp[k]
+        for k, j in sharing_pairs(members, percent):
+            if comp[j] != comp[k]:
+                shared = shared_count(members[k], members[j])
+                if shared and 100 * shared >= percent * (len(members[k]) + len(members[j]) - shared):
+                    found.append((ids[k], ids[j]))
+                    comp[comp == comp[j]] = comp[k]
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     groups = meets.select("v", "m.step", "m.lower", "m.upper", "id", "comp", "n", "s").groupBy("v", "step", "lower", "upper")
@@ -310,14 +341,14 @@ def with_components(df: DataFrame, found: DataFrame) -> DataFrame:
     ).drop("component")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the smallest id of its component) of every row (doc_id, text)."""
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_hash, n, d1, d2) of (doc_id, text), and the component number comp of every set (d1, d2, n)."""
     rows = stage(sketches(docs, size), "sketches")
-    full = rows.where("n > 0 and doc_id is not null")
-    named = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
+    full = rows.where("n > 0")
+    named = full.groupBy("d1", "d2", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("first"))
+    first = named.select(F.col("id").alias("row"))
     classes = stage(
-        full.join(named.withColumnRenamed("id", "doc_id"), ["doc_id", "d1", "d2", "n"]).dropDuplicates(["doc_id", "d1", "d2"])
-        .select(F.col("doc_id").alias("id"), "n", "d1", "d2", "sketch"), "classes",
+        full.join(first, "row").select(F.col("row").alias("id"), "n", "d1", "d2", "sketch", "doc_id", "text_hash"), "classes"
     )
     lists = stage(meetings(classes.select("id", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))), "lists")
     first = stage(estimated(star_pairs(lists), classes, percent), "pairs")
@@ -335,11 +366,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     joined = stage(joined, "links")
     if not joined.isEmpty():
         found = stage(components(links.union(joined)), "components")
-    # classes under one id are one document
     named = with_components(named, found)
-    return rows.join(named.select("d1", "d2", "n", "comp"), ["d1", "d2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return rows.drop("sketch"), stage(named.select("d1", "d2", "n", "comp", "first"), "grouped")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (the smallest id of its component) of every row (doc_id, text)."""
+    rows, named = grouped(docs, size, percent)
+    firsts = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    known = named.join(firsts, "comp").select("d1", "d2", "n", "component_id", F.lit(True).alias("known"))
+    component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(known, ["d1", "d2", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
+    ).withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all columns, one of each component: the one with the smallest id (null ids last), of
+    different texts under that id the one with the smallest hash, and of equal rows any one. Rows without a word stay."""
+    rows, named = grouped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), size, percent)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    # rows with equal ids and texts as one
+    texts = rows.where("n > 0").groupBy("doc_id", "text_hash", "d1", "d2", "n").agg(F.count("*").alias("rows"))
+    texts = stage(texts.join(named.drop("first"), ["d1", "d2", "n"]).select("doc_id", "text_hash", "comp", "rows", place.alias("place")), "texts")
+    best = texts.groupBy("comp").agg(F.min("place").alias("best"))
+    texts = stage(texts.join(best, "comp").select("doc_id", "text_hash", "rows", (F.col("place") == F.col("best")).alias("kept")), "verdicts")
+    gone = texts.where("not kept").select("doc_id", "text_hash").toDF("__d", "__t")
+    again = texts.where("kept and rows > 1").select("doc_id", "text_hash").toDF("__d", "__t")
+    key, of = F.col("__row.doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("__row.text").cast("string"), F.lit("")))
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    same = key.eqNullSafe(F.col("__d")) & (of == F.col("__t"))
+    left = held.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return left.select("__row.*")
+    one = left.join(again, same, "left_semi").withColumns({"__key": key, "__hash": of}).dropDuplicates(["__key", "__hash"])
+    return left.join(again, same, "left_anti").unionByName(one.select("__row")).select("__row.*")
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:

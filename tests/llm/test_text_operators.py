@@ -85,7 +85,6 @@ def test_token_files(spark, docs, empty, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     T.write_tokens(docs.select("doc_id", "text"), path, f"{tmp_path}/ids")
     segments = T.read_segments(spark, f"{tmp_path}/ids")
     got = {r.doc_id: r for r in T.with_starts(T.documents(segments), segments).collect()}

@@ -67,3 +67,34 @@ def test_text_beside_the_article_is_kept():
     page = f"<body><main><h1>The title of the page is long enough</h1><p>{words}</p>{article}<section><p>{words}</p></section></main><div><a href=1>Menu</a> <a href=2>x</a></div></body>"
     got = html_text.main_text(page).split("\n")
     assert got[0] == "The title of the page is long enough" and got[1] == got[-1] == words.strip() and len(got) == 9
+
+
+def test_added_tokens_are_taken_as_the_library_takes_them():
+    """With the library's defaults, also inside words and in capitals."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from portentia.llm.token_files import WordIds
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, mine = Tokenizer.from_file(path), WordIds(path)
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    texts = [f"hi {t} you" for t in added] + [f"a{t}b {t.upper()}." for t in added] + ["plain words, <| none of them |>"]
+    for text, got in zip(texts, mine.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_many_empty_texts_keep_their_own_scores(spark):
+    """More documents in a block than 16 bits can number, whatever the size of the batches."""
+    import pyarrow as pa
+
+    from portentia.llm.pitman_yor import BLOCK_DOCS, _blocks
+
+    n = 2 * BLOCK_DOCS + 5000
+    for size in (1000, 10_000, n):
+        batch = pa.RecordBatch.from_pydict({"text": [""] * n, "doc_id": list(range(n)), "held_out": [False] * n})
+        blocks = list(_blocks(batch.slice(k, size) for k in range(0, n, size)))
+        assert [i for ids, *_ in blocks for i in ids] == list(range(n))
+        assert all(len(ids) <= BLOCK_DOCS and doc.tolist() == list(range(len(ids))) for ids, _, _, doc, *_ in blocks)
