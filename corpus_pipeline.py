@@ -29,11 +29,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    from portentia.llm.common import keyed_text
-    from portentia.llm.near_duplicates import near_duplicates
+    from portentia.llm.near_duplicates import without_copies
 
-    copies = near_duplicates(keyed_text(docs)).where("not kept").select(F.col("doc_id").alias("__copy"))
-    return docs.join(copies, docs["doc_id"].cast("long") == copies["__copy"], "left_anti")
+    return without_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
