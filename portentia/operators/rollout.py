@@ -1,16 +1,22 @@
 """Recursive multi-step forecasts for every origin at once, and their evaluation.
 
-A linear predictor applied to its own output stays linear in the original window, so step ``k`` is
-a weighted sum of the last ``length`` vectors. The weights do not depend on data: they are worked
-out once and travel as literals, and all origins and steps are independent rows.
+A linear predictor applied to its own output stays linear in the original window: step ``k`` is a power of the model's
+companion matrix applied to the last ``length`` vectors. The powers do not depend on data. They are worked out once,
+side by side as one matrix, and every Arrow batch of origins takes all its steps in one matrix product; this holds for
+the moving average and persistence as well as for fitted weights. All origins are independent rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import sys
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from portentia.functions import vectors as V
 from portentia.functions.columns import safe_ratio
@@ -20,31 +26,55 @@ from portentia.operators.sequences import vector
 from portentia.operators.states import POSITIVE
 from portentia.timeline import Timeline, over_blocks, unbroken
 
+# Task functions travel with their helpers, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Weights of shock and deviation in the risk, and the trend band.
 RISK_SHOCK = 0.70
 RISK_DEVIATION = 0.30
 TREND_BAND = 0.1
 
 
-def step_weights(method: str, steps: int, length: int = 10) -> list[list[float]]:
-    """Weights of the last ``length`` vectors (oldest first) for each forecast step."""
-    if steps < 1:
-        raise ValueError("at least one step")
+def method_weights(method: str, n_features: int, length: int = 10) -> np.ndarray:
+    """A simple predictor as weights of a linear model: (length * f + 1, f), the last row being the intercept."""
     one_step = {
-        "window_mean": [1.0 / length] * length,
-        "persistence": [0.0] * (length - 1) + [1.0],
+        "window_mean": np.full(length, 1.0 / length),
+        "persistence": np.append(np.zeros(length - 1), 1.0),
     }[method]
-    window = [[1.0 if i == j else 0.0 for i in range(length)] for j in range(length)]
+    return np.vstack([np.kron(one_step[:, None], np.eye(n_features)), np.zeros(n_features)])
+
+
+def step_matrix(weights: np.ndarray, steps: int) -> np.ndarray:
+    """From a window and a one, (length * f + 1), to all steps of its rollout, (steps * f).
+
+    Column block ``k`` holds the first rows of the ``k``-th power of the companion matrix.
+    """
+    if steps < 1:
+        raise ValueError("at least one step")
+    size, f = weights.shape
+    window = np.eye(size)[:, : size - 1]  # the window as a linear map of itself
+    constant = np.eye(size)[:, -1:]
     out = []
     for _ in range(steps):
-        row = [sum(w * vec[i] for w, vec in zip(one_step, window)) for i in range(length)]
-        out.append(row)
-        window = [*window[1:], row]
-    return out
+        step = window @ weights[:-1] + constant @ weights[-1:]
+        out.append(step)
+        window = np.hstack([window[:, f:], step])
+    return np.hstack(out)
+
 
+def _dense(column: pa.Array, width: int) -> np.ndarray:
+    """Nested lists as the rows of a matrix; missing values are NaN."""
+    while pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        column = column.flatten()
+    return column.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
-def _weights(rows: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(w) for w in row]) for row in rows])
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """An array of any dimension as nested lists, NaN as null."""
+    column = pa.array(values.ravel(), from_pandas=True)
+    for width in values.shape[:0:-1]:
+        column = pa.ListArray.from_arrays(np.arange(0, len(column) + 1, width, dtype=np.int32), column)
+    return column
 
 
 def forecast_paths(
@@ -55,10 +85,17 @@ def forecast_paths(
     steps: int = 15,
     method: str = "window_mean",
     length: int = 10,
+    weights: np.ndarray | None = None,
 ) -> DataFrame:
-    """One row per valid origin: the last observed vector and the ``path`` of scaled forecasts."""
+    """One row per valid origin: the last observed vector and the ``path`` of scaled forecasts.
+
+    ``weights`` are those of a fitted model over ``length`` states, as ``fit_next_state`` gives them; without them the
+    named method predicts.
+    """
     features = list(features)
+    f = len(features)
     scaled = scale_states(states, features, scaler)
+    onward = step_matrix(method_weights(method, f, length) if weights is None else weights, steps)
 
     def build(w: WindowSpec) -> dict[str, Column]:
         return {
@@ -66,15 +103,21 @@ def forecast_paths(
             "__ok": unbroken(tl, w, back=length - 1),
         }
 
-    origins = over_blocks(scaled, tl, build, before=length - 1).filter("__ok")
-    return origins.select(
-        *tl.id,
-        F.get("__x", F.lit(length - 1)).alias("last"),
-        F.transform(
-            _weights(step_weights(method, steps, length)),
-            lambda w: V.combine(w, F.col("__x"), len(features)),
-        ).alias("path"),
+    origins = over_blocks(scaled, tl, build, before=length - 1).filter("__ok").select(*tl.id, F.flatten("__x").alias("__x"))
+    names = tl.id
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _dense(batch.column("__x"), length * f)
+                path = x @ onward[:-1] + onward[-1]
+                columns = [_lists(x[:, -f:]), _lists(path.reshape(len(x), steps, f))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[*names, "last", "path"])
+
+    schema = T.StructType(
+        [*(origins.schema[c] for c in names), *T.StructType.fromDDL("last array<double>, path array<array<double>>").fields]
     )
+    return origins.mapInArrow(project, schema)
 
 
 def with_signals(paths: DataFrame, tl: Timeline) -> DataFrame:
@@ -185,15 +228,18 @@ def rollout_evaluation(
     steps: int = 15,
     method: str = "window_mean",
     length: int = 10,
+    weights: np.ndarray | None = None,
 ) -> DataFrame:
     """Every forecast step against the state that was then observed, up to the first gap.
 
-    ``baseline`` is a one-row table (median, p95, p99) of normal one-step errors. History and
-    future come from the same window, so no row is joined to its future by a second shuffle.
+    ``baseline`` is a one-row table (median, p95, p99) of normal one-step errors; ``weights`` as in
+    :func:`forecast_paths`. History and future come from the same window, so no row is joined to its future by a second
+    shuffle.
     """
     features = list(features)
     f = len(features)
     scaled = scale_states(states, features, scaler)
+    onward = step_matrix(method_weights(method, f, length) if weights is None else weights, steps)
     seen = F.struct(
         F.col(tl.time).alias("t"), F.col(POSITIVE).alias("positive"), vector(features).alias("v")
     )
@@ -207,29 +253,31 @@ def rollout_evaluation(
 
     origins = over_blocks(
         scaled, tl, build, before=length - 1, after=steps, rows=True
-    ).filter(F.col("__ok") & (F.size("__future") == steps))
-    metrics = V.let(
-        V.minus(V.combine(F.col("__p.w"), F.col("__x"), f), F.col("__p.actual.v")),
-        lambda e: F.struct(V.mean_square(e).alias("mse"), V.mean_abs(e).alias("mae")),
+    ).filter(F.col("__ok") & (F.size("__future") == steps)).select(
+        *tl.id, F.flatten("__x").alias("__x"), F.flatten("__future.v").alias("__y"),
+        F.col("__future.t").alias("__t"), F.col("__future.positive").alias("__positive"),
     )
+    kept = [*tl.id, "__t", "__positive"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _dense(batch.column("__x"), length * f), _dense(batch.column("__y"), steps * f)
+                error = (x @ onward[:-1] + onward[-1] - y).reshape(len(x), steps, f)
+                columns = [_lists((error * error).mean(axis=2)), _lists(np.abs(error).mean(axis=2))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "__mse", "__mae"])
+
+    schema = T.StructType(
+        [*(origins.schema[c] for c in kept), *T.StructType.fromDDL("__mse array<double>, __mae array<double>").fields]
+    )
+    each = F.arrays_zip(F.col("__t").alias("t"), F.col("__positive").alias("positive"), F.col("__mse").alias("mse"), F.col("__mae").alias("mae"))
     paired = (
-        origins.select(
-            *tl.id, "__x",
-            F.posexplode(
-                F.arrays_zip(
-                    _weights(step_weights(method, steps, length)).alias("w"),
-                    F.col("__future").alias("actual"),
-                )
-            ).alias("__i", "__p"),
-        )
+        origins.mapInArrow(compare, schema)
+        .select(*tl.id, F.posexplode(each).alias("__i", "__p"))
         .withColumn("step", (F.col("__i") + 1).cast("int"))
-        .filter(F.col("__p.actual.t") == tl.shift(tl.time, F.col("step")))
+        .filter(F.col("__p.t") == tl.shift(tl.time, F.col("step")))
         .select(
-            *tl.id,
-            "step",
-            F.col("__p.actual.t").alias("target_time"),
-            F.col("__p.actual.positive").alias(POSITIVE),
-            F.inline(F.array(metrics)),
+            *tl.id, "step", F.col("__p.t").alias("target_time"), F.col("__p.positive").alias(POSITIVE), "__p.mse", "__p.mae"
         )
     )
     return with_row(paired, baseline).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -540,6 +541,34 @@ def rollout(spark, sf):
     return O.rollout_signals(_paths(X.states(spark, sf)), TL)
 
 
+def rollout_linear(spark, sf):
+    """Fifteen steps of a linear model with cross weights."""
+    states = X.states(spark, sf)
+    paths = O.forecast_paths(states, TL, FEATURES, X.scaler(states), weights=np.array(X.linear_weights()))
+    return O.rollout_signals(paths, TL).select(
+        T0, "step", "target_time", "transition_shock", "future_state_deviation", "mean_abs_deviation", "max_deviation",
+        "future_stability", "simulation_risk",
+    )
+
+
+def rollout_linear_eval(spark, sf):
+    """The same model against what was then observed."""
+    states = X.states(spark, sf)
+    baseline = _normal_baseline(X.scores(states))
+    return O.rollout_evaluation(states, TL, FEATURES, X.scaler(states), baseline, weights=np.array(X.linear_weights()))
+
+
+def rollout_fitted(spark, sf):
+    """A fitted model: the first step of its rollout against its own one-step scores of the same minutes."""
+    states = X.states(spark, sf)
+    scaler = X.scaler(states)
+    weights = P.fit_next_state(states, TL, FEATURES, scaler)
+    baseline = _normal_baseline(X.scores(states))
+    first = O.rollout_evaluation(states, TL, FEATURES, scaler, baseline, steps=1, weights=weights)
+    scored = P.score_linear(states, TL, FEATURES, scaler, weights)
+    return Q.compare_tables(first.withColumn(T0, F.col("target_time")), scored, [T0], ["mse", "mae"])
+
+
 def rollout_states(spark, sf):
     states = X.states(spark, sf)
     return O.rollout_states(_paths(states, 5), TL, FEATURES, X.scaler(states))
@@ -690,6 +719,9 @@ BATCH: dict[str, Query] = {
     "campaign_profile": campaign_profile,
     "attack_window": attack_window,
     "rollout": rollout,
+    "rollout_linear": rollout_linear,
+    "rollout_linear_eval": rollout_linear_eval,
+    "rollout_fitted": rollout_fitted,
     "rollout_states": rollout_states,
     "rollout_trend": rollout_trend,
     "rollout_scenarios": rollout_scenarios,

