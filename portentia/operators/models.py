@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import partial, reduce
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -21,7 +22,7 @@ from portentia.operators.campaigns import interval_join
 from portentia.operators.evaluation import classifier_metrics, cut, roc_auc
 from portentia.operators.scaling import fit_scaler, scale_states
 from portentia.operators.states import POSITIVE
-from portentia.runtime import stage
+from portentia.runtime import in_parallel, stage
 from portentia.timeline import Timeline
 
 # Fixed order: the columns the horizon models see.
@@ -180,40 +181,43 @@ def campaign_holdout(
 ) -> DataFrame:
     """Train on one campaign's rows, test on the other's, both ways; one row per combination.
 
-    The loop runs over the fixed grid of directions, horizons and models; each fit is a Spark job.
-    Combinations with a single class on either side are skipped.
+    The grid of directions, horizons and models is fitted several at a time. Combinations with a single class on either
+    side are skipped.
     """
-    tagged = stage(interval_join(dataset, campaigns, tl, "start", "end"), "holdout")
     spark = dataset.sparkSession
-    parts = []
-    for train_name, test_name in (names, names[::-1]):
-        for h in horizons:
-            rows = {
-                n: horizon_rows(tagged.filter(F.col("campaign") == n), tl, f"starts_within_{h}")
-                for n in names
-            }
-            train, test = rows[train_name], rows[test_name]
-            if not (has_both_classes(train) and has_both_classes(test)):
-                continue
-            for name in models:
-                result = evaluate(fit_horizon(train, name, **parameters).predict(test))
-                parts.append(
-                    result.select(
-                        F.lit(train_name).alias("train"),
-                        F.lit(test_name).alias("test"),
-                        F.lit(h).alias("horizon"),
-                        F.lit(name).alias("model"),
-                        "*",
-                    )
-                )
+    sides = campaign_sides(dataset, campaigns, tl, names, horizons)
+    combinations = [
+        (train, test, h, m) for train, test in (names, names[::-1]) for h in sorted({h for _, h in sides}) for m in models
+        if (train, h) in sides and (test, h) in sides
+    ]
+
+    def run(train: str, test: str, h: int, m: str) -> DataFrame:
+        result = evaluate(fit_horizon(sides[train, h], m, **parameters).predict(sides[test, h]))
+        return result.select(
+            F.lit(train).alias("train"), F.lit(test).alias("test"), F.lit(h).alias("horizon"), F.lit(m).alias("model"), "*"
+        )
+
+    parts = in_parallel(spark, [partial(run, *c) for c in combinations])
     if not parts:
         return spark.createDataFrame(
             [], "train string, test string, horizon int, model string, auc double"
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def campaign_sides(
+    dataset: DataFrame, campaigns: DataFrame, tl: Timeline, names: Iterable[str], horizons: Iterable[int] = (5, 10, 15)
+) -> dict[tuple[str, int], DataFrame]:
+    """The rows of every (campaign, horizon) with both classes, each written once for all fits and tests it is used in."""
+    tagged = stage(interval_join(dataset, campaigns, tl, "start", "end"), "holdout")
+    keys = [(n, h) for n in names for h in horizons]
+
+    def side(name: str, h: int) -> DataFrame:
+        return stage(horizon_rows(tagged.filter(F.col("campaign") == name), tl, f"starts_within_{h}"), "side")
+
+    rows = dict(zip(keys, in_parallel(dataset.sparkSession, [partial(side, *k) for k in keys])))
+    both = in_parallel(dataset.sparkSession, [partial(has_both_classes, rows[k]) for k in keys])
+    return {k: rows[k] for k, use in zip(keys, both) if use}
 
 
 def sequence_rows(seq: DataFrame, tl: Timeline) -> DataFrame:

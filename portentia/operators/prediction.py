@@ -16,6 +16,7 @@ from portentia.functions import vectors as V
 from portentia.operators.scaling import scale_states, scaled, with_scaler
 from portentia.operators.sequences import sequences
 from portentia.operators.states import POSITIVE, RATIO
+from portentia.runtime import stage
 from portentia.timeline import Timeline, over_blocks, unbroken
 
 # Task functions travel with their helpers, so executors need no copy of the package.
@@ -187,6 +188,72 @@ def fit_linear(
     return np.linalg.solve(gram + _penalty(len(gram), ridge), moments)
 
 
+#: Passes that a Huber fit may take; it ends as soon as its gradient is small.
+HUBER_PASSES = 500
+
+
+def fit_huber(
+    seq: DataFrame, n_features: int, length: int = 10, ridge: float = 1.0, delta: float = 1.0, tolerance: float = 1e-5
+) -> np.ndarray:
+    """As :func:`fit_linear` with the Huber loss: quadratic up to ``delta``, linear beyond, so that outliers pull less.
+
+    Starts at least squares. Every step solves the normal equations, which are added up once, for the residuals cut to
+    ``delta``; a pass over the rows then adds up lagged vectors times cut residuals only. The loss bends no more than the
+    square, so every plain step lowers it; steps are carried on along their last direction while that helps. Ends when the
+    gradient is below ``tolerance`` of the largest moment.
+    """
+    gram, moments = normal_equations(seq, n_features, length)
+    system = gram + _penalty(len(gram), ridge)
+    scale = max(1.0, float(np.abs(moments).max()))
+    weights = previous = np.linalg.solve(system, moments)
+    ahead, momentum = weights, 1.0
+    for _ in range(HUBER_PASSES):
+        gradient = huber_moments(seq, n_features, length, ahead, delta) - _penalty(len(gram), ridge) @ ahead
+        if np.abs(gradient).max() <= tolerance * scale:
+            return ahead
+        weights = ahead + np.linalg.solve(system, gradient)
+        if ((weights - previous) * (system @ (ahead - weights))).sum() > 0:
+            momentum, ahead = 1.0, weights  # overshot: start the acceleration again
+        else:
+            grown = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
+            ahead = weights + (momentum - 1) / grown * (weights - previous)
+            momentum = grown
+        previous = weights
+    raise RuntimeError(f"the Huber loss did not settle in {HUBER_PASSES} passes")
+
+
+def huber_moments(seq: DataFrame, n_features: int, length: int, weights: np.ndarray, delta: float) -> np.ndarray:
+    """Sum over all rows of the lagged vector times the residuals cut to ``delta``: minus the gradient of the loss."""
+    width = length * n_features + 1
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, n_features))
+        for batch in batches:
+            if batch.num_rows:
+                x = _nested(batch.column("x"), length * n_features)
+                cut = np.clip(_nested(batch.column("y"), n_features) - (x @ weights[:-1] + weights[-1]), -delta, delta)
+                total[:-1] += x.T @ cut
+                total[-1] += cut.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+
+    sums = seq.select("x", "y").mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(width * n_features)
+    out[sums["i"].to_numpy()] = sums["v"].to_numpy()
+    return out.reshape(width, n_features)
+
+
+def huber_gradient(
+    states: DataFrame, tl: Timeline, features: Iterable[str], scaler: DataFrame, weights: np.ndarray,
+    length: int = 10, ridge: float = 1.0, delta: float = 1.0,
+) -> float:
+    """Largest entry of the gradient of the Huber loss at the weights, relative to the largest moment, over all rows."""
+    features = list(features)
+    seq = sequences(scale_states(states, features, scaler), tl, features, length, normal_only=True)
+    gram, moments = normal_equations(seq, len(features), length)
+    left = huber_moments(seq, len(features), length, weights, delta) - _penalty(len(gram), ridge) @ weights
+    return float(np.abs(left).max() / max(1.0, np.abs(moments).max()))
+
+
 def normal_equations(seq: DataFrame, n_features: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Products of the lagged vectors with themselves and with the next vector, summed over all rows.
 
@@ -264,12 +331,20 @@ def fit_next_state(
     scaler: DataFrame,
     length: int = 10,
     ridge: float = 1.0,
+    loss: str = "squared",
 ) -> np.ndarray:
-    """Fit the linear next-state model on gap-free, all-normal sequences of scaled states."""
+    """Fit the linear next-state model on gap-free, all-normal sequences of scaled states.
+
+    ``loss`` is "squared" or "huber"; the latter reads the sequences many times, so they are written once.
+    """
     features = list(features)
     seq = sequences(
         scale_states(states, features, scaler), tl, features, length, normal_only=True
     )
+    if loss == "huber":
+        return fit_huber(stage(seq.select("x", "y"), "sequences"), len(features), length, ridge)
+    if loss != "squared":
+        raise ValueError(f"unknown loss: {loss}")
     return fit_linear(seq, len(features), length, ridge)
 
 

@@ -847,6 +847,7 @@ FINALS["campaign_holdout"] = " UNION ALL ".join(
     for h in HORIZONS
 )
 FINALS["next_state_var"] = "SELECT is_positive, count(*) AS states, true AS sound FROM scores GROUP BY 1"
+FINALS["next_state_huber"] = FINALS["next_state_var"]
 _LABELLED = f"""SELECT time_window, lead(is_positive) OVER o AS label, lead(time_window) OVER o AS following,
     row_number() OVER o - 1 AS place FROM states WINDOW o AS (ORDER BY time_window)"""
 _SEQUENCE_ROWS = f"""SELECT *, row_number() OVER (ORDER BY time_window) - 1 AS i, count(*) OVER () AS n,

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+Result = TypeVar("Result")
+
 _local_base: str | None = None
 
 
@@ -63,3 +69,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = run_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_parallel(spark: SparkSession, jobs: Iterable[Callable[[], Result]], at_once: int = 6) -> list[Result]:
+    """Results of independent driver functions, each of which runs Spark jobs, in order.
+
+    Fits made of hundreds of small jobs leave most of a cluster idle; several of them at a time fill it.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [s.result() for s in started]
