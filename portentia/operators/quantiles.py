@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from portentia.functions.columns import finite
@@ -25,7 +25,7 @@ def _value_counts(df: DataFrame, columns: list[str], brackets: DataFrame, by: li
     entry = F.struct(*[F.col(c) for c in ("feature", "prob", "n", "low", "high")])
     ranges = brackets.groupBy(*by).agg(F.collect_list(entry).alias("__ranges"))  # columns * probabilities entries
     values = df.select(*by, F.create_map(*[x for c in columns for x in (F.lit(c), _usable(c))]).alias("__values"))
-    ranged = same_keys(values, ranges, by) if by else with_row(values, ranges)
+    ranged = same_keys(values, ranges, by)
     slots = F.filter(
         F.transform(
             "__ranges",
@@ -55,7 +55,7 @@ def _brackets(
     for i, c in enumerate(columns):
         aggs.append(F.count(_usable(c)).alias(f"__n{i}"))
         aggs.append(F.percentile_approx(_usable(c), cuts, accuracy).alias(f"__q{i}"))
-    grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    grouped = df.groupBy(*by).agg(*aggs)
     entries = []
     for i, c in enumerate(columns):
         n, q = F.col(f"__n{i}"), F.col(f"__q{i}")
@@ -75,6 +75,10 @@ def _brackets(
     return grouped.select(*by, F.inline(F.array(*entries)))
 
 
+#: Values of all columns and probabilities that one aggregate may hand to the driver.
+HANDED = 1 << 20
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Iterable[str],
@@ -85,14 +89,133 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles as rows (by…, feature, prob, n, quantile).
 
-    The first pass is a bounded sketch per column that yields a value range with the exact quantile inside. The second
-    counts what lies below the range and, inside it only, the values: about ``8 / accuracy`` of the rows, partially
-    aggregated before the shuffle. They are written as a table, cut into bins of about equal size, and only the bins
-    that hold the wanted ranks are put in order, so no task orders all values of a column. The rank error of the sketch
-    is bounded by ``1 / accuracy`` and the range is four times as wide on each side, so it cannot miss. Both passes run
-    when the function is called. Nulls, NaN and infinities are ignored; a column without values gets a null quantile.
+    Without groups, a bounded sketch per column gives a range around each quantile; one aggregate then counts what lies
+    below and on the ends of the range and hands over the values strictly inside, about ``8 / accuracy`` of the rows,
+    whatever value repeats. Where these would be more than HANDED, the range is first narrowed by sketches of what lies
+    inside it, each about a thousandth of the one before. A range that turns out not to hold the quantile is widened
+    and measured again.
+
+    With groups see :func:`_grouped_quantiles`. The passes run when the function is called. Nulls, NaN and infinities are
+    ignored; a column without values gets a null quantile.
     """
     columns, probs, by = list(columns), list(probs), list(by)
+    if by:
+        return _grouped_quantiles(df, columns, probs, by, accuracy, bins)
+    found = _searched(df.select(*[_usable(c).alias(f"__{i}") for i, c in enumerate(columns)]), len(columns), probs, accuracy)
+    entries = [
+        F.struct(
+            F.lit(c).alias("feature"), F.lit(float(p)).alias("prob"), F.lit(n).cast("long").alias("n"),
+            F.lit(value).cast("double").alias("quantile"),
+        )
+        for i, c in enumerate(columns) for p, (n, value) in zip(probs, found[i])
+    ]
+    return df.sparkSession.range(1).select(F.inline(F.array(*entries)))
+
+
+def _searched(values: DataFrame, width: int, probs: list[float], accuracy: int) -> list[list[tuple[int, float | None]]]:
+    """(rows, quantile) by column __0, __1, … and probability."""
+    aggs = []
+    for i in range(width):
+        aggs += [F.count(f"__{i}").alias(f"n{i}"), F.percentile_approx(f"__{i}", _around(probs, 4.0 / accuracy), accuracy).alias(f"q{i}")]
+    row = values.agg(*aggs).first()
+    searches = [
+        [_Search(f"__{i}", row[f"n{i}"], p, (row[f"q{i}"] or [])[2 * j : 2 * j + 2], 4.0 / accuracy) for j, p in enumerate(probs)]
+        for i in range(width)
+    ]
+    every = [s for of in searches for s in of if s.n]
+    while open_ := [s for s in every if s.value is None]:
+        if sum(s.inside for s in open_) > HANDED:
+            row = values.agg(*[x for k, s in enumerate(open_) for x in s.counts(k)]).first()
+            for k, s in enumerate(open_):
+                s.counted(row, k)
+            narrow = [(k, s) for k, s in enumerate(open_) if s.held and s.inside > HANDED // len(open_)]
+            if narrow:
+                row = values.agg(*[s.sketch(accuracy).alias(f"q{k}") for k, s in narrow]).first()
+                for k, s in narrow:
+                    s.narrow(row[f"q{k}"], accuracy)
+                continue
+        row = values.agg(*[x for k, s in enumerate(open_) for x in (*s.counts(k), s.between().alias(f"v{k}"))]).first()
+        for k, s in enumerate(open_):
+            s.counted(row, k)
+            s.settle(row[f"v{k}"])
+    return [[(s.n, s.value) for s in of] for of in searches]
+
+
+def _around(probs: list[float], margin: float) -> list[float]:
+    return [c for p in probs for c in (max(p - margin, 0.0), min(p + margin, 1.0))]
+
+
+class _Search:
+    """The range of values around one quantile of one column."""
+
+    def __init__(self, column: str, n: int, prob: float, ends: list[float], margin: float) -> None:
+        self.column, self.n, self.value = column, n, None
+        position = prob * (n - 1)
+        self.ranks = int(position), int(-(-position // 1))
+        self.share = position - self.ranks[0]
+        narrow = n * margin >= 4
+        self.low = ends[0] if narrow and prob - margin > 0 else float("-inf")
+        self.high = ends[1] if narrow and prob + margin < 1 else float("inf")
+        self.inside = int(2.5 * margin * n) + 1 if narrow else n
+        self.held = True
+
+    def _within(self) -> Column:
+        return (F.col(self.column) > self.low) & (F.col(self.column) < self.high)
+
+    def counts(self, k: int) -> list[Column]:
+        v = F.col(self.column)
+        tests = {"b": v < self.low, "l": v == self.low, "i": self._within(), "h": (v == self.high) & F.lit(self.high > self.low)}
+        return [F.count_if(test).alias(f"{name}{k}") for name, test in tests.items()]
+
+    def counted(self, row: Row, k: int) -> None:
+        """Take counts; widen the range where the ranks lie outside it."""
+        self.below, self.at_low, self.inside, at_high = (row[f"{name}{k}"] for name in "blih")
+        self.held = True
+        if self.ranks[0] < self.below:
+            self.low, self.held = float("-inf"), False
+        if self.ranks[1] >= self.below + self.at_low + self.inside + at_high:
+            self.high, self.held = float("inf"), False
+
+    def sketch(self, accuracy: int) -> Column:
+        first = self.below + self.at_low
+        places = [min(max((r - first) / max(self.inside, 1), 0.0), 1.0) for r in self.ranks]
+        cuts = [max(places[0] - 4.0 / accuracy, 0.0), min(places[1] + 4.0 / accuracy, 1.0)]
+        return F.percentile_approx(F.when(self._within(), F.col(self.column)), cuts, accuracy)
+
+    def narrow(self, ends: list[float], accuracy: int) -> None:
+        self.inside = int(self.inside * 10.0 / accuracy) + 1
+        # a rank on an end of the present range keeps that end
+        if self.ranks[0] >= self.below + self.at_low:
+            self.low = ends[0]
+        self.high = ends[1]
+
+    def settle(self, between: list[float]) -> None:
+        if self.held:
+            low, high = (self._at(r, between) for r in self.ranks)
+            self.value = low if low == high else (1 - self.share) * low + self.share * high
+
+    def between(self) -> Column:
+        return F.sort_array(F.collect_list(F.when(self._within(), F.col(self.column))))
+
+    def _at(self, rank: int, between: list[float]) -> float:
+        rank -= self.below
+        if rank < self.at_low:
+            return self.low
+        rank -= self.at_low
+        return between[rank] if rank < len(between) else self.high
+
+
+def _grouped_quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], by: list[str], accuracy: int, bins: int
+) -> DataFrame:
+    """Quantiles of any number of groups.
+
+    The first pass is a bounded sketch per column that yields a value range with the exact quantile inside. The second
+    counts what lies below the range and, inside it only, the values, partially aggregated before the shuffle. They are
+    written as a table, cut into bins of about equal size, and only the bins that hold the wanted ranks are put in order,
+    so no task orders all values of a column. The rank error of the sketch is ``1 / accuracy``, the range four times as
+    wide on each side.
+    """
     keys = [*by, "feature", "prob"]
     brackets = stage(_brackets(df, columns, probs, by, accuracy), "brackets")
     slots = stage(_value_counts(df, columns, brackets, by), "quantiles")

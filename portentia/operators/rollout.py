@@ -62,6 +62,11 @@ def step_matrix(weights: np.ndarray, steps: int) -> np.ndarray:
     return np.hstack(out)
 
 
+def step_weights(method: str, steps: int, length: int = 10) -> list[list[float]]:
+    """Weights of the last ``length`` vectors (oldest first) for each forecast step of a simple predictor."""
+    return step_matrix(method_weights(method, 1, length), steps)[:-1].T.tolist()
+
+
 def _dense(column: pa.Array, width: int) -> np.ndarray:
     """Nested lists as the rows of a matrix; missing values are NaN."""
     while pa.types.is_list(column.type) or pa.types.is_large_list(column.type):

@@ -190,11 +190,54 @@ def stratified_split(df: DataFrame, label: str, row_id: Iterable[str], fraction:
 
     Needs no shuffle, and the same row always lands on the same side.
     """
-    text = F.concat_ws("|", F.col(label).cast("string"), *[F.col(c).cast("string") for c in row_id])
-    slot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    slot = _slot(_row_text(label, row_id))
     return df.withColumn("split", F.when(slot < int(fraction * 2**32), "train").otherwise("test"))
 
 
+def _row_text(label: str, row_id: Iterable[str]) -> Column:
+    return F.concat_ws("|", F.col(label).cast("string"), *[F.col(c).cast("string") for c in row_id])
+
+
+def _slot(text: Column) -> Column:
+    """32 bits of a hash of the text."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def exact_stratified_split(df: DataFrame, label: str, row_id: Iterable[str], fraction: float = 0.8) -> DataFrame:
+    """Split that is random within each class and exact: ``floor(fraction * rows)`` rows of every class are train.
+
+    These are the rows with the smallest hashes of class and row id. The hash that ends them is found by counts, first of
+    its high 16 bits, then of its low ones inside one bin, so no class is put in order; only rows that share the last
+    hash are numbered, by their ids. A null class is a class.
+    """
+    rows = df.withColumn("__text", _row_text(label, row_id)).withColumn("__slot", _slot(F.col("__text")))
+    if fraction >= 1:
+        return df.withColumn("split", F.lit("train"))
+    high, low = F.floor(F.col("__slot") / 65536), F.col("__slot")
+    counts = rows.groupBy(label, high.alias("__place")).agg(F.count(F.lit(1)).alias("__rows"))
+    total = F.sum("__rows").over(Window.partitionBy(label))
+    bins = _place_of(counts.withColumn("__wanted", F.floor(F.lit(fraction) * total)), label).withColumnRenamed("__place", "__bin")
+    inside = same_keys(rows.select(label, "__slot", high.alias("__bin")), bins, [label, "__bin"])
+    counts = inside.groupBy(label, low.alias("__place")).agg(F.count(F.lit(1)).alias("__rows"), F.max("__left").alias("__wanted"))
+    ends = _place_of(counts, label).withColumnRenamed("__place", "__end")
+    cut = same_keys(rows, ends, [label])
+    side = F.when(F.col("__slot") < F.col("__end"), "train").otherwise("test")
+    apart = cut.filter(F.col("__slot") != F.col("__end")).withColumn("split", side)
+    order = Window.partitionBy(label).orderBy("__text")
+    tied = cut.filter(F.col("__slot") == F.col("__end")).withColumn("__nth", F.row_number().over(order))
+    tied = tied.withColumn("split", F.when(F.col("__nth") <= F.col("__left"), "train").otherwise("test")).drop("__nth")
+    return apart.unionByName(tied).drop("__text", "__slot", "__end", "__left")
+
+
+def _place_of(counts: DataFrame, label: str) -> DataFrame:
+    """Per class, from counts (__rows) by __place: the place of the first row beyond __wanted, and how many of the rows
+    of that place are still wanted (__left)."""
+    order = Window.partitionBy(label).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("__upto", F.sum("__rows").over(order))
+    here = (F.col("__upto") > F.col("__wanted")) & (F.col("__upto") - F.col("__rows") <= F.col("__wanted"))
+    return upto.filter(here).select(label, "__place", (F.col("__wanted") - F.col("__upto") + F.col("__rows")).alias("__left"))
+
+
 def is_time_ordered(df: DataFrame, tl: Timeline, row_id: str) -> DataFrame:
     """One row: does the id never fall when rows are put in time order?
 

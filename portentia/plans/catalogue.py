@@ -287,6 +287,10 @@ def chrono_split(spark, sf):
     return S.chronological_split(X.states(spark, sf).select(T0), TL, 0.8).select(T0, "split")
 
 
+def stratified_split_exact(spark, sf):
+    return S.exact_stratified_split(X.states(spark, sf), POSITIVE, [T0], 0.8).select(T0, POSITIVE, "split")
+
+
 def stratified_split(spark, sf):
     return S.stratified_split(X.states(spark, sf), POSITIVE, [T0]).select(T0, POSITIVE, "split")
 
@@ -683,6 +687,7 @@ BATCH: dict[str, Query] = {
     "positional_split": positional_split,
     "chrono_split": chrono_split,
     "stratified_split": stratified_split,
+    "stratified_split_exact": stratified_split_exact,
     "first_positive_states": first_positive_states,
     "class_weights": class_weights,
     "prediction_errors": prediction_errors,

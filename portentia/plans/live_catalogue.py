@@ -121,6 +121,14 @@ def stream_forecast(spark, sf):
     )
 
 
+def stream_attack_periods(spark, sf):
+    """Runs of positive states from the stream, closed by the watermark."""
+    out = run_dir(spark, "stream_periods")
+    periods = live.stream_attack_periods(_events_stream(spark, sf), TL, X.LABEL, X.POSITIVE_LABEL, ratio_threshold=X.RATIO_THRESHOLD)
+    live.run_available(periods, f"{out}/periods", f"{out}/checkpoint")
+    return spark.read.schema(periods.schema).parquet(f"{out}/periods")
+
+
 SENSORS = Timeline(bucket_seconds=3600, keys=("sensor",))
 
 
@@ -174,4 +182,5 @@ STREAMING: dict[str, Query] = {
     "stream_slow_sensor": stream_slow_sensor,
     "stream_idle_flush": stream_idle_flush,
     "stream_filled_states": stream_filled_states,
+    "stream_attack_periods": stream_attack_periods,
 }

@@ -757,6 +757,12 @@ FINALS["live_vs_batch"] = " UNION ALL ".join(
 FINALS["stream_forecast"] = FINALS["live_forecast"] + f" WHERE {_CLOSED}"
 
 
+FINALS["stream_attack_periods"] = f"""SELECT c_start AS "start", c_end AS "end", duration FROM runs
+    WHERE c_end + 2 * {B} + {B} / 2 <= (SELECT max(ts) FROM flows)"""
+FINALS["stratified_split_exact"] = """SELECT time_window, is_positive, CASE WHEN row_number() OVER (
+        PARTITION BY is_positive ORDER BY ('0x' || substr(md5(text), 1, 8))::BIGINT, text
+    ) <= floor(0.8::DOUBLE * count(*) OVER (PARTITION BY is_positive)) THEN 'train' ELSE 'test' END AS split
+    FROM (SELECT time_window, is_positive, is_positive || '|' || CAST(time_window AS VARCHAR) AS text FROM states) s"""
 FINALS["stream_scores_linear"] = FINALS["live_vs_batch"]
 
 

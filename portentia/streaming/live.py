@@ -101,6 +101,31 @@ def stream_states(
     )
 
 
+def stream_attack_periods(
+    flows: DataFrame,
+    tl: Timeline,
+    label: str,
+    positive: str,
+    time: str = "ts",
+    ratio_threshold: float = 0.0,
+    delay: str = "0 seconds",
+) -> DataFrame:
+    """Maximal gap-free runs of positive states, each as soon as it can grow no more: start, end, duration in buckets.
+
+    Closed positive states form sessions of their key: neighbouring buckets lie one bucket apart, so a gap of one and a
+    half keeps a run together and ends it. The watermark closes sessions; a key's state is its open run.
+    """
+    states = _closed_states(flows, [], tl, label, positive, time, ratio_threshold, None, delay)
+    rows = states.filter(F.col(RATIO) > F.lit(ratio_threshold)).select(
+        *tl.keys, F.window_time(_BUCKET).alias("__at"), F.col(f"{_BUCKET}.start").alias(tl.time)
+    )
+    run = F.session_window("__at", _seconds(tl.bucket_seconds + max(tl.bucket_seconds // 2, 1)))
+    keys = list(tl.keys) or ["__all"]  # sessions need a key
+    return rows.withColumns({} if tl.keys else {"__all": F.lit(0)}).groupBy(*keys, run.alias("__run")).agg(
+        F.min(tl.time).alias("start"), F.max(tl.time).alias("end"), F.count(F.lit(1)).alias("duration")
+    ).drop("__run", "__all")
+
+
 def flush(
     flows: DataFrame,
     closed: DataFrame,
