@@ -11,7 +11,8 @@ that still catches what the strictest catches is used, so a bound is never spent
 
 Cases: null or empty text has no words and fails the base rule; labels for unknown documents, null labels and strata
 with too few labels change nothing (a stratum without a proven cutoff rejects by the base rule only); a document
-labelled several times counts once, as good only if all its labels say so; repeated rows are judged one by one.
+labelled several times counts once, as good only if all its labels say so; repeated rows are judged one by one; a table
+without lang is one stratum; other columns, whatever their names, come through `keep_good` unchanged.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +58,11 @@ RULES = (
 )
 
 
-def _counts(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch], keep: list[str], place: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts of the text column, or of the field at a place of the column row."""
     for batch in batches:
-        for at, end, data, offs in A.slices(batch.column("text")):
+        texts = batch.column("text") if place is None else pc.struct_field(batch.column("row"), [place])
+        for at, end, data, offs in A.slices(texts):
             rows, hashes, _ = A.words(data, offs, lower=False)
             n_words = np.bincount(rows, minlength=end - at)
             begin, win = A.windows(hashes, rows, 3)
@@ -83,7 +87,7 @@ def _counts(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.R
 
 def text_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """`keep` columns and the surface counts of every row's text."""
-    picked = docs.select(*keep, docs["text"].cast("string").alias("text"))
+    picked = docs.select(*[_language(docs) if c == "lang" else docs[c] for c in keep], docs["text"].cast("string").alias("text"))
     fields = [f"`{n}` {t}" for n, t in picked.drop("text").dtypes]
     kept = list(keep)
     return picked.mapInArrow(lambda batches: _counts(batches, kept), ", ".join([*fields, COUNTS]))
@@ -188,6 +192,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULE
     shuffled and rows need no unique id.
     """
     cutoffs = select_cutoffs(text_counts(docs), labels, rules, **risk)
-    names = docs.columns
-    counted = text_counts(docs.select(F.struct(*names).alias("row"), "doc_id", "lang", "text"), ("row", "doc_id", "lang"))
+    place = docs.columns.index("text")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _language(docs))
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    counted = rows.mapInArrow(lambda batches: _counts(batches, ["row", "lang"], place), f"{fields}, {COUNTS}")
     return judge(counted, cutoffs, rules).where("kept").select("row.*")
+
+
+def _language(docs: DataFrame) -> Column:
+    """The stratum column; a table without one is one stratum."""
+    return (docs["lang"] if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang")
