@@ -208,11 +208,13 @@ def same_sets(pairs: DataFrame, sets: DataFrame, percent: int, unpack=packed_set
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, u = [], None, np.zeros(0, U64)
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb")):
-                if a != last:
-                    last, u = a, unpack(x.as_py())
-                v = unpack(y.as_py())
+            keep, held = [], {}  # a hub is in many pairs, on either side; sets are unpacked once a batch
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), batch.column("sa"), batch.column("sb")):
+                if a not in held:
+                    held[a] = unpack(x.as_py())
+                if b not in held:
+                    held[b] = unpack(y.as_py())
+                u, v = held[a], held[b]
                 shared = shared_count(u, v)
                 keep.append(100 * shared >= percent * (len(u) + len(v) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
