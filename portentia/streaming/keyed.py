@@ -244,7 +244,8 @@ class RecentScores(StatefulProcessor):
                 )
                 if known:
                     past = [*past, mse][-self.history :]
-            self.errors.put([(x,) for x in past])
+            if past:  # an empty list cannot be put
+                self.errors.put([(x,) for x in past])
         keep = range(max(0, len(at) - self.length), len(at))
         self.recent.put([(int(at[k]), vectors[k]) for k in keep])
 
