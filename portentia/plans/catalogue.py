@@ -32,7 +32,9 @@ from portentia.operators.states import (
     fill_medians,
     fill_normal_medians,
 )
+from portentia.plans import daily
 from portentia.plans import fixture as X
+from portentia.plans.pipeline import Settings
 from portentia.runtime import run_dir, stage
 from portentia.sources.flows import clean_flows as clean
 from portentia.sources.flows import first_rows, in_time_range, read_csv
@@ -375,6 +377,18 @@ def _engine(spark, sf):
     return X.engine(X.scores(X.states(spark, sf)))
 
 
+def daily_engine(spark, sf):
+    """The month added in three runs of dates, with stored parameters: the forecasts of one run over all."""
+    flows, out = X.flows(spark, sf), run_dir(spark, "daily")
+    settings = Settings(
+        tuple(X.FLOW_FEATURES), X.LABEL, X.POSITIVE_LABEL, TL, ratio_threshold=X.RATIO_THRESHOLD
+    )
+    daily.fit_parameters(flows, out, settings)
+    for first, last in (("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-20"), ("2024-01-21", "2024-12-31")):
+        tables = daily.add_dates(flows, out, settings, first, last)
+    return tables["engine"].select(T0, POSITIVE, "mse", *RISK_COLUMNS)
+
+
 def forecast_engine(spark, sf):
     return _engine(spark, sf).select(T0, POSITIVE, "mse", *RISK_COLUMNS)
 
@@ -702,6 +716,7 @@ BATCH: dict[str, Query] = {
     "anomaly_features": anomaly_features,
     "forecast_dataset": forecast_dataset,
     "forecast_engine": forecast_engine,
+    "daily_engine": daily_engine,
     "forecast_ordinal": forecast_ordinal,
     "high_risk_events": high_risk_events,
     "forecast_at": forecast_at,

@@ -763,6 +763,7 @@ FINALS["stratified_split_exact"] = """SELECT time_window, is_positive, CASE WHEN
         PARTITION BY is_positive ORDER BY ('0x' || substr(md5(text), 1, 8))::BIGINT, text
     ) <= floor(0.8::DOUBLE * count(*) OVER (PARTITION BY is_positive)) THEN 'train' ELSE 'test' END AS split
     FROM (SELECT time_window, is_positive, is_positive || '|' || CAST(time_window AS VARCHAR) AS text FROM states) s"""
+FINALS["daily_engine"] = FINALS["forecast_engine"]
 FINALS["stream_scores_linear"] = FINALS["live_vs_batch"]
 
 
