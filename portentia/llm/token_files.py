@@ -15,7 +15,6 @@ order among themselves; a very long document makes one long segment; an empty ta
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from collections.abc import Iterator
@@ -114,11 +113,12 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # a large table of words without cycles
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Text that the tokenizer takes for one of its added tokens, even inside a word.
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)", re.IGNORECASE)
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -138,12 +138,12 @@ class WordIds:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian ids of every text. Texts with unusual spaces go to the tokenizer as a whole.
+        """Packed little-endian ids of every text. Texts with unusual spaces or added tokens go to the tokenizer whole.
 
         Common words (Latin letters, perhaps a mark at the end) share the ids of their lower-case stem, as the
         tokenizer lower-cases and cuts marks off; other words are encoded as they are.
         """
-        odd = [k for k, t in enumerate(texts) if ODD_SPACE.search(t)]
+        odd = [k for k, t in enumerate(texts) if ODD_SPACE.search(t) or self.special.search(t)]
         whole = dict(zip(odd, self._batch([texts[k] for k in odd])))
         split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
         missing = set().union(*split).difference(self.words) if split else set()
@@ -185,6 +185,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
         if tokenizer not in _made:
             _made[tokenizer] = WordIds(tokenizer)
         coder, shard = _made[tokenizer], TaskContext.get().partitionId()
+        coder.words, coder.old = {}, {}  # a worker serves many tasks and jobs: words are kept for one task
         ids, held, size, seq, first = [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:
@@ -211,6 +212,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
                         seq, first, size, ids, held = seq + 1, first + size, 0, [], []
         if ids:
             yield segment()
+        coder.words, coder.old = {}, {}
 
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, SEGMENTS).write.mode("overwrite").parquet(path)
