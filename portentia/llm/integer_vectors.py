@@ -128,7 +128,7 @@ class Queries:
 def packed(queries: DataFrame) -> DataFrame:
     """Queries (uid, codes, ...) as rows (block, payload), each an Arrow stream of vectors of one length."""
     total = queries.agg(F.sum(F.octet_length("codes") + 64)).first()[0] or 0
-    dealt = queries.repartition(int(total // QUERY_BYTES + 1), "uid")
+    dealt = queries.coalesce(int(total // QUERY_BYTES + 1))
     names = queries.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
