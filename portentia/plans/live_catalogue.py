@@ -11,9 +11,9 @@ from portentia.plans.catalogue import FEATURES, TL, Query
 from portentia.operators import prediction as P
 from portentia.operators.quality import compare_tables
 from portentia.operators.states import POSITIVE, feature_medians
-from portentia.operators.risk import HORIZONS
+from portentia.operators.risk import HORIZONS, LIVE_P95, LIVE_P99
 from portentia.runtime import run_dir
-from portentia.streaming import keyed, live
+from portentia.streaming import keyed, live, versions
 from portentia.timeline import Timeline
 
 T0 = TL.time
@@ -172,6 +172,23 @@ def stream_filled_states(spark, sf):
     return spark.read.schema(states.schema).parquet(f"{out}/states")
 
 
+def stream_versions(spark, sf):
+    """Thresholds by version: the live defaults for the first arrival, those of the data from the second on."""
+    scores = X.scores(X.states(spark, sf)).select(T0, POSITIVE, "mse")
+    out = run_dir(spark, "versions")
+    defaults = spark.range(1).select(F.lit(LIVE_P95).alias("p95"), F.lit(LIVE_P99).alias("p99"))
+    versions.save_version(defaults, f"{out}/parameters", 1)
+    first, second = (F.lit(c).cast("timestamp") for c in CUTS)
+    arrival = F.when(F.col(T0) < first, 0).when(F.col(T0) < second, 1).otherwise(2)
+    for part in range(3):
+        if part == 1:
+            versions.save_version(X.thresholds(scores), f"{out}/parameters", 2)
+        scores.filter(arrival == part).write.mode("append").parquet(f"{out}/scores")
+        stream = live.stream_table(spark, f"{out}/scores", scores.schema)
+        versions.run_versioned(stream, f"{out}/parameters", f"{out}/judged", f"{out}/work", versions.above_thresholds)
+    return spark.read.parquet(f"{out}/judged").select(T0, "mse", "above_95", "above_99", "parameter_version")
+
+
 STREAMING: dict[str, Query] = {
     "stream_states": stream_states,
     "stream_late_drop": stream_late_drop,
@@ -183,4 +200,5 @@ STREAMING: dict[str, Query] = {
     "stream_idle_flush": stream_idle_flush,
     "stream_filled_states": stream_filled_states,
     "stream_attack_periods": stream_attack_periods,
+    "stream_versions": stream_versions,
 }

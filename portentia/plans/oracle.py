@@ -764,6 +764,10 @@ FINALS["stratified_split_exact"] = """SELECT time_window, is_positive, CASE WHEN
     ) <= floor(0.8::DOUBLE * count(*) OVER (PARTITION BY is_positive)) THEN 'train' ELSE 'test' END AS split
     FROM (SELECT time_window, is_positive, is_positive || '|' || CAST(time_window AS VARCHAR) AS text FROM states) s"""
 FINALS["daily_engine"] = FINALS["forecast_engine"]
+_VERSION = "CASE WHEN time_window < TIMESTAMP '2024-01-11' THEN 1 ELSE 2 END"
+FINALS["stream_versions"] = f"""SELECT time_window, {r('mse')}, {_VERSION} AS parameter_version,
+    CAST(mse > CASE {_VERSION} WHEN 1 THEN {d(R.LIVE_P95)} ELSE p95 END AS INTEGER) AS above_95,
+    CAST(mse > CASE {_VERSION} WHEN 1 THEN {d(R.LIVE_P99)} ELSE p99 END AS INTEGER) AS above_99 FROM scores, thr"""
 FINALS["stream_scores_linear"] = FINALS["live_vs_batch"]
 
 

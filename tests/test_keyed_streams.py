@@ -14,7 +14,7 @@ from portentia.operators.risk import live_forecast
 from portentia.operators.scaling import fit_scaler, scale_states, scaler_table
 from portentia.operators.sequences import attack_periods, exact_stratified_split
 from portentia.operators.states import build_states
-from portentia.streaming import keyed, live
+from portentia.streaming import keyed, live, versions
 
 TL = Timeline(60, ("site",))
 SCHEMA = "site string, ts timestamp, label string, v double"
@@ -169,3 +169,26 @@ def test_huber_fit_settles_and_resists_outliers(spark):
     assert np.abs(gradient[:-1] - 1e-3 * weights[:-1]).max() < 0.2
     assert abs(weights[-1]).max() < 0.2 < abs(P.fit_linear(seq, 2, 2)[-1]).max()
     assert np.allclose(weights[2:4], 0.5 * np.eye(2), atol=0.05)
+
+
+def test_new_versions_take_effect_and_repeated_batches_keep_theirs(spark, tmp_path):
+    base = str(tmp_path)
+
+    def limits(p95):
+        return spark.createDataFrame([(p95, 9.0)], "p95 double, p99 double")
+
+    def arrive(values):
+        spark.createDataFrame([(v,) for v in values], "mse double").write.mode("append").parquet(f"{base}/in")
+        stream = live.stream_table(spark, f"{base}/in", limits(0.0).selectExpr("p95 AS mse").schema)
+        versions.run_versioned(stream, f"{base}/p", f"{base}/out", f"{base}/work", versions.above_thresholds)
+        return sorted((r["mse"], r["above_95"], r["parameter_version"]) for r in spark.read.parquet(f"{base}/out").collect())
+
+    with pytest.raises(Exception):
+        versions.newest_version(spark, f"{base}/p")
+    versions.save_version(limits(1.0), f"{base}/p", 1)
+    assert arrive([2.0]) == [(2.0, 1, 1)]
+    versions.save_version(limits(3.0), f"{base}/p", 2)
+    # the micro-batch had begun before with version 1 and is repeated
+    spark.range(1).selectExpr("1 AS version").write.parquet(f"{base}/work/versions/batch=1")
+    assert arrive([2.5]) == [(2.0, 1, 1), (2.5, 1, 1)]
+    assert arrive([2.8])[-1] == (2.8, 0, 2)

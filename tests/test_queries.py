@@ -10,13 +10,15 @@ import pytest
 import __spark_entry__ as entry
 
 SF = os.environ.get("PORTENTIA_SF_DIR", "/root/testdata/sf0.01")
-TABLES = ("events", "lineitem")
+TABLES = ("events", "lineitem", "embeddings")
 SAMPLE = [
     "clean_flows", "network_states", "impute_normal_median", "missing_check", "flows_per_hour",
     "contiguous_states", "label_sequences", "scaler_params", "forecast_targets", "attack_periods",
     "prediction_errors", "top_feature_errors", "score_describe", "anomaly_features",
     "forecast_engine", "live_forecast", "attack_stage", "signal_eval", "early_warning",
     "combined_warning", "rollout", "rollout_eval", "roc_auc", "stream_late_drop", "stream_forecast",
+    "rollout_linear", "rollout_fitted", "stratified_split_exact", "stream_slow_sensor", "stream_idle_flush",
+    "stream_attack_periods", "stream_versions",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("PORTENTIA_FULL") else SAMPLE
 
