@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from portentia.functions.columns import divide_or_zero
 from portentia.functions.rows import with_row
 from portentia.operators.quantiles import running_totals
+from portentia.runtime import stage
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -98,6 +99,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
             F.count_if(F.col(label) == 0).alias("neg"),
         )
     )
+    by_score = stage(by_score, "scores")  # read for the bin edges, the bins and their offsets
     ordered = running_totals(by_score, "__score", ["neg"])
     pos, neg = F.col("pos"), F.col("neg")
     below = F.col("running_neg") - neg
