@@ -185,7 +185,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
         if tokenizer not in _made:
             _made[tokenizer] = WordIds(tokenizer)
         coder, shard = _made[tokenizer], TaskContext.get().partitionId()
-        coder.words, coder.old = {}, {}  # a worker serves many tasks and jobs: words are kept for one task
         ids, held, size, seq, first = [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:
@@ -212,7 +211,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
                         seq, first, size, ids, held = seq + 1, first + size, 0, [], []
         if ids:
             yield segment()
-        coder.words, coder.old = {}, {}
 
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, SEGMENTS).write.mode("overwrite").parquet(path)
