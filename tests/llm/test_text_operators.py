@@ -293,7 +293,8 @@ def test_lines(docs, empty):
             if WORD.search(line):
                 lines[line].append((i, k))
     names = sorted(lines, key=lambda x: min(lines[x]))
-    sets = {k: {x[a : a + 8] for a in range(max(1, len(x) - 7))} for k, x in enumerate(names)}
+    plain = [" ".join(WORD.findall(lower(x))) for x in names]
+    sets = {k: {x[a : a + 4] for a in range(max(1, len(x) - 3))} for k, x in enumerate(plain)}
     gone = collections.defaultdict(set)
     for k, group in groups(sets).items():
         for place in lines[names[k]]:
