@@ -2,7 +2,7 @@
 
 A line is the set of its character shingles, taken from its words in lower case (A-Z only) joined by single spaces:
 case and runs of white space are no differences. With shingles of SHINGLE characters one changed character costs at most
-SHINGLE shingles of each side, so at 80 percent it is found in lines from 39 characters on; shorter lines link when they
+SHINGLE shingles of each side, so at 80 percent it is found in lines from 49 characters on; shorter lines link when they
 are equal in this form or differ near their ends. Equal lines (by a 64-bit hash) are one class. MinHash signatures are made
 with one hash per shingle: its bins give the signature's values, empty bins borrow from others by a fixed sequence.
 BANDS bands of BAND_ROWS values bring similar lines together; a pair counts only if the Jaccard similarity of its full
@@ -35,8 +35,8 @@ from portentia.llm.common import components, partitions
 from portentia.llm.near_duplicates import SHORT, cross_pairs, rare_links, same_sets, several_components, star_pairs, text_hash, with_components
 from portentia.runtime import stage
 
-SHINGLE = 4
-BAND_ROWS, BANDS = 4, 14
+SHINGLE = 5
+BAND_ROWS, BANDS = 5, 18
 BINS = BAND_ROWS * BANDS
 BLOCK = 8 << 20
 U64 = np.uint64
@@ -81,16 +81,16 @@ def code_points(raw: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(line: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """BINS values for each of n lines (each must have a shingle; fewer than 2**18 lines)."""
+    """BINS values for each of n lines (each must have a shingle; fewer than 2**18 lines, at most 256 bins)."""
     bins = ((hashes >> U64(32)) * U64(BINS)) >> U64(32)
-    key = np.sort(line.astype(U64) << U64(46) | bins << U64(40) | hashes & U64((1 << 40) - 1))
-    group = key >> U64(40)
+    key = np.sort(line.astype(U64) << U64(46) | bins << U64(38) | hashes & U64((1 << 38) - 1))
+    group = key >> U64(38)
     first = np.ones(len(key), dtype=bool)
     first[1:] = group[1:] != group[:-1]
     key, group = key[first], group[first].astype(np.int64)
     out, filled = np.zeros((n, BINS), dtype=U64), np.zeros((n, BINS), dtype=bool)
-    at = group >> 6, group & 63
-    out[at], filled[at] = key & U64((1 << 40) - 1), True
+    at = group >> 8, group & 255
+    out[at], filled[at] = key & U64((1 << 38) - 1), True
     rows, columns = np.nonzero(~filled)
     for source in BORROW:
         if not len(rows):

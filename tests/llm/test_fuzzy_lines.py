@@ -40,7 +40,7 @@ def test_recall_of_bands():
     while len(first) < 3000:
         a = line(rng, rng.choice([12, 20, 40, 60, 80, 200, 400]))
         b = a
-        for _ in range(rng.choice([0, 1, 1, 2, 4, 8]) if len(a) > 39 else 0):
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 8]) if len(a) > 48 else 0):
             k = rng.randrange(len(b))
             b = b[:k] + rng.choice("#%&") + b[k + 1 :]
         b = b + rng.choice(["", "!", " ok"])
@@ -52,11 +52,11 @@ def test_recall_of_bands():
 
 
 def test_one_character_edits(spark):
-    """Lines from 39 characters on are found with one character replaced; case and spaces do not count at any length."""
+    """Lines from 49 characters on are found with one character replaced; case and spaces do not count at any length."""
     rng = random.Random(7)
     rows, edited, spaced = [], [], []
     for k in range(300):
-        a = line(rng, rng.randint(40, 80))
+        a = line(rng, rng.randint(50, 90))
         at = rng.randrange(len(a))
         b = a[:at] + "#" + a[at + 1 :]
         rows += [(2 * k, a), (2 * k + 1, b)]

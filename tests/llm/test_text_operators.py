@@ -294,7 +294,7 @@ def test_lines(docs, empty):
                 lines[line].append((i, k))
     names = sorted(lines, key=lambda x: min(lines[x]))
     plain = [" ".join(WORD.findall(lower(x))) for x in names]
-    sets = {k: {x[a : a + 4] for a in range(max(1, len(x) - 3))} for k, x in enumerate(plain)}
+    sets = {k: {x[a : a + 5] for a in range(max(1, len(x) - 4))} for k, x in enumerate(plain)}
     gone = collections.defaultdict(set)
     for k, group in groups(sets).items():
         for place in lines[names[k]]:
