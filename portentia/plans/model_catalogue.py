@@ -29,6 +29,9 @@ from portentia.plans.catalogue import FEATURES, TARGET_COLUMNS, TL, Query
 from portentia.runtime import in_parallel, stage
 
 GRADIENT = 1e-3
+HOLDOUT = (
+    "train string, horizon int, model string, train_rows long, train_positives long, test_rows long, test_positives long, sound boolean"
+)
 HALVES = (
     ("first half", "2024-01-01 00:00:00", "2024-01-15 23:45:00"),
     ("second half", "2024-01-16 00:00:00", "2024-01-30 23:45:00"),
@@ -146,7 +149,9 @@ def model_coefficients(spark, sf):
 
 
 def campaign_holdout(spark, sf):
-    """Train on one half of the month, test on the other, both ways; sides are written and counted once."""
+    """Train on one half of the month, test on the other, both ways; sides are written and counted once.
+
+    No rows if no side has both classes."""
     names = [h[0] for h in HALVES]
     sides = M.campaign_sides(_dataset(spark, sf), campaign_table(spark, HALVES), TL, names)
     grid = [
@@ -154,6 +159,8 @@ def campaign_holdout(spark, sf):
         if (train, h) in sides and (test, h) in sides
     ]
     reports = in_parallel(spark, [partial(_fitted, sides[a, h], sides[b, h], m) for a, b, h, m in grid])
+    if not reports:
+        return spark.createDataFrame([], HOLDOUT)
     return reduce(
         DataFrame.unionByName,
         [r.select(F.lit(a).alias("train"), F.lit(h).alias("horizon"), F.lit(m).alias("model"), "*") for (a, _, h, m), r in zip(grid, reports)],

@@ -56,3 +56,11 @@ def test_holdout_skips_single_class_sides(spark, dataset):
         dataset, campaigns, TL, ("one", "two"), horizons=(10, 15), models=("logistic",), max_iter=20
     ).collect()
     assert {(r["train"], r["horizon"]) for r in out} == {("one", 10), ("two", 10)}
+
+
+def test_holdout_without_both_classes_is_empty(spark, dataset):
+    campaigns = campaign_table(spark, [("one", str(minute(0)), str(minute(199))), ("two", str(minute(200)), str(minute(399)))])
+    some = M.campaign_holdout(dataset, campaigns, TL, ("one", "two"), horizons=(5,), models=("logistic",), max_iter=20)
+    none = M.campaign_holdout(dataset, campaigns, TL, ("one", "two"), horizons=(15,), models=("logistic",))
+    # one side of horizon 15 has both classes, so it is tested on itself only: nothing is left
+    assert none.count() == 0 and none.columns == some.columns
