@@ -44,6 +44,11 @@ HORIZON_FEATURES = (
 )
 MODELS = ("logistic", "forest", "boosting")
 SEED = 42
+# A label has two classes, also where the training rows show only one of them.
+TWO_CLASSES = {"ml_attr": {"type": "nominal", "vals": ["0", "1"]}}
+REPORT = (
+    "tn long, fp long, fn long, tp long, accuracy double, precision double, recall double, f1 double, fpr double, auc double"
+)
 
 
 def horizon_rows(dataset: DataFrame, tl: Timeline, target: str) -> DataFrame:
@@ -68,6 +73,16 @@ def with_balance(df: DataFrame, label: str = "label") -> DataFrame:
     return with_row(df, counts).withColumn("weight", n / (2 * own)).drop("__n", "__pos")
 
 
+def for_estimator(df: DataFrame, name: str) -> DataFrame:
+    """Add ``weight``, and for a forest mark the label as one of two classes.
+
+    A forest counts the classes it sees, and rows of one class would give a model with one probability. The logistic fit
+    must see the classes: told of two, it takes a constant label for the second.
+    """
+    rows = with_balance(df)
+    return rows.withMetadata("label", TWO_CLASSES) if name == "forest" else rows
+
+
 def has_both_classes(df: DataFrame, label: str = "label") -> bool:
     row = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).first()
     return row["lo"] is not None and row["lo"] != row["hi"]
@@ -125,7 +140,7 @@ class HorizonModel:
 def fit_horizon(train: DataFrame, name: str, **parameters: int) -> HorizonModel:
     """Fit one horizon model on rows from :func:`horizon_rows`."""
     scaler = None
-    rows = with_balance(train)
+    rows = for_estimator(train, name)
     if name == "logistic":
         scaler = stage(fit_scaler(train, HORIZON_FEATURES, fit_rows="all"), "scaler")
         rows = scale_states(rows, HORIZON_FEATURES, scaler)
@@ -200,7 +215,7 @@ def campaign_holdout(
     parts = in_parallel(spark, [partial(run, *c) for c in combinations])
     if not parts:
         return spark.createDataFrame(
-            [], "train string, test string, horizon int, model string, auc double"
+            [], f"train string, test string, horizon int, model string, {REPORT}"
         )
     return reduce(DataFrame.unionByName, parts)
 
@@ -230,7 +245,7 @@ def sequence_rows(seq: DataFrame, tl: Timeline) -> DataFrame:
 
 
 def fit_sequence_classifier(train: DataFrame, name: str = "logistic", **parameters: int) -> Model:
-    return estimator(name, train.count(), **parameters).fit(with_balance(train))
+    return estimator(name, train.count(), **parameters).fit(for_estimator(train, name))
 
 
 def predict_sequences(model: Model, rows: DataFrame) -> DataFrame:
