@@ -10,8 +10,8 @@ shingle sets, made from the lines' texts, reaches the threshold. Classes and lin
 union-find, and of each component the first line (smallest doc_id, then hash of the text, then line number) stays.
 
 Band lists are treated as near_duplicates treats its lists: every member meets the most central one first, later only
-members of different components meet, pair by pair in short lists; members of long ones are listed anew by the rarest
-shingles of their sets; none is dropped. A pair at exactly
+members of different components meet. These compare signatures, pair by pair in lists of any length (long ones in blocks),
+and only pairs whose signatures allow the threshold are compared by their sets; none is dropped. A pair at exactly
 80 percent is missed by all bands with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, under 0.001, if its bins are filled;
 borrowed bins of short lines raise that to below 0.01. Closer pairs are missed far less often.
 
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from portentia.llm import arrays as A
 from portentia.llm.common import components, partitions
-from portentia.llm.near_duplicates import SHORT, cross_pairs, rare_links, same_sets, several_components, star_pairs, text_hash, with_components
+from portentia.llm.near_duplicates import same_sets, several_components, star_pairs, text_hash, with_components
 from portentia.runtime import stage
 
 SHINGLE = 5
 BAND_ROWS, BANDS = 5, 18
 BINS = BAND_ROWS * BANDS
 BLOCK = 8 << 20
+#: Members of a list that meet in one block, rows of lists in a task, and pairs compared at a time.
+MEMBERS, PART_ROWS, MET = 1024, 1 << 15, 1 << 13
 U64 = np.uint64
 #: Where an empty bin looks for a value, attempt by attempt; the last attempts walk all bins.
 BORROW = np.concatenate(
@@ -202,8 +204,35 @@ def meeting(table: pa.Table) -> pa.Table:
 
 
 def line_set(raw: bytes) -> np.ndarray:
-    points, offs = code_points(*folded(raw, np.array([0, len(raw)])))
-    return np.unique(shingles(points, offs)[1])
+    return unpacked([raw])[0]
+
+
+def in_slices(raws: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Joined lines and their offsets, about SLICE_BYTES at a time."""
+    chunk: list[bytes] = []
+    size = 0
+    for raw in raws:
+        chunk.append(raw)
+        size += len(raw)
+        if size > A.SLICE_BYTES:
+            yield b"".join(chunk), np.cumsum([0, *map(len, chunk)])
+            chunk, size = [], 0
+    if chunk:
+        yield b"".join(chunk), np.cumsum([0, *map(len, chunk)])
+
+
+def unpacked(raws: list[bytes]) -> list[np.ndarray]:
+    """The shingle sets of lines, sorted."""
+    out = []
+    for raw, offs in in_slices(raws):
+        line, hashes = shingles(*code_points(*folded(raw, offs)))
+        edges = np.searchsorted(line, np.arange(len(offs)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            one = np.sort(hashes[a:b])
+            new = np.ones(b - a, dtype=bool)
+            np.not_equal(one[1:], one[:-1], out=new[1:])
+            out.append(one[new])
+    return out
 
 
 def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -219,29 +248,89 @@ def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
                 split = (text or "").split("\n")
                 for one in wanted:
                     if one["line"] < len(split):
-                        raw = split[one["line"]].encode()
-                        data = np.frombuffer(raw, np.uint8)
-                        h = A.span_hash(A.prefix_sums(data), np.array([0]), np.array([len(data)])).view(np.int64)[0]
-                        if h == one["id"]:  # not of another text with the same hash
-                            ids.append(one["id"])
-                            texts.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["id", "s"])
+                        ids.append(one["id"])
+                        texts.append(split[one["line"]].encode())
+            hashes = [
+                A.span_hash(A.prefix_sums(np.frombuffer(raw, np.uint8)), offs[:-1], offs[1:]).view(np.int64)
+                for raw, offs in in_slices(texts)
+            ]
+            mine = np.concatenate([np.zeros(0, np.int64), *hashes]) == np.array(ids, dtype=np.int64)  # not of another text with the same hash
+            made = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["id", "s"])
+            yield made.filter(pa.array(mine))
 
     return held.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
 
 
-def line_sets(texts: DataFrame) -> DataFrame:
-    """(id, n, s): the shingle sets of lines, packed."""
+def line_signatures(texts: DataFrame) -> DataFrame:
+    """(id, filled, s): 16 bits of each signature value of the lines (id, s), and how many values are different."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [line_set(x.as_py()) for x in batch.column("s")]
+            made = [np.zeros((0, BINS), dtype=U64)]
+            for raw, offs in in_slices(batch.column("s").to_pylist()):
+                line, hashes = shingles(*code_points(*folded(raw, offs)))
+                made.append(signatures(line, hashes, len(offs) - 1))
+            values = np.concatenate(made)
+            ordered = np.sort(values, axis=1)
+            filled = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1)
+            low = values.astype("<u2")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                names=["id", "n", "s"],
+                [batch.column("id"), pa.array(filled, pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())],
+                names=["id", "filled", "s"],
             )
 
-    return texts.mapInArrow(run, "id long, n long, s binary")
+    return texts.mapInArrow(run, "id long, filled int, s binary")
+
+
+def least_agreement(filled: np.ndarray, percent: int) -> np.ndarray:
+    """Agreeing signature values that a pair at the threshold has all but surely: six standard deviations below the mean,
+    where borrowed values count as copies (they lower the number of independent values by a quarter at most)."""
+    t = percent / 100
+    return BINS * (t - 6 * (t * (1 - t) * 1.25 / filled) ** 0.5)
+
+
+def agreeing(table: pa.Table, percent: int) -> pa.Table:
+    """The pairs (a, b) of different components that meet in a list and whose signatures allow the threshold."""
+    columns = ("v", "lower", "upper", "block", "id", "comp", "filled")
+    v, lower, upper, block, id_, comp, filled = (table.column(c).to_numpy() for c in columns)
+    order = np.lexsort((upper, lower, v))
+    v, lower, upper, block, id_, comp, filled = (x[order] for x in (v, lower, upper, block, id_, comp, filled))
+    packed = table.column("s").to_pylist()
+    value = np.frombuffer(b"".join(packed[k] for k in order.tolist()), "<u2").reshape(-1, BINS)
+    new = np.ones(len(v) + 1, dtype=bool)
+    new[1:-1] = (v[1:] != v[:-1]) | (lower[1:] != lower[:-1]) | (upper[1:] != upper[:-1])
+    edges = np.flatnonzero(new)
+    end = np.repeat(edges[1:], np.diff(edges))
+    found = []
+    at = np.arange(len(v))
+    step = 0
+    while len(at):
+        step += 1
+        at = at[at + step < end[at]]
+        for k in range(0, len(at), MET):
+            i = at[k : k + MET]
+            j = i + step
+            apart = (comp[i] != comp[j]) & ((lower[i] == upper[i]) | (block[i] != block[j]))
+            i, j = i[apart], j[apart]
+            same = (value[i] == value[j]).sum(axis=1) >= least_agreement(np.minimum(filled[i], filled[j]), percent)
+            found.append(np.stack([np.minimum(id_[i], id_[j])[same], np.maximum(id_[i], id_[j])[same]]))
+    pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+    return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def meeting_pairs(lists: DataFrame, sketched: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of lists (v, id, df, comp) in different components, by their signatures (id, filled, s).
+
+    Every pair of a list is compared. Members of a list of more than MEMBERS are dealt to blocks by hash, and each block
+    meets every other; a meeting holds two blocks at most.
+    """
+    blocks = F.ceil(F.col("df") / MEMBERS).cast("int")
+    placed = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"lower": F.least("block", "other"), "upper": F.greatest("block", "other")}).join(sketched, "id")
+    met = met.withColumn("part", F.pmod(F.xxhash64("v", "lower", "upper"), F.lit(parts)))
+    groups = met.select("part", "v", "lower", "upper", "block", "id", "comp", "filled", "s").groupBy("part")
+    return groups.applyInArrow(lambda table: agreeing(table, percent), "a long, b long").distinct()
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -249,21 +338,19 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     seen = stage(occurrences(docs), "lines")
     first = F.min(F.struct("doc_id", "text_hash", "line")).alias("first")
     classes = stage(seen.groupBy(F.col("h").alias("id")).agg(first, F.count("*").alias("n")), "classes")
-    met = stage(banded(docs, partitions(docs)).groupBy("part").applyInArrow(meeting, "v long, id long, df long"), "met")
+    parts = partitions(docs)
+    met = stage(banded(docs, parts).groupBy("part").applyInArrow(meeting, "v long, id long, df long"), "met")
     places = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "first.*")
     texts = stage(line_texts(docs, places), "line_texts")
     pairs = stage(star_pairs(met), "pairs")
-    links = stage(same_sets(pairs, texts, percent, line_set), "links")
+    links = stage(same_sets(pairs, texts, percent, unpacked), "links")
     found = stage(components(links), "components")
     apart = stage(several_components(with_components(met.where("df > 2"), found)), "apart")
-    more = cross_pairs(apart.where(F.col("df") <= SHORT))
-    again = apart.where(F.col("df") > SHORT).select("id", "comp").distinct()
-    sets = stage(line_sets(texts.join(again, "id", "left_semi")), "line_sets")
-    short, joined = rare_links(again, sets, percent)
-    more = stage(more.union(short).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        joined = joined.union(same_sets(more, texts, percent, line_set))
-    joined = stage(joined, "links")
+    sketched = stage(line_signatures(texts.join(apart.select("id").distinct(), "id", "left_semi")), "signatures")
+    rows = apart.agg(F.sum(F.ceil(F.col("df") / MEMBERS))).first()[0] or 0
+    more = meeting_pairs(apart, sketched, max(parts, rows // PART_ROWS + 1), percent)
+    more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    joined = stage(same_sets(more, texts, percent, unpacked), "links")
     if not joined.isEmpty():
         found = stage(components(links.union(joined)), "components")
     grouped = with_components(classes, found)

@@ -195,6 +195,10 @@ def packed_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, U64)
 
 
+def packed_sets(raws: list[bytes]) -> list[np.ndarray]:
+    return [packed_set(raw) for raw in raws]
+
+
 def shared_count(u: np.ndarray, v: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if not len(u) or not len(v):
@@ -202,18 +206,20 @@ def shared_count(u: np.ndarray, v: np.ndarray) -> int:
     return int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
 
 
-def same_sets(pairs: DataFrame, sets: DataFrame, percent: int, unpack=packed_set) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; `sets` has (id, s), and `unpack` makes sorted hashes of s."""
+def same_sets(pairs: DataFrame, sets: DataFrame, percent: int, unpack=packed_sets) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; `sets` has (id, s), and `unpack` makes sorted hashes of many s."""
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, held = [], {}  # a hub is in many pairs, on either side; sets are unpacked once a batch
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), batch.column("sa"), batch.column("sb")):
-                if a not in held:
-                    held[a] = unpack(x.as_py())
-                if b not in held:
-                    held[b] = unpack(y.as_py())
+            keep, raws = [], {}  # a hub is in many pairs, on either side; sets are unpacked once a batch, all together
+            first, second = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            for ids, packed in ((first, batch.column("sa")), (second, batch.column("sb"))):
+                for k, id_ in enumerate(ids):
+                    if id_ not in raws:
+                        raws[id_] = packed[k].as_py()
+            held = dict(zip(raws, unpack(list(raws.values()))))
+            for a, b in zip(first, second):
                 u, v = held[a], held[b]
                 shared = shared_count(u, v)
                 keep.append(100 * shared >= percent * (len(u) + len(v) - shared) and shared > 0)

@@ -72,3 +72,28 @@ def test_one_character_edits(spark):
     assert len(edited) > 270 and len(gone & set(edited)) >= 0.99 * len(edited)
     assert set(spaced) <= gone
     assert not gone - set(edited) - set(spaced)
+
+
+def test_members_of_long_lists_meet_by_signature(spark, monkeypatch):
+    """Every similar pair of a list is found, also where the list is cut into blocks; the others are not worth a look."""
+    monkeypatch.setattr(L, "MEMBERS", 16)
+    rng = random.Random(11)
+    lines = [line(rng, rng.choice([30, 90, 500])) for _ in range(60)]
+    lines += [x + "!" for x in lines[::3]] + [x[:-1] + "#" for x in lines[1::3]]
+    rows = [(k, x.encode()) for k, x in enumerate(lines)]
+    texts = spark.createDataFrame(rows, "id long, s binary")
+    lists = spark.createDataFrame([(5, k, len(rows), k // 2) for k in range(len(rows))], "v long, id long, df long, comp long")
+    got = {tuple(r) for r in L.meeting_pairs(lists, L.line_signatures(texts), 3, 80).collect()}
+    similar = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if similarity(lines[a], lines[b]) >= 0.8 and a // 2 != b // 2}
+    assert len(similar) >= 35 and similar <= got
+    long_ones = {k for k, x in enumerate(lines) if len(x) >= 400}
+    assert not {(a, b) for a, b in got - similar if a in long_ones and b in long_ones}
+    assert not any(a // 2 == b // 2 for a, b in got)
+
+
+def test_sets_of_many_lines_at_once():
+    rng = random.Random(12)
+    raw = [line(rng, n).encode() for n in (2, 5, 6, 300, 3000, 40, 40)] + ["é é".encode(), b" a  B "]
+    many = L.unpacked(raw * 200)
+    one = [np.unique(L.shingles(*L.code_points(*L.folded(x, np.array([0, len(x)]))))[1]) for x in raw]
+    assert len(many) == 200 * len(raw) and all((a == b).all() and len(a) == len(b) for a, b in zip(many, one * 200))
