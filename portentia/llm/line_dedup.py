@@ -10,8 +10,9 @@ shingle sets, made from the lines' texts, reaches the threshold. Classes and lin
 union-find, and of each component the first line (smallest doc_id, then hash of the text, then line number) stays.
 
 Band lists are treated as near_duplicates treats its lists: every member meets the most central one first, later only
-members of different components meet. These compare signatures, pair by pair in lists of any length (long ones in blocks),
-and only pairs whose signatures allow the threshold are compared by their sets; none is dropped. A pair at exactly
+members of different components meet. These compare, pair by pair in lists of any length (long ones in blocks), the smallest
+hashes of PLACES ranges, and where those allow the threshold the full sets, which are made on the spot from the lines; none
+is dropped, and only links that join components leave the task. A pair at exactly
 80 percent is missed by all bands with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, under 0.001, if its bins are filled;
 borrowed bins of short lines raise that to below 0.01. Closer pairs are missed far less often.
 
@@ -32,15 +33,17 @@ from pyspark.sql import functions as F
 
 from portentia.llm import arrays as A
 from portentia.llm.common import components, partitions
-from portentia.llm.near_duplicates import same_sets, several_components, star_pairs, text_hash, with_components
+from portentia.llm.near_duplicates import same_sets, several_components, shared_count, star_pairs, text_hash, with_components
 from portentia.runtime import stage
 
 SHINGLE = 5
 BAND_ROWS, BANDS = 5, 18
 BINS = BAND_ROWS * BANDS
 BLOCK = 8 << 20
-#: Members of a list that meet in one block, rows of lists in a task, and pairs compared at a time.
-MEMBERS, PART_ROWS, MET = 1024, 1 << 15, 1 << 13
+#: Members of a list that meet in one block, rows of lists and bytes of their lines in a task, and pairs compared at a time.
+MEMBERS, PART_ROWS, PART_BYTES, MET = 1024, 1 << 13, 8 << 20, 1 << 13
+#: Ranges of hashes of which members of a list show the smallest.
+PLACES = 256
 U64 = np.uint64
 #: Where an empty bin looks for a value, attempt by attempt; the last attempts walk all bins.
 BORROW = np.concatenate(
@@ -261,46 +264,58 @@ def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
 
 
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """A byte of the smallest hash in each of PLACES ranges, for every set; 0 where a range is empty."""
+    out = np.zeros((len(sets), PLACES), dtype=np.uint8)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    hashes = np.concatenate([np.zeros(0, U64), *sets])
+    place = ((hashes >> U64(32)) * U64(PLACES) >> U64(32)).astype(np.int64)
+    first = np.ones(len(hashes), dtype=bool)  # sets are sorted, so of each range the smallest comes first
+    first[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1])
+    out[of[first], place[first]] = hashes[first] % U64(255) + U64(1)
+    return out
+
+
 def line_signatures(texts: DataFrame) -> DataFrame:
-    """(id, filled, s): 16 bits of each signature value of the lines (id, s), and how many values are different."""
+    """(id, n, m, s): the lines (id, s), how many shingles they have and a byte for each of PLACES ranges of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.zeros((0, BINS), dtype=U64)]
-            for raw, offs in in_slices(batch.column("s").to_pylist()):
-                line, hashes = shingles(*code_points(*folded(raw, offs)))
-                made.append(signatures(line, hashes, len(offs) - 1))
-            values = np.concatenate(made)
-            ordered = np.sort(values, axis=1)
-            filled = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1)
-            low = values.astype("<u2")
+            sets = unpacked(batch.column("s").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(filled, pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())],
-                names=["id", "filled", "s"],
+                [
+                    batch.column("id"), pa.array([len(x) for x in sets], pa.int32()),
+                    pa.array([x.tobytes() for x in minima(sets)], pa.binary()), batch.column("s"),
+                ],
+                names=["id", "n", "m", "s"],
             )
 
-    return texts.mapInArrow(run, "id long, filled int, s binary")
+    return texts.mapInArrow(run, "id long, n int, m binary, s binary")
 
 
-def least_agreement(filled: np.ndarray, percent: int) -> np.ndarray:
-    """Agreeing signature values that a pair at the threshold has all but surely: six standard deviations below the mean,
-    where borrowed values count as copies (they lower the number of independent values by a quarter at most)."""
+def may_reach(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Do the smallest hashes of two rows agree as often as those of a pair at the threshold all but surely do (six standard
+    deviations below the mean, over the ranges that one of them fills)?"""
     t = percent / 100
-    return BINS * (t - 6 * (t * (1 - t) * 1.25 / filled) ** 0.5)
-
-
-def agreeing(table: pa.Table, percent: int) -> pa.Table:
-    """The pairs (a, b) of different components that meet in a list and whose signatures allow the threshold."""
-    columns = ("v", "lower", "upper", "block", "id", "comp", "filled")
-    v, lower, upper, block, id_, comp, filled = (table.column(c).to_numpy() for c in columns)
-    order = np.lexsort((upper, lower, v))
-    v, lower, upper, block, id_, comp, filled = (x[order] for x in (v, lower, upper, block, id_, comp, filled))
-    packed = table.column("s").to_pylist()
-    value = np.frombuffer(b"".join(packed[k] for k in order.tolist()), "<u2").reshape(-1, BINS)
+    filled = ((a | b) > 0).sum(axis=1)
+    return ((a == b) & (a > 0)).sum(axis=1) >= filled * t - 6 * (filled * t * (1 - t)) ** 0.5
+
+
+def joining(table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) that join the components of members that meet in lists: every pair of a list is compared unless links
+    found before have joined its components already, so there are fewer links than members."""
+    columns = ("v", "lower", "upper", "block", "id", "comp", "n")
+    v, lower, upper, block, id_, comp, n = (table.column(c).to_numpy() for c in columns)
+    order = np.lexsort((id_, upper, lower, v))
+    v, lower, upper, block, id_, comp, n = (x[order] for x in (v, lower, upper, block, id_, comp, n))
+    comp = np.unique(comp, return_inverse=True)[1]
+    packed, text = table.column("m").to_pylist(), table.column("s")
+    value = np.frombuffer(b"".join(packed[k] for k in order.tolist()), np.uint8).reshape(-1, PLACES)
     new = np.ones(len(v) + 1, dtype=bool)
     new[1:-1] = (v[1:] != v[:-1]) | (lower[1:] != lower[:-1]) | (upper[1:] != upper[:-1])
     edges = np.flatnonzero(new)
     end = np.repeat(edges[1:], np.diff(edges))
+    sets: dict[int, np.ndarray] = {}  # by id, of the lines whose smallest hashes allow a link
     found = []
     at = np.arange(len(v))
     step = 0
@@ -310,27 +325,36 @@ def agreeing(table: pa.Table, percent: int) -> pa.Table:
         for k in range(0, len(at), MET):
             i = at[k : k + MET]
             j = i + step
-            apart = (comp[i] != comp[j]) & ((lower[i] == upper[i]) | (block[i] != block[j]))
-            i, j = i[apart], j[apart]
-            same = (value[i] == value[j]).sum(axis=1) >= least_agreement(np.minimum(filled[i], filled[j]), percent)
-            found.append(np.stack([np.minimum(id_[i], id_[j])[same], np.maximum(id_[i], id_[j])[same]]))
-    pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
-    return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            fits = (comp[i] != comp[j]) & ((lower[i] == upper[i]) | (block[i] != block[j]))
+            fits &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            fits = may_reach(value[i], value[j], percent)
+            i, j = i[fits], j[fits]
+            wanted = {int(id_[x]): int(order[x]) for x in np.unique(np.concatenate([i, j])).tolist() if int(id_[x]) not in sets}
+            sets |= zip(wanted, unpacked([text[x].as_py() for x in wanted.values()]))
+            for x, y in zip(i.tolist(), j.tolist()):
+                if comp[x] != comp[y]:
+                    one, other = sets[int(id_[x])], sets[int(id_[y])]
+                    shared = shared_count(one, other)
+                    if shared and 100 * shared >= percent * (len(one) + len(other) - shared):
+                        found.append((min(id_[x], id_[y]), max(id_[x], id_[y])))
+                        comp[comp == comp[y]] = comp[x]
+    return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def meeting_pairs(lists: DataFrame, sketched: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of lists (v, id, df, comp) in different components, by their signatures (id, filled, s).
+    """Similar pairs (a, b) of members of lists (v, id, df, comp) that join their components, by `line_signatures`.
 
-    Every pair of a list is compared. Members of a list of more than MEMBERS are dealt to blocks by hash, and each block
-    meets every other; a meeting holds two blocks at most.
+    Members of a list of more than MEMBERS are dealt to blocks by hash, and each block meets every other; a meeting holds
+    two blocks at most, and a part the meetings of some lists.
     """
     blocks = F.ceil(F.col("df") / MEMBERS).cast("int")
     placed = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"lower": F.least("block", "other"), "upper": F.greatest("block", "other")}).join(sketched, "id")
     met = met.withColumn("part", F.pmod(F.xxhash64("v", "lower", "upper"), F.lit(parts)))
-    groups = met.select("part", "v", "lower", "upper", "block", "id", "comp", "filled", "s").groupBy("part")
-    return groups.applyInArrow(lambda table: agreeing(table, percent), "a long, b long").distinct()
+    groups = met.select("part", "v", "lower", "upper", "block", "id", "comp", "n", "m", "s").groupBy("part")
+    return groups.applyInArrow(lambda table: joining(table, percent), "a long, b long").distinct()
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -348,12 +372,13 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     apart = stage(several_components(with_components(met.where("df > 2"), found)), "apart")
     sketched = stage(line_signatures(texts.join(apart.select("id").distinct(), "id", "left_semi")), "signatures")
     rows = apart.agg(F.sum(F.ceil(F.col("df") / MEMBERS))).first()[0] or 0
-    more = meeting_pairs(apart, sketched, max(parts, rows // PART_ROWS + 1), percent)
-    more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    joined = stage(same_sets(more, texts, percent, unpacked), "links")
-    if not joined.isEmpty():
-        found = stage(components(links.union(joined)), "components")
+    size = sketched.agg(F.avg(F.octet_length("s"))).first()[0] or 0
+    joined = stage(meeting_pairs(apart, sketched, max(parts, rows // PART_ROWS + 1, int(rows * size) // PART_BYTES + 1), percent), "links")
     grouped = with_components(classes, found)
+    if not joined.isEmpty():
+        sides = [with_components(joined.select("a", "b", F.col(c).alias("id")), found).select("a", "b", F.col("comp").alias(f"c{c}")) for c in "ab"]
+        over = stage(components(sides[0].join(sides[1], ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "components")
+        grouped = grouped.join(over, F.col("comp") == over["node"], "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
     kept = grouped.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     gone = seen.join(grouped.select(F.col("id").alias("h"), "comp").join(kept, "comp").select("h", "kept"), "h")
     gone = gone.where(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("kept")))

@@ -97,3 +97,26 @@ def test_sets_of_many_lines_at_once():
     many = L.unpacked(raw * 200)
     one = [np.unique(L.shingles(*L.code_points(*L.folded(x, np.array([0, len(x)]))))[1]) for x in raw]
     assert len(many) == 200 * len(raw) and all((a == b).all() and len(a) == len(b) for a, b in zip(many, one * 200))
+
+
+def test_members_that_only_resemble_each_other_give_no_rows(spark):
+    """Of a list only links that join components leave the task: no pair below the threshold, fewer links than members."""
+    rng = random.Random(13)
+    base = line(rng, 400)
+    alike = []
+    for _ in range(40):  # each keeps about 85 percent of the base, so two of them share 70 percent or so
+        at = rng.randrange(300)
+        alike.append(base[:at] + line(rng, 70) + base[at + 70 :])
+    family = [base + "!" * k for k in range(1, 21)]
+    lines = alike + family
+    texts = spark.createDataFrame([(k, x.encode()) for k, x in enumerate(lines)], "id long, s binary")
+    lists = spark.createDataFrame([(5, k, len(lines), k) for k in range(len(lines))], "v long, id long, df long, comp long")
+    got = [tuple(r) for r in L.meeting_pairs(lists, L.line_signatures(texts), 3, 80).collect()]
+    assert got and all(similarity(lines[a], lines[b]) >= 0.8 for a, b in got)
+    assert len(got) < len(lines)
+    root = list(range(len(lines)))
+    for a, b in got:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(set(root[40:])) == 1
+    similar = [(a, b) for a in range(len(lines)) for b in range(a) if similarity(lines[a], lines[b]) >= 0.8]
+    assert all(root[a] == root[b] for a, b in similar)
