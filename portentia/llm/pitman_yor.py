@@ -34,6 +34,8 @@ DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 10.0
 SWEEPS, SAMPLES = 3, 2
 BLOCK, BLOCK_DOCS, PART_BYTES = 8 << 20, 1 << 16, 2 << 20
+#: Bytes of parts that go to Python at a time: a part is one row, and Spark's default of 64 MB would be some twenty of them.
+BATCH_BYTES = 4 << 20
 U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)
 OTHER = 0.1  # added to every count of the base score
@@ -316,6 +318,7 @@ def perplexity(scores: DataFrame) -> DataFrame:
 
 def language_model(docs: DataFrame, held_out, seed: int = 1) -> tuple[DataFrame, Model]:
     """Scores of all documents (doc_id, text) by a model trained on those for which the `held_out` column is false."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     flagged = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     cell = F.struct("block", "payload", "ids", "held", "tokens")
     dealt = deal(flagged, partitions(docs, PART_BYTES)).groupBy("part").agg(F.collect_list(cell).alias("cells"))

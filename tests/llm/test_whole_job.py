@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from portentia.llm import html_text, line_dedup
 from portentia.llm import sanitise as S
@@ -72,8 +73,7 @@ def test_text_beside_the_article_is_kept():
 def test_added_tokens_are_taken_as_the_library_takes_them():
     """With the library's defaults, also inside words and in capitals."""
     import numpy as np
-    import public_tokenizers
-    from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
     from portentia.llm.token_files import WordIds
 
@@ -98,3 +98,21 @@ def test_many_empty_texts_keep_their_own_scores(spark):
         blocks = list(_blocks(batch.slice(k, size) for k in range(0, n, size)))
         assert [i for ids, *_ in blocks for i in ids] == list(range(n))
         assert all(len(ids) <= BLOCK_DOCS and doc.tolist() == list(range(len(ids))) for ids, _, _, doc, *_ in blocks)
+
+
+def test_parts_of_the_word_model_go_to_python_a_few_at_a_time(spark):
+    """A batch of Arrow holds BATCH_BYTES of parts, not Spark's default of 64 MB."""
+    import pyarrow as pa
+
+    from portentia.llm import pitman_yor as P
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    docs = spark.createDataFrame([(k, "a b c") for k in range(20)], "doc_id long, text string")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    scores, _ = P.language_model(docs, F.col("doc_id") % 10 == 0)
+    assert scores.count() == 20
+    rows = spark.range(0, 24, 1, 1).select(F.expr("cast(repeat('abcdefgh', 131072) as binary) as b"))
+    assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= P.BATCH_BYTES + (2 << 20)
