@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame
 from portentia.llm import arrays as A
 from portentia.llm.token_cache import WordCache
 
-#: States and token pairs kept before the transducer starts afresh (about 150 MB).
-STATES = 400_000
+#: States and token pairs kept before the transducer starts afresh (about 260 MB).
+STATES = 700_000
+#: Cuts of texts, and other matches of the pattern, kept per generation.
+CUTS, PIECES = 500_000, 50_000
 #: States with at least so many pending bytes are compared by their continuations.
 MERGED_FROM = 3
 #: Marks that the pattern keeps apart from the letters before them.
@@ -189,29 +191,33 @@ class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.words = WordCache(self._word)
+        self.words = WordCache(self._word, CUTS)
+        self.pieces = WordCache(self._piece, PIECES)
 
     def release(self) -> None:
-        """Forget states and words, which may take 200 MB; a worker process outlives its tasks."""
+        """Forget states and words, which may take 400 MB; a worker process outlives its tasks."""
         self.transducer.reset()
-        self.words.clear()
-        self.words.old = {}
+        for cache in (self.words, self.pieces):
+            cache.clear()
+            cache.old = {}
 
     def _word(self, word: str) -> bytes:
         """A cut of a text. The common forms, letters with or without one mark at the end, need no pattern."""
         body = word[1:] if word[0] == " " else word
         if body.isalpha():
-            return array("I", self.transducer.encode(word.encode())).tobytes()
+            return self._piece(word)
         if body[-1:] in MARKS and body[:-1].isalpha():
             return self.words[word[:-1]] + self.words[word[-1]]
         return self._pieces(word)
 
+    def _piece(self, piece: str) -> bytes:
+        return array("I", self.transducer.encode(piece.encode())).tobytes()
+
     def _pieces(self, text: str) -> bytes:
-        encode = self.transducer.encode
-        ids = array("I")
-        for piece in self.pattern.findall(text):
-            ids.extend(encode(piece.encode()))
-        return ids.tobytes()
+        """Every match of the pattern by itself; letters, with or without a space before them, are words as well."""
+        words, pieces = self.words, self.pieces
+        found = self.pattern.findall(text)
+        return b"".join([words[x] if (x[1:] if x[0] == " " else x).isalpha() else pieces[x] for x in found])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
@@ -223,9 +229,12 @@ class TextEncoder:
             return b""
         if RAGGED.search(text):
             return self._pieces(text)
-        first, *rest = text.split(" ")
-        words = self.words
-        return (words[first] if first else b"") + b"".join([words[" " + w] for w in rest])
+        if "\0" in text:
+            first, *rest = text.split(" ")
+            cuts = [first, *(" " + w for w in rest)]
+        else:
+            cuts = text.replace(" ", "\0 ").split("\0")
+        return b"".join(map(self.words.__getitem__, cuts if cuts[0] else cuts[1:]))
 
 
 #: States of the UTF-8 machine: continuation bytes still needed, and the range allowed for the next one.

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,7 +74,8 @@ def test_text_beside_the_article_is_kept():
 def test_added_tokens_are_taken_as_the_library_takes_them():
     """With the library's defaults, also inside words and in capitals."""
     import numpy as np
-        from tokenizers import Tokenizer
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     from portentia.llm.token_files import WordIds
 
@@ -116,3 +118,18 @@ def test_parts_of_the_word_model_go_to_python_a_few_at_a_time(spark):
     assert scores.count() == 20
     rows = spark.range(0, 24, 1, 1).select(F.expr("cast(repeat('abcdefgh', 131072) as binary) as b"))
     assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= P.BATCH_BYTES + (2 << 20)
+
+
+def test_pieces_of_a_cut_are_kept():
+    """Letters in a cut with other marks are the word met before; of the rest every piece goes through the transducer once."""
+    from portentia.llm import byte_bpe as B
+
+    coder = B.TextEncoder(B.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    text = "Zaunkönigin zaunkönigin&&& x\0y zaunkönigin$$$12\n\nab zaunkönigin"
+    whole = coder._pieces(text)
+    asked: list[bytes] = []
+    encode = coder.transducer.encode
+    coder.transducer.encode = lambda piece: asked.append(piece) or encode(piece)
+    assert coder.encode(text) == whole
+    assert coder.encode(" zaunkönigin###### zaunkönigin&&&$$$") == coder._pieces(" zaunkönigin###### zaunkönigin&&&$$$")
+    assert " zaunkönigin".encode() not in asked and len(asked) == len(set(asked))
