@@ -18,9 +18,11 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,8 @@ MAGIC = b"DAC1"
 SEGMENTS = "shard int, seq int, first_token long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, codes binary"
 #: White space that is not one of the six ASCII characters, and separators that some libraries count as such.
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u3000\\ufeff]")
-COMMON = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Letters and the marks after them; not apostrophes, which may belong to an ending.
+COMMON = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|<>()\"-]*)")
 #: Words kept per generation and worker (about 120 MB).
 WORDS = 600_000
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint32)
@@ -137,18 +140,11 @@ class WordIds:
             out += [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian ids of every text. Texts with unusual spaces or added tokens go to the tokenizer whole.
-
-        Common words (Latin letters, perhaps a mark at the end) share the ids of their lower-case stem, as the
-        tokenizer lower-cases and cuts marks off; other words are encoded as they are.
-        """
-        odd = [k for k, t in enumerate(texts) if ODD_SPACE.search(t) or self.special.search(t)]
-        whole = dict(zip(odd, self._batch([texts[k] for k in odd])))
-        split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        missing = set().union(*split).difference(self.words) if split else set()
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of different words. Common ones (Latin letters, perhaps marks at the end) share the ids of their lower-case
+        stem, as the tokenizer lower-cases and cuts marks off; other words are encoded as they are."""
         parts, wanted, plain = {}, set(), set()
-        for word in missing:
+        for word in filterfalse(self.words.__contains__, words):
             found = self.old.get(word)
             if found is not None:
                 self.words[word] = found
@@ -162,13 +158,29 @@ class WordIds:
         new = [w for w in wanted if w not in self.words and w not in self.old]
         letters, others = [w for w in new if w in plain], [w for w in new if w not in plain]
         stems = dict(zip(letters, self._stems(letters))) | dict(zip(others, self._batch(others)))
-        stems[""] = b""
         for w in wanted.difference(new):
             stems[w] = self.words.get(w) or self.old[w]
-        self.words.update((w, i) for w, i in stems.items() if w)
+        self.words.update(stems)
+        stems[""] = b""
         self.words.update((word, stems[stem] + stems[mark]) for word, (stem, mark) in parts.items())
-        get = self.words.__getitem__
-        out = [whole[k] if k in whole else b"".join(map(get, words)) for k, words in enumerate(split)]
+        return list(map(self.words.__getitem__, words))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed little-endian ids of every text. Texts with unusual spaces or added tokens go to the tokenizer whole;
+        of the others every different word is looked up once, and the ids are put together for all texts at a time."""
+        odd = [k for k, t in enumerate(texts) if ODD_SPACE.search(t) or self.special.search(t)]
+        whole = dict(zip(odd, self._batch([texts[k] for k in odd])))
+        split = pc.ascii_split_whitespace(pa.array(["" if k in whole else t for k, t in enumerate(texts)], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        found = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        word = words.indices.to_numpy()
+        n = size[word]
+        end = np.cumsum(n)
+        place = np.repeat((np.cumsum(size) - size)[word] - end + n, n) + np.arange(n.sum())
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[place]
+        edges = np.append(0, end)[split.offsets.to_numpy()].tolist()
+        out = [whole[k] if k in whole else ids[a:b].tobytes() for k, (a, b) in enumerate(zip(edges, edges[1:]))]
         if len(self.words) > WORDS:
             self.words, self.old = {}, {w: i for w, i in self.words.items() if len(w) <= 64}
         return out

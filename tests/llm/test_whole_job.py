@@ -133,3 +133,19 @@ def test_pieces_of_a_cut_are_kept():
     assert coder.encode(text) == whole
     assert coder.encode(" zaunkönigin###### zaunkönigin&&&$$$") == coder._pieces(" zaunkönigin###### zaunkönigin&&&$$$")
     assert " zaunkönigin".encode() not in asked and len(asked) == len(set(asked))
+
+
+def test_marks_after_letters_cost_no_new_encoding():
+    """The letters of a known word are not encoded again because other marks follow them, and ids stay the tokenizer's."""
+    from portentia.llm import token_files as T
+
+    coder = T.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" haus  b\tc\n", "", " ", "Haus$$$ haus!!! l'été's don't DON'T#$ (x) a-b, <b> É*** ab1$$ $$ab  x", "a<|endoftext|>b", "it's's--'s ab'-' x$'s"]
+    plain = coder._batch(texts)
+    assert coder.encode(texts) == plain and coder.encode(texts[::-1]) == plain[::-1]
+    asked: list[str] = []
+    batch = coder._batch
+    coder._batch = lambda words: asked.extend(words) or batch(words)
+    again = ["haus### Haus&&& haus%%%.", "HAUS||"]
+    assert coder.encode(again) == batch(again)
+    assert not any(c.isalpha() for word in asked for c in word)
