@@ -33,9 +33,9 @@ CONTEXTS = 1 << 16
 DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 10.0
 SWEEPS, SAMPLES = 3, 2
-BLOCK, BLOCK_DOCS, PART_BYTES = 8 << 20, 1 << 16, 2 << 20
-#: Bytes of parts that go to Python at a time: a part is one row, and Spark's default of 64 MB would be some twenty of them.
-BATCH_BYTES = 4 << 20
+BLOCK, BLOCK_DOCS, PART_BYTES = 4 << 20, 1 << 16, 2 << 20
+#: Bytes of parts that go to Python at a time: a part is one row, and Spark's default of 64 MB would be some twenty of them; one goes alone.
+BATCH_BYTES = 1 << 20
 U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)
 OTHER = 0.1  # added to every count of the base score
