@@ -29,14 +29,17 @@ from pyspark.sql import DataFrame
 from portentia.llm import arrays as A
 from portentia.llm.token_cache import WordCache
 
-#: States and token pairs kept before the transducer starts afresh (about 260 MB).
-STATES = 700_000
-#: Cuts of texts, and other matches of the pattern, kept per generation.
-CUTS, PIECES = 500_000, 50_000
+#: States and quarters of token pairs that the transducer keeps for good (about 250 MB), and transitions and quarters of
+#: pairs made after them before these are forgotten (about 40 MB).
+STATES, FRESH = 300_000, 40_000
+#: Cuts of texts, and other matches of the pattern, kept per generation (there are two, about 70 MB).
+CUTS, PIECES = 200_000, 10_000
 #: States with at least so many pending bytes are compared by their continuations.
 MERGED_FROM = 3
 #: Marks that the pattern keeps apart from the letters before them.
 MARKS = frozenset(".,;:!?")
+#: The transitions of states that have none yet; never filled.
+NONE_YET: dict = {}
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 #: A space that follows white space: where a text may not simply be cut before spaces.
 RAGGED = regex.compile(r"[\s\x1c-\x1f] ")
@@ -55,7 +58,7 @@ class State:
 
     def __init__(self, emitted: int, pending: bytes, paths: list):
         self.emitted, self.pending, self.paths = emitted, pending, paths
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
+        self.next: dict[int, tuple[State, tuple[int, ...]]] = NONE_YET
         self.tail: tuple[int, ...] = paths[-1][1]
 
 
@@ -77,10 +80,25 @@ class Transducer:
     def reset(self) -> None:
         for state in getattr(self, "states", {}).values():
             state.next.clear()  # states point at each other; without this only the cycle collector would free them
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.states: dict[tuple[int, bytes], State] = {}
+        self.kept: tuple[int, int] | None = None  # how many states and pairs stay
+        self.fresh: list[tuple[State, int]] = []  # state and byte of the transitions made since
         self.start = self._state(-1, b"", [((), ())])
 
+    def _bound(self) -> None:
+        """The states met first stay, as they are the common ones; what is made after them is forgotten from time to time."""
+        if self.kept is None:
+            if len(self.states) + len(self.pairs) // 4 > STATES:
+                self.kept = len(self.states), len(self.pairs)
+        elif len(self.fresh) + (len(self.pairs) - self.kept[1]) // 4 > FRESH:
+            for state, byte in self.fresh:
+                state.next.pop(byte, None)
+            self.fresh = []
+            for table, size in zip((self.states, self.pairs), self.kept):
+                while len(table) > size:
+                    table.popitem()  # the last one put in
+
     def _state(self, emitted: int, pending: bytes, paths: list) -> State:
         """States that no continuation can tell apart are one: what came before matters only through the tokens that
         begin with the pending bytes and may not follow it."""
@@ -116,7 +134,7 @@ class Transducer:
         """
         if left < 0:
             return True
-        pair = (left, right)
+        pair = left << 32 | right
         found = self.pairs.get(pair)
         if found is None:
             found, before = True, 1 << 60
@@ -164,7 +182,11 @@ class Transducer:
                 emitted, pending = out[-1], pending[cut:]
                 paths = [p and (tuple(b - cut for b in p[0][agreed:]), p[1][agreed:]) for p in paths[cut:]]
         step = self._state(emitted, pending, paths), out
+        if state.next is NONE_YET:
+            state.next = {}
         state.next[byte] = step
+        if self.kept is not None:
+            self.fresh.append((state, byte))
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -172,12 +194,11 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) + len(self.pairs) // 4 > STATES:
-            self.reset()
         state, ids = self.start, []
         for byte in piece:
             step = state.next.get(byte)
             if step is None:
+                self._bound()
                 step = self._step(state, byte)
             state, out = step
             if out:
@@ -195,7 +216,7 @@ class TextEncoder:
         self.pieces = WordCache(self._piece, PIECES)
 
     def release(self) -> None:
-        """Forget states and words, which may take 400 MB; a worker process outlives its tasks."""
+        """Forget states and words, which may take 350 MB; a worker process outlives its tasks."""
         self.transducer.reset()
         for cache in (self.words, self.pieces):
             cache.clear()

@@ -149,3 +149,34 @@ def test_marks_after_letters_cost_no_new_encoding():
     again = ["haus### Haus&&& haus%%%.", "HAUS||"]
     assert coder.encode(again) == batch(again)
     assert not any(c.isalpha() for word in asked for c in word)
+
+
+def test_states_and_words_of_bpe_fit_a_worker(monkeypatch):
+    """What a worker keeps takes less than 450 MB at its limits; ids stay the same when states are forgotten."""
+    import random
+    import tracemalloc
+
+    from portentia.llm import byte_bpe as B
+
+    ranks = B.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(5)
+    parts = ["ein", "haus", "ly", "tra", "ße", "ung", "qu", "xo", "ber", "É", "ati", "on", "9", "ght"]
+    words = [" " + "".join(rng.choices(parts, k=rng.randrange(2, 5))) for _ in range(4000)]
+    coder = B.TextEncoder(ranks, public_tokenizers.PATTERN)
+    machine = coder.transducer
+    tracemalloc.start()
+    whole = [machine.encode(w.encode()) for w in words]
+    states = tracemalloc.get_traced_memory()[0] / (len(machine.states) + len(machine.pairs) / 4)
+    before = tracemalloc.get_traced_memory()[0]
+    for w in words:
+        coder.encode(w)
+    word = (tracemalloc.get_traced_memory()[0] - before) / len(coder.words)
+    tracemalloc.stop()
+    assert states * (B.STATES + getattr(B, "FRESH", 0)) + 2 * word * (B.CUTS + B.PIECES) < 450e6
+    monkeypatch.setattr(B, "STATES", 1500)
+    monkeypatch.setattr(B, "FRESH", 300)
+    machine.reset()
+    assert [machine.encode(w.encode()) for w in words] == whole
+    kept = list(machine.states)[:500]
+    assert len(machine.states) < 2000 and [machine.encode(w.encode()) for w in words] == whole
+    assert list(machine.states)[:500] == kept
