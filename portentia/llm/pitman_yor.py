@@ -36,6 +36,8 @@ SWEEPS, SAMPLES = 3, 2
 BLOCK, BLOCK_DOCS, PART_BYTES = 4 << 20, 1 << 16, 2 << 20
 #: Bytes of parts that go to Python at a time: a part is one row, and Spark's default of 64 MB would be some twenty of them; one goes alone.
 BATCH_BYTES = 1 << 20
+#: Bytes of scores of documents that a task adds up over its parts before it hands them on.
+HELD_BYTES = 20 << 20
 U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)
 OTHER = 0.1  # added to every count of the base score
@@ -108,6 +110,10 @@ def deal(docs: DataFrame, parts: int) -> DataFrame:
         for ids, words, context, doc, held_out, tokens in _blocks(batches):
             block = (task << 24) + seq
             seq += 1
+            rank = np.argsort(held_out, kind="stable")  # training documents come first, so that flags compress
+            number = np.empty(len(rank), dtype=np.uint16)
+            number[rank] = np.arange(len(rank))
+            doc, ids, held_out, tokens = number[doc], [ids[k] for k in rank.tolist()], held_out[rank], tokens[rank]
             part = (A.mix(words) % U64(parts)).astype(np.int64)
             order = np.lexsort((context, words, part))
             words, context, doc, part = words[order], context[order], doc[order], part[order]
@@ -137,27 +143,38 @@ def deal(docs: DataFrame, parts: int) -> DataFrame:
 
 
 class Part:
-    """The tokens of one part: distinct words, and for every token its word, context, block and document."""
+    """The tokens of one part: distinct words, distinct pairs of word and context, and for every block its pairs, how often
+    each occurs there, and the documents in that order. Tokens are never put together: a frequent word has many."""
 
     def __init__(self, blocks: list[int], payloads: list[bytes]):
-        self.blocks, words, counts, contexts, docs, train = blocks, [], [], [], [], []
-        self.sizes = []
+        self.blocks, self.cells = blocks, []
+        words, numbers, contexts, customers, base = [], [], [], [], 0
         for payload in payloads:
             v, n, f = np.frombuffer(payload, "<u4", 3).tolist()
             at = 12
             words.append(np.frombuffer(payload, "<u8", v, at))
-            counts.append(np.frombuffer(payload, "<u4", v, at := at + 8 * v))
-            contexts.append(np.frombuffer(payload, "<u2", n, at := at + 4 * v))
-            docs.append(np.frombuffer(payload, "<u2", n, at := at + 2 * n))
+            counts = np.frombuffer(payload, "<u4", v, at := at + 8 * v)
+            context = np.frombuffer(payload, "<u2", n, at := at + 4 * v)
+            docs = np.frombuffer(payload, "<u2", n, at := at + 2 * n)
             flags = np.unpackbits(np.frombuffer(payload, np.uint8, f, at + 2 * n))
-            train.append(flags[docs[-1]] == 0)
-            self.sizes.append(n)
+            word = np.repeat(np.arange(base, base + v, dtype=np.uint32), counts)
+            base += v
+            new = np.ones(n + 1, dtype=bool)
+            new[1:-1] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
+            first = np.flatnonzero(new)
+            numbers.append(word[first[:-1]])
+            contexts.append(context[first[:-1]])
+            customers.append(np.add.reduceat(flags[docs] == 0, first[:-1], dtype=np.uint32))
+            self.cells.append((np.diff(first).astype(np.uint32), docs))
         self.words, number = np.unique(np.concatenate(words), return_inverse=True)
-        self.word = np.repeat(number, np.concatenate(counts)).astype(np.uint64)
-        key = self.word << U64(16) | np.concatenate(contexts)
-        self.docs, train = np.concatenate(docs), np.concatenate(train)
-        self.pairs, self.pair = np.unique(key, return_inverse=True)  # distinct (word, context)
-        self.customers = np.bincount(self.pair[train], minlength=len(self.pairs))
+        key = number.astype(np.uint64)[np.concatenate(numbers)]
+        key <<= U64(16)
+        key |= np.concatenate(contexts)
+        edges = np.cumsum([len(c) for c in contexts])[:-1]
+        del words, number, numbers, contexts
+        self.pairs, place = np.unique(key, return_inverse=True)  # distinct (word, context)
+        self.places = np.split(place.astype(np.uint32), edges)
+        self.customers = np.bincount(place, weights=np.concatenate(customers), minlength=len(self.pairs)).astype(np.int64)
         self.pair_word, self.context = (self.pairs >> U64(16)).astype(np.int64), (self.pairs & U64(0xFFFF)).astype(np.int64)
         self.word_count = np.bincount(self.pair_word, weights=self.customers, minlength=len(self.words)).astype(np.int64)
 
@@ -269,24 +286,42 @@ SCORES = "block long, payload binary, ids array<bigint>, held array<boolean>, to
 def score(blocks: DataFrame, parts: DataFrame, model: Model, seed: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score, score of every document."""
 
+    def added(held: dict[int, list[tuple[np.ndarray, list[np.ndarray]]]]) -> pa.RecordBatch:
+        """A row for each block: its documents that occur in the parts read, and their sums."""
+        rows = []
+        for entries in held.values():
+            seen, sums = entries[0]
+            if len(entries) > 1:
+                docs = np.concatenate([e[0] for e in entries])
+                size = int(docs.max()) + 1
+                seen = np.flatnonzero(np.bincount(docs, minlength=size))
+                sums = [np.bincount(docs, weights=np.concatenate([e[1][k] for e in entries]), minlength=size)[seen] for k in range(3)]
+            rows.append(np.array([len(seen)], "<u4").tobytes() + seen.astype("<u2").tobytes() + b"".join(
+                x.astype(t).tobytes() for x, t in zip(sums, ("<f8", "<f8", "<u4"))))
+        none = pa.nulls(len(rows), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int64()), pa.array(rows, pa.binary()), none, pa.nulls(len(rows), pa.list_(pa.bool_())), none],
+            names=["block", "payload", "ids", "held", "tokens"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, list[np.ndarray]]]] = {}
+        total = 0
         for number, part in _read(batches):
             logs, base = model.score(part, number, seed)
             known = (part.word_count > 0)[part.pair_word]
-            at, rows = 0, []
-            for n in part.sizes:
-                pair, docs = part.pair[at : at + n], part.docs[at : at + n]
-                at += n
+            for block, (counts, docs), place in zip(part.blocks, part.cells, part.places):
+                pair = np.repeat(place, counts)
                 size = int(docs.max()) + 1
                 seen = np.flatnonzero(np.bincount(docs, minlength=size))
                 sums = [np.bincount(docs, weights=x[pair], minlength=size)[seen] for x in (logs, base, known)]
-                rows.append(np.array([len(seen)], "<u4").tobytes() + seen.astype("<u2").tobytes() + b"".join(
-                    x.astype(t).tobytes() for x, t in zip(sums, ("<f8", "<f8", "<u4"))))
-            none = pa.nulls(len(rows), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.blocks, pa.int64()), pa.array(rows, pa.binary()), none, pa.nulls(len(rows), pa.list_(pa.bool_())), none],
-                names=["block", "payload", "ids", "held", "tokens"],
-            )
+                held.setdefault(block, []).append((seen.astype(np.uint16), [*sums[:2], sums[2].astype(np.uint32)]))
+                total += 22 * len(seen)
+            if total >= HELD_BYTES:
+                yield added(held)
+                held, total = {}, 0
+        if held:
+            yield added(held)
 
     def add(table: pa.Table) -> pa.Table:
         head = next(k for k in range(table.num_rows) if table.column("ids")[k].is_valid)

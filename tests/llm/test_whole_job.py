@@ -180,3 +180,49 @@ def test_states_and_words_of_bpe_fit_a_worker(monkeypatch):
     kept = list(machine.states)[:500]
     assert len(machine.states) < 2000 and [machine.encode(w.encode()) for w in words] == whole
     assert list(machine.states)[:500] == kept
+
+
+def test_a_frequent_word_takes_little_memory():
+    """A part with one very frequent word needs a few bytes a token (its payload apart), and keeps its counts."""
+    import tracemalloc
+
+    import numpy as np
+
+    from portentia.llm import pitman_yor as P
+
+    rng = np.random.default_rng(3)
+    n, payloads = 30_000, []
+    for _ in range(30):
+        context, docs = np.sort(rng.integers(0, 400, n).astype("<u2")), rng.integers(0, 2000, n).astype("<u2")
+        head = np.array([1, n, 250], "<u4").tobytes() + np.array([7], "<u8").tobytes() + np.array([n], "<u4").tobytes()
+        payloads.append(head + context.tobytes() + docs.tobytes() + bytes(125) + b"\xff" * 125)
+    tracemalloc.start()
+    part = P.Part(list(range(30)), payloads)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * 30 * n
+    docs = [np.frombuffer(p, "<u2", n, 24 + 2 * n) for p in payloads]
+    assert int(part.customers.sum()) == sum(int((d < 1000).sum()) for d in docs)
+    assert all(counts.sum() == n and (d == own).all() for (counts, own), d in zip(part.cells, docs))
+
+
+def test_scores_are_added_up_before_they_leave_a_task(spark):
+    """A block's document gets one row of sums from a task, however many parts the task reads."""
+    from portentia.llm import pitman_yor as P
+
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.expr("concat('a b c ', id, ' d e ', id % 7)").alias("text"))
+    flagged = docs.withColumn("held_out", F.col("doc_id") % 10 == 0)
+    dealt = P.deal(flagged, 8).groupBy("part").agg(F.collect_list(F.struct("block", "payload", "ids", "held", "tokens")).alias("cells"))
+    dealt = dealt.coalesce(1).cache()
+    parts = dealt.where("part >= 0").select("part", F.transform("cells", lambda c: F.struct(c["block"].alias("block"), c["payload"].alias("payload"))).alias("cells"))
+    blocks = dealt.where("part < 0").select(F.explode("cells").alias("c")).select("c.*")
+    assert parts.count() > 4
+    rows = []
+    union = type(blocks).unionByName
+    try:
+        type(blocks).unionByName = lambda self, other: rows.append(self.where("payload is not null").count()) or union(self, other)
+        scores = P.score(blocks, parts, P.train(parts)).collect()
+    finally:
+        type(blocks).unionByName = union
+    assert rows == [1]
+    assert sorted((r.doc_id, r.held_out, r.n_tokens) for r in scores) == [(k, k % 10 == 0, 8) for k in range(40)]
