@@ -39,8 +39,10 @@ SEGMENTS = "shard int, seq int, first_token long, n_tokens long, doc_ids array<b
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u3000\\ufeff]")
 #: Letters and the marks after them; not apostrophes, which may belong to an ending.
 COMMON = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|<>()\"-]*)")
-#: Words kept per generation and worker (about 120 MB).
-WORDS = 600_000
+#: Words that a worker keeps for good, all met in two batches, and those met once before they are forgotten (together about 170 MB).
+WORDS, FRESH = 500_000, 300_000
+#: Bytes of text encoded at a time; of the words in it every different one is looked up once.
+GATHERED = 3 << 20
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint32)
 
 
@@ -112,7 +114,8 @@ class Codes:
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space: words are encoded once and kept in a bounded cache."""
+    """Ids of texts by a tokenizer that drops white space: words are encoded once and kept in a bounded cache. Words
+    met again in a later batch stay in it, the others are forgotten from time to time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -123,7 +126,7 @@ class WordIds:
         #: Text that the tokenizer takes for one of its added tokens, even inside a word.
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)", re.IGNORECASE)
         self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -144,26 +147,41 @@ class WordIds:
         """Ids of different words. Common ones (Latin letters, perhaps marks at the end) share the ids of their lower-case
         stem, as the tokenizer lower-cases and cuts marks off; other words are encoded as they are."""
         parts, wanted, plain = {}, set(), set()
-        for word in filterfalse(self.words.__contains__, words):
-            found = self.old.get(word)
-            if found is not None:
-                self.words[word] = found
+        found = list(map(self.words.get, words))
+        kept, fresh = self.words, self.fresh
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            word = words[k]
+            ids = fresh.get(word)
+            if ids is not None:
+                found[k] = ids
+                if len(kept) < WORDS:
+                    kept[word] = ids
                 continue
             common = COMMON.fullmatch(word)
-            parts[word] = (common[1].lower(), common[2]) if common else (word, "")
-            wanted.update(parts[word])
             if common:
-                plain.add(parts[word][0])
+                stem = common[1].lower()
+                parts[k] = stem, common[2]
+                plain.add(stem)
+                wanted.add(common[2])
+            else:
+                parts[k] = word, ""
+                wanted.add(word)
+        wanted |= plain
         wanted.discard("")
-        new = [w for w in wanted if w not in self.words and w not in self.old]
+        stems = {w: kept.get(w) or fresh.get(w) for w in wanted}
+        new = [w for w, ids in stems.items() if ids is None]
         letters, others = [w for w in new if w in plain], [w for w in new if w not in plain]
-        stems = dict(zip(letters, self._stems(letters))) | dict(zip(others, self._batch(others)))
-        for w in wanted.difference(new):
-            stems[w] = self.words.get(w) or self.old[w]
-        self.words.update(stems)
+        stems.update(zip(letters, self._stems(letters)))
+        stems.update(zip(others, self._batch(others)))
+        fresh.update((w, stems[w]) for w in new if len(w) <= 64)
         stems[""] = b""
-        self.words.update((word, stems[stem] + stems[mark]) for word, (stem, mark) in parts.items())
-        return list(map(self.words.__getitem__, words))
+        for k, (stem, mark) in parts.items():
+            found[k] = ids = stems[stem] + stems[mark]
+            if len(words[k]) <= 64:
+                fresh[words[k]] = ids
+        if len(fresh) > FRESH:
+            self.fresh = {}
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian ids of every text. Texts with unusual spaces or added tokens go to the tokenizer whole;
@@ -180,15 +198,25 @@ class WordIds:
         place = np.repeat((np.cumsum(size) - size)[word] - end + n, n) + np.arange(n.sum())
         ids = np.frombuffer(b"".join(found), dtype="<u4")[place]
         edges = np.append(0, end)[split.offsets.to_numpy()].tolist()
-        out = [whole[k] if k in whole else ids[a:b].tobytes() for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-        if len(self.words) > WORDS:
-            self.words, self.old = {}, {w: i for w, i in self.words.items() if len(w) <= 64}
-        return out
+        return [whole[k] if k in whole else ids[a:b].tobytes() for k, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
 _made: dict[str, WordIds] = {}
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about GATHERED bytes or more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) -> None:
     """Encode `docs` (doc_id, text) and write the dataset. One shuffle, by ranges of doc_id; no second pass."""
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -210,8 +238,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
                 names=["shard", "seq", "first_token", "n_tokens", "doc_ids", "lengths", "codes"],
             )
 
-        for batch in batches:
-            for at, stop, _, _ in A.slices(batch.column("text"), 8 * A.SLICE_BYTES):
+        for batch in gathered(batches):
+            for at, stop, _, _ in A.slices(batch.column("text"), GATHERED):
                 part = batch.slice(at, stop - at)
                 packed = coder.encode([x or "" for x in part.column("text").to_pylist()])
                 for doc, one in zip(part.column("doc_id").to_pylist(), packed):

@@ -226,3 +226,25 @@ def test_scores_are_added_up_before_they_leave_a_task(spark):
         type(blocks).unionByName = union
     assert rows == [1]
     assert sorted((r.doc_id, r.held_out, r.n_tokens) for r in scores) == [(k, k % 10 == 0, 8) for k in range(40)]
+
+
+def test_words_met_again_outlive_those_met_once(monkeypatch):
+    """However many new words come between, a word met in two batches is not encoded again; ids stay the tokenizer's."""
+    from portentia.llm import token_files as T
+
+    monkeypatch.setattr(T, "WORDS", 50)
+    monkeypatch.setattr(T, "FRESH", 50, raising=False)
+    coder = T.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    common = "Zaunkönig ab's zaunkönig, x1y"
+    for _ in range(2):
+        assert coder.encode([common]) == coder._batch([common])
+    for k in range(6):
+        rare = [" ".join(f"r{k}z{j}q" for j in range(60)), "y" * 80]
+        assert coder.encode(rare) == coder._batch(rare)
+    assert len(coder.words) < 60
+    asked: list[str] = []
+    stems, batch = coder._stems, coder._batch
+    monkeypatch.setattr(coder, "_stems", lambda words: asked.extend(words) or stems(words))
+    monkeypatch.setattr(coder, "_batch", lambda words: asked.extend(words) or batch(words))
+    assert coder.encode([common]) == batch([common])
+    assert asked == []
