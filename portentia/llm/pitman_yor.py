@@ -7,7 +7,8 @@ predictive probabilities after the sweeps that count are averaged, and their log
 
 Words are dealt to parts by hash, with the documents and contexts they occur in; a part holds all counts of its words,
 so a sweep needs only the table totals per context (a fixed number of sums) from the other parts. Seatings are not
-stored: a part replays them from its seed, so a lost task or a later pass gets the same ones.
+stored: a part replays them from its seed, so a lost task or a later pass gets the same ones. Sweeps read only a part's
+counts, at most CONTEXTS for a word; its tokens are kept in rows of about CELL_BYTES, however frequent a word is.
 
 Cases: null and empty texts are one end token; without training texts every word is unknown; rows with equal or null
 ids are scored one by one (a null id counts as training text); texts of any length are read whole.
@@ -36,6 +37,8 @@ SWEEPS, SAMPLES = 3, 2
 BLOCK, BLOCK_DOCS, PART_BYTES = 4 << 20, 1 << 16, 2 << 20
 #: Bytes of parts that go to Python at a time: a part is one row, and Spark's default of 64 MB would be some twenty of them; one goes alone.
 BATCH_BYTES = 1 << 20
+#: Bytes of tokens of a part in one row, and rows in a file of parts: Spark reads the rows of a file together.
+CELL_BYTES, FILE_ROWS = 8 << 20, 6
 #: Bytes of scores of documents that a task adds up over its parts before it hands them on.
 HELD_BYTES = 20 << 20
 U64 = np.uint64
@@ -142,11 +145,53 @@ def deal(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
 
 
-class Part:
-    """The tokens of one part: distinct words, distinct pairs of word and context, and for every block its pairs, how often
-    each occurs there, and the documents in that order. Tokens are never put together: a frequent word has many."""
-
-    def __init__(self, blocks: list[int], payloads: list[bytes]):
+class Counts:
+    """Distinct words and pairs of word and context of one part, and how many training tokens each has."""
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, customers: np.ndarray):
+        self.words, self.pairs, self.customers = words, pairs, customers
+        self.pair_word, self.context = (pairs >> U64(16)).astype(np.int64), (pairs & U64(0xFFFF)).astype(np.int64)
+        self.word_count = np.bincount(self.pair_word, weights=customers, minlength=len(words)).astype(np.int64)
+
+    def places(self, other: Counts) -> np.ndarray:
+        """Where the pairs of `other`, all of them among these, are."""
+        word = np.searchsorted(self.words, other.words).astype(np.uint64)
+        return np.searchsorted(self.pairs, word[other.pair_word] << U64(16) | other.context.astype(np.uint64)).astype(np.uint32)
+
+    def plus(self, other: Counts) -> Counts:
+        words = np.union1d(self.words, other.words)
+        keys = [np.searchsorted(words, c.words).astype(np.uint64)[c.pair_word] << U64(16) | c.context.astype(np.uint64) for c in (self, other)]
+        pairs = np.union1d(*keys)
+        customers = np.zeros(len(pairs), dtype=np.int64)
+        for key, c in zip(keys, (self, other)):
+            customers[np.searchsorted(pairs, key)] += c.customers
+        return Counts(words, pairs, customers)
+
+    def packed(self) -> bytes:
+        many = np.flatnonzero(self.customers > 254)
+        head = np.array([len(self.words), len(self.pairs), len(many)], dtype="<u4").tobytes()
+        per_word = np.bincount(self.pair_word, minlength=len(self.words)).astype("<u4")
+        few = np.minimum(self.customers, 255).astype(np.uint8)
+        return head + self.words.astype("<u8").tobytes() + per_word.tobytes() + self.context.astype("<u2").tobytes() + few.tobytes() + (
+            many.astype("<u4").tobytes() + self.customers[many].astype("<i8").tobytes())
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Counts:
+        v, n, m = np.frombuffer(raw, "<u4", 3).tolist()
+        words = np.frombuffer(raw, "<u8", v, 12)
+        per_word = np.frombuffer(raw, "<u4", v, at := 12 + 8 * v)
+        context = np.frombuffer(raw, "<u2", n, at := at + 4 * v)
+        customers = np.frombuffer(raw, np.uint8, n, at := at + 2 * n).astype(np.int64)
+        many = np.frombuffer(raw, "<u4", m, at := at + n)
+        customers[many] = np.frombuffer(raw, "<i8", m, at + 4 * m)
+        return cls(words, np.repeat(np.arange(v, dtype=U64), per_word) << U64(16) | context, customers)
+
+
+class Part(Counts):
+    """The tokens of one part, or some of them and the counts of the whole part: for every block its pairs, how often each
+    occurs there, and the documents in that order. Tokens are never put together: a frequent word has many."""
+
+    def __init__(self, blocks: list[int], payloads: list[bytes], whole: Counts | None = None):
         self.blocks, self.cells = blocks, []
         words, numbers, contexts, customers, base = [], [], [], [], 0
         for payload in payloads:
@@ -166,17 +211,18 @@ class Part:
             contexts.append(context[first[:-1]])
             customers.append(np.add.reduceat(flags[docs] == 0, first[:-1], dtype=np.uint32))
             self.cells.append((np.diff(first).astype(np.uint32), docs))
-        self.words, number = np.unique(np.concatenate(words), return_inverse=True)
+        used, number = np.unique(np.concatenate(words), return_inverse=True)
         key = number.astype(np.uint64)[np.concatenate(numbers)]
         key <<= U64(16)
         key |= np.concatenate(contexts)
         edges = np.cumsum([len(c) for c in contexts])[:-1]
         del words, number, numbers, contexts
-        self.pairs, place = np.unique(key, return_inverse=True)  # distinct (word, context)
+        pairs, place = np.unique(key, return_inverse=True)  # distinct (word, context)
+        super().__init__(used, pairs, np.bincount(place, weights=np.concatenate(customers), minlength=len(pairs)).astype(np.int64))
+        if whole is not None:
+            place = whole.places(self)[place]
+            super().__init__(whole.words, whole.pairs, whole.customers)
         self.places = np.split(place.astype(np.uint32), edges)
-        self.customers = np.bincount(place, weights=np.concatenate(customers), minlength=len(self.pairs)).astype(np.int64)
-        self.pair_word, self.context = (self.pairs >> U64(16)).astype(np.int64), (self.pairs & U64(0xFFFF)).astype(np.int64)
-        self.word_count = np.bincount(self.pair_word, weights=self.customers, minlength=len(self.words)).astype(np.int64)
 
 
 @dataclass
@@ -200,7 +246,7 @@ class Model:
         new = (PARENT_STRENGTH + PARENT_DISCOUNT * total.parent_tables) / (self.vocabulary + 1)
         return (np.maximum(customers - PARENT_DISCOUNT * tables, 0) + new) / (PARENT_STRENGTH + total.parent_customers)
 
-    def replay(self, part: Part, number: int, seed: int, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def replay(self, part: Counts, number: int, seed: int, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(tables by pair, parent customers by word, parent tables by word) at the start and after each sweep."""
         tables = np.minimum(part.customers, 1)
         for s in range(sweeps + 1):
@@ -214,7 +260,7 @@ class Model:
             parent_tables = seat(customers, np.full(len(customers), known), PARENT_DISCOUNT, rng)
             yield tables, customers, parent_tables
 
-    def score(self, part: Part, number: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, part: Counts, number: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability and base score of every distinct pair."""
         total_p = np.zeros(len(part.pairs))
         samples = range(len(self.sweeps) - SAMPLES, len(self.sweeps))
@@ -229,11 +275,66 @@ class Model:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Part]]:
+    """Parts by their cells; where `pairs` has the counts of the whole part, the cells may be some of it."""
     for batch in batches:
+        whole = batch.column("pairs") if "pairs" in batch.schema.names else pa.nulls(batch.num_rows)
         for k in range(batch.num_rows):
             cells = batch.column("cells")[k].as_py()
             cells.sort(key=lambda c: c["block"])
-            yield batch.column("part")[k].as_py(), Part([c["block"] for c in cells], [c["payload"] for c in cells])
+            counts = Counts.unpacked(whole[k].as_py()) if whole[k].is_valid else None
+            yield batch.column("part")[k].as_py(), Part([c["block"] for c in cells], [c["payload"] for c in cells], counts)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Counts]]:
+    for batch in batches:
+        if "pairs" not in batch.schema.names:
+            yield from _read([batch])
+            continue
+        for number, raw in zip(batch.column("part").to_pylist(), batch.column("pairs")):
+            yield number, Counts.unpacked(raw.as_py())
+
+
+GATHERED = "part int, row int, pairs binary, cells array<struct<block:bigint,payload:binary>>, block long, ids array<bigint>, held array<boolean>, tokens array<bigint>"
+
+
+def gathered(dealt: DataFrame) -> DataFrame:
+    """The rows of `deal` by part: rows, numbered from 0, of about CELL_BYTES of its tokens (cells), of which the last has the
+    counts of the whole part (pairs); rows of documents go through."""
+    kinds = [pa.int32(), pa.binary(), pa.list_(pa.struct([("block", pa.int64()), ("payload", pa.binary())])), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+    names = ["part", "row", "pairs", "cells", "block", "ids", "held", "tokens"]
+
+    def row(number: int, at: int, pairs: bytes | None, cells: dict[int, bytes]) -> pa.RecordBatch:
+        values = [at, pairs, [{"block": b, "payload": p} for b, p in cells.items()], None, None, None, None]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([x], t) for x, t in zip(values, kinds))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, at, whole, cells, size = -1, 0, None, {}, 0
+
+        def counted() -> Counts:
+            own = Part(list(cells), list(cells.values()))
+            return own if whole is None else whole.plus(own)
+
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            documents = batch.filter(pa.array(part < 0))
+            if documents.num_rows:
+                none = [pa.nulls(documents.num_rows, t) for t in kinds[:3]]
+                yield pa.RecordBatch.from_arrays([documents.column("part"), *none, *(documents.column(c) for c in names[4:])], names=names)
+            blocks, payloads = batch.column("block").to_pylist(), batch.column("payload")
+            for k in np.flatnonzero(part >= 0).tolist():
+                if part[k] != number or size >= CELL_BYTES:
+                    if cells:
+                        whole = counted()
+                        yield row(number, at, whole.packed() if part[k] != number else None, cells)
+                    at, whole = (at + 1, whole) if part[k] == number else (0, None)
+                    cells, size = {}, 0
+                    number = int(part[k])
+                cells[blocks[k]] = payloads[k].as_py()
+                size += len(cells[blocks[k]])
+        if cells:
+            yield row(number, at, counted().packed(), cells)
+
+    return dealt.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, GATHERED)
 
 
 def _sums(parts: DataFrame, run, names: int) -> tuple[np.ndarray, list[int]]:
@@ -259,21 +360,27 @@ def _row(by_context: np.ndarray, others: list[int]) -> pa.RecordBatch:
 def train(parts: DataFrame, seed: int = 1) -> Model:
     """Counts, then sweeps; one narrow pass over the parts for each."""
     model = Model()
+    if "pairs" in parts.columns:
+        parts = parts.where("pairs is not null").select("part", "pairs")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _read(batches):
-            own = np.bincount(part.context, weights=part.customers, minlength=CONTEXTS)
-            yield _row(own, [int(part.customers.sum()), int((part.word_count > 0).sum())])
+        own, others = np.zeros(CONTEXTS), np.zeros(2, dtype=np.int64)
+        for _, part in _counts(batches):
+            own += np.bincount(part.context, weights=part.customers, minlength=CONTEXTS)
+            others += part.customers.sum(), (part.word_count > 0).sum()
+        yield _row(own, others.tolist())
 
     model.customers, (model.tokens, model.vocabulary) = _sums(parts, count, 2)
     for s in range(SWEEPS + 1):
 
         def sweep(batches: Iterator[pa.RecordBatch], s: int = s) -> Iterator[pa.RecordBatch]:
-            for number, part in _read(batches):
+            own, others = np.zeros(CONTEXTS), np.zeros(2, dtype=np.int64)
+            for number, part in _counts(batches):
                 for tables, customers, parent_tables in model.replay(part, number, seed, s):
                     pass
-                own = np.bincount(part.context, weights=tables, minlength=CONTEXTS)
-                yield _row(own, [int(customers.sum()), int(parent_tables.sum())])
+                own += np.bincount(part.context, weights=tables, minlength=CONTEXTS)
+                others += customers.sum(), parent_tables.sum()
+            yield _row(own, others.tolist())
 
         tables, (customers, parent_tables) = _sums(parts, sweep, 2)
         model.sweeps.append(Totals(tables, customers, parent_tables))
@@ -341,6 +448,10 @@ def score(blocks: DataFrame, parts: DataFrame, model: Model, seed: int = 1) -> D
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
+    if "pairs" in parts.columns:  # other rows of a part get the counts that its last row has
+        last = parts.where("pairs is not null")
+        rest = parts.where("pairs is null").drop("pairs").join(last.where("row > 0").select("part", "pairs"), "part")
+        parts = last.unionByName(rest)
     made = parts.mapInArrow(run, SCORES).unionByName(blocks)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     return made.groupBy("block").applyInArrow(add, schema)
@@ -355,10 +466,9 @@ def language_model(docs: DataFrame, held_out, seed: int = 1) -> tuple[DataFrame,
     """Scores of all documents (doc_id, text) by a model trained on those for which the `held_out` column is false."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     flagged = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    cell = F.struct("block", "payload", "ids", "held", "tokens")
-    dealt = deal(flagged, partitions(docs, PART_BYTES)).groupBy("part").agg(F.collect_list(cell).alias("cells"))
-    dealt = stage(dealt, "parts")  # a part is a bounded share of the tokens: their number grows with the input
-    parts = dealt.where("part >= 0").select("part", F.transform("cells", lambda c: F.struct(c["block"].alias("block"), c["payload"].alias("payload"))).alias("cells"))
-    blocks = dealt.where("part < 0").select(F.explode("cells").alias("c")).select("c.*")
+    dealt = gathered(deal(flagged, partitions(docs, PART_BYTES)))
+    dealt = stage(dealt, "parts", maxRecordsPerFile=FILE_ROWS)  # a part is a bounded share of the words: their number grows with the input
+    parts = dealt.where("part >= 0").select("part", "row", "pairs", "cells")
+    blocks = dealt.where("part < 0").select("block", F.lit(None).cast("binary").alias("payload"), "ids", "held", "tokens")
     model = train(parts, seed)
     return score(blocks, parts, model, seed), model

@@ -58,8 +58,8 @@ def run_dir(spark: SparkSession, name: str = "run") -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write an intermediate table and read it back.
+def stage(df: DataFrame, name: str = "stage", **options: object) -> DataFrame:
+    """Write an intermediate table (with options of Spark's writer) and read it back.
 
     Used where a result that is small next to its input (states next to flows) has several
     consumers: the input is then scanned once, later branches read only the columns they need,
@@ -67,7 +67,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = run_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -248,3 +248,20 @@ def test_words_met_again_outlive_those_met_once(monkeypatch):
     monkeypatch.setattr(coder, "_batch", lambda words: asked.extend(words) or batch(words))
     assert coder.encode([common]) == batch([common])
     assert asked == []
+
+
+def test_a_frequent_word_has_many_small_rows(spark, monkeypatch):
+    """Rows of a part stay small however often its words occur, sweeps read counts only, and scores stay the same."""
+    from portentia.llm import pitman_yor as P
+
+    docs = spark.range(0, 300, 1, 12).select(F.col("id").alias("doc_id"), F.expr("concat('a ', id % 11, ' a ', id, ' b a ', id % 7)").alias("text"))
+    want = {r.doc_id: r for r in P.language_model(docs, F.col("doc_id") % 10 == 0)[0].collect()}
+    monkeypatch.setattr(P, "CELL_BYTES", 100, raising=False)
+    rows = P.gathered(P.deal(docs.withColumn("held_out", F.col("doc_id") % 10 == 0), 4)).where("part >= 0")
+    sizes = rows.select("part", F.aggregate("cells", F.lit(0), lambda n, c: n + F.octet_length(c["payload"])).alias("n"), "pairs").collect()
+    assert len(sizes) > 40 and max(r.n for r in sizes) < 1000
+    assert sorted(r.part for r in sizes if r.pairs is not None) == [0, 1, 2, 3]
+    got = {r.doc_id: r for r in P.language_model(docs, F.col("doc_id") % 10 == 0)[0].collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert r[:4] == want[k][:4] and abs(r.score - want[k].score) < 1e-9 and abs(r.base_score - want[k].base_score) < 1e-9
