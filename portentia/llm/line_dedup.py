@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from portentia.llm import arrays as A
 from portentia.llm.common import components, partitions
@@ -139,11 +140,31 @@ def occurrences(docs: DataFrame) -> DataFrame:
     )
 
 
+def different_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, bytes]]:
+    """Different lines with a word by their hash, about BLOCK bytes of them at a time."""
+    texts: dict[int, bytes] = {}
+    size = 0
+    for batch in batches:
+        for _, _, data, offs in A.slices(batch.column("text")):
+            _, _, start, stop = A.lines(data, offs)
+            raw = data.tobytes()
+            for h, a, b in zip(A.span_hash(A.prefix_sums(data), start, stop).view(np.int64).tolist(), start.tolist(), stop.tolist()):
+                if h not in texts:
+                    texts[h] = raw[a:b]
+                    size += b - a
+            if size >= BLOCK:
+                yield texts
+                texts, size = {}, 0
+    if texts:
+        yield texts
+
+
 def banded(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, payload): band hashes and line hashes, by part of the band; lines once per block of text."""
+    """(part, payload): line hashes and band names, by part of the band; lines once per block of text. A band is named in its
+    part by 40 bits of its hash: lines that meet by chance are compared as others are."""
 
     def flush(texts: dict[int, bytes]) -> pa.RecordBatch:
-        node = np.array(list(texts), dtype=U64)
+        node = np.array(list(texts), dtype=np.int64)
         found = []
         chunk: list[bytes] = []
         size = 0
@@ -157,40 +178,27 @@ def banded(docs: DataFrame, parts: int) -> DataFrame:
                 chunk.append(raw)
                 size += len(raw)
         band = np.concatenate(found)
-        pair = np.stack([band.reshape(-1), np.repeat(node, BANDS)], axis=1)
-        part = (pair[:, 0] % U64(parts)).astype(np.int64)
+        band, node = band.reshape(-1), np.repeat(node, BANDS)
+        part = (band % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        pair, edges = pair[order], np.searchsorted(part[order], np.arange(parts + 1))
+        name, node, edges = (band[order] // U64(parts)), node[order], np.searchsorted(part[order], np.arange(parts + 1))
+        columns = node.astype("<i8"), (name & U64(0xFFFFFFFF)).astype("<u4"), (name >> U64(32) & U64(0xFF)).astype(np.uint8)
         used = np.flatnonzero(np.diff(edges))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([pair[edges[k] : edges[k + 1]].tobytes() for k in used], pa.binary())],
-            names=["part", "payload"],
-        )
+        payloads = [b"".join(c[edges[k] : edges[k + 1]].tobytes() for c in columns) for k in used]
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(payloads, pa.binary())], names=["part", "payload"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, bytes] = {}
-        size = 0
-        for batch in batches:
-            for _, _, data, offs in A.slices(batch.column("text")):
-                _, _, start, stop = A.lines(data, offs)
-                raw = data.tobytes()
-                for h, a, b in zip(A.span_hash(A.prefix_sums(data), start, stop).tolist(), start.tolist(), stop.tolist()):
-                    if h not in texts:
-                        texts[h] = raw[a:b]
-                        size += b - a
-                if size >= BLOCK:
-                    yield flush(texts)
-                    texts, size = {}, 0
-        if texts:
-            yield flush(texts)
-
-    return docs.select("text").mapInArrow(run, "part int, payload binary")
-
-
-def meeting(table: pa.Table) -> pa.Table:
+    return docs.select("text").mapInArrow(lambda batches: map(flush, different_lines(batches)), "part int, payload binary")
+
+
+def meeting(table: pa.Table, parts: int) -> pa.Table:
     """(v, id, df) of the bands of one part in which several lines meet."""
-    pair = np.concatenate([np.frombuffer(p.as_py(), U64).reshape(-1, 2) for p in table.column("payload")])
-    band, node = pair[:, 0], pair[:, 1].view(np.int64)
+    bands, nodes = [], []
+    for payload in table.column("payload"):
+        raw = payload.as_buffer()
+        n = raw.size // 13
+        nodes.append(np.frombuffer(raw, "<i8", n))
+        bands.append(np.frombuffer(raw, np.uint8, n, 12 * n).astype(U64) << U64(32) | np.frombuffer(raw, "<u4", n, 8 * n))
+    band, node = np.concatenate(bands) * U64(parts) + U64(table.column("part")[0].as_py()), np.concatenate(nodes)
     order = np.lexsort((node, band))
     band, node = band[order], node[order]
     new = np.ones(len(band), dtype=bool)
@@ -238,30 +246,43 @@ def unpacked(raws: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, s): the bytes of the lines at `places` (id, doc_id, text_hash, line)."""
-    wanted = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "id")).alias("wanted")).toDF("d", "t", "wanted")
-    rows = docs.select("doc_id", text_hash().alias("text_hash"), "text")
-    held = rows.join(wanted, same_row(wanted, "d", "t")).select("text", "wanted")
+def line_texts(docs: DataFrame, met: DataFrame, parts: int) -> DataFrame:
+    """(id, s): the bytes of the lines whose hashes are in `met` (id), each once. Lines go to the parts of their hashes in
+    compressed pieces, one a part for BLOCK bytes of text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = [], []
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                split = (text or "").split("\n")
-                for one in wanted:
-                    if one["line"] < len(split):
-                        ids.append(one["id"])
-                        texts.append(split[one["line"]].encode())
-            hashes = [
-                A.span_hash(A.prefix_sums(np.frombuffer(raw, np.uint8)), offs[:-1], offs[1:]).view(np.int64)
-                for raw, offs in in_slices(texts)
-            ]
-            mine = np.concatenate([np.zeros(0, np.int64), *hashes]) == np.array(ids, dtype=np.int64)  # not of another text with the same hash
-            made = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["id", "s"])
-            yield made.filter(pa.array(mine))
-
-    return held.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
+    def flush(texts: dict[int, bytes]) -> pa.RecordBatch:
+        h, raws = np.array(list(texts), dtype="<i8"), list(texts.values())
+        part = h % parts
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        used, payloads = np.flatnonzero(np.diff(edges)), []
+        for k in used.tolist():
+            own = order[edges[k] : edges[k + 1]]
+            mine = [raws[x] for x in own.tolist()]
+            raw = h[own].tobytes() + np.array([len(x) for x in mine], dtype="<u4").tobytes() + b"".join(mine)
+            payloads.append(np.array([len(raw), len(own)], dtype="<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(payloads, pa.binary())], names=["part", "payload"])
+
+    def pick(lines: pa.Table, met: pa.Table) -> pa.Table:
+        wanted = np.unique(met.column("id").to_numpy())
+        open_, ids, texts = np.ones(len(wanted), dtype=bool), [], []
+        for payload in lines.column("payload") if len(wanted) else ():
+            data = payload.as_buffer()
+            size, n = np.frombuffer(data, "<i8", 2).tolist()
+            raw = pa.decompress(data.slice(16), size, "zstd")
+            h, length = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n)
+            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+            new = (wanted[at] == h) & open_[at]
+            open_[at[new]] = False
+            ends = np.cumsum(np.append(0, length)).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), raw.slice(12 * n)])
+            ids.append(h[new])
+            texts.append(held.filter(pa.array(new)))
+        return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *ids])), pa.chunked_array(texts, pa.binary())], names=["id", "s"])
+
+    pieces = docs.select("text").mapInArrow(lambda batches: map(flush, different_lines(batches)), "part int, payload binary")
+    places = met.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), "id")
+    return pieces.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(pick, "id long, s binary")
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -277,20 +298,16 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def line_signatures(texts: DataFrame) -> DataFrame:
-    """(id, n, m, s): the lines (id, s), how many shingles they have and a byte for each of PLACES ranges of hashes."""
+    """The lines (id, s, ...) with n and m: how many shingles they have and a byte for each of PLACES ranges of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = unpacked(batch.column("s").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), pa.array([len(x) for x in sets], pa.int32()),
-                    pa.array([x.tobytes() for x in minima(sets)], pa.binary()), batch.column("s"),
-                ],
-                names=["id", "n", "m", "s"],
-            )
+            _, first, of = np.unique(batch.column("id").to_numpy(), return_index=True, return_inverse=True)
+            sets = unpacked(batch.column("s").take(pa.array(first)).to_pylist())
+            n, m = pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in minima(sets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n.take(pa.array(of)), m.take(pa.array(of))], names=[*batch.schema.names, "n", "m"])
 
-    return texts.mapInArrow(run, "id long, n int, m binary, s binary")
+    return texts.mapInArrow(run, T.StructType([*texts.schema, T.StructField("n", T.IntegerType()), T.StructField("m", T.BinaryType())]))
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -342,8 +359,9 @@ def joining(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def meeting_pairs(lists: DataFrame, sketched: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Similar pairs (a, b) of members of lists (v, id, df, comp) that join their components, by `line_signatures`.
+def meeting_pairs(lists: DataFrame, texts: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Similar pairs (a, b) of members of lists (v, id, df, comp) that join their components, by their lines (id, s) or
+    the `line_signatures` of these; those of a member are made where its lists meet its line, which then lie together.
 
     Members of a list of more than MEMBERS are dealt to blocks by hash, and each block meets every other; a meeting holds
     two blocks at most, and a part the meetings of some lists.
@@ -351,29 +369,30 @@ def meeting_pairs(lists: DataFrame, sketched: DataFrame, parts: int, percent: in
     blocks = F.ceil(F.col("df") / MEMBERS).cast("int")
     placed = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumns({"lower": F.least("block", "other"), "upper": F.greatest("block", "other")}).join(sketched, "id")
+    met = met.withColumns({"lower": F.least("block", "other"), "upper": F.greatest("block", "other")})
     met = met.withColumn("part", F.pmod(F.xxhash64("v", "lower", "upper"), F.lit(parts)))
+    met = met.select("part", "v", "lower", "upper", "block", "id", "comp").join(texts, "id")
+    met = met if "m" in texts.columns else line_signatures(met)
     groups = met.select("part", "v", "lower", "upper", "block", "id", "comp", "n", "m", "s").groupBy("part")
     return groups.applyInArrow(lambda table: joining(table, percent), "a long, b long").distinct()
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash and removed (array of line numbers from 0): the lines that are not the first of their component."""
+def worded_and_gone(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The lines with a word, as `occurrences` gives them, and what `duplicate_lines` gives."""
     seen = stage(occurrences(docs), "lines")
     first = F.min(F.struct("doc_id", "text_hash", "line")).alias("first")
     classes = stage(seen.groupBy(F.col("h").alias("id")).agg(first, F.count("*").alias("n")), "classes")
     parts = partitions(docs)
-    met = stage(banded(docs, parts).groupBy("part").applyInArrow(meeting, "v long, id long, df long"), "met")
-    places = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "first.*")
-    texts = stage(line_texts(docs, places), "line_texts")
+    met = stage(banded(docs, parts).groupBy("part").applyInArrow(lambda table: meeting(table, parts), "v long, id long, df long"), "met")
+    texts = stage(line_texts(docs, met, parts), "line_texts", compression="zstd")
     pairs = stage(star_pairs(met), "pairs")
     links = stage(same_sets(pairs, texts, percent, unpacked), "links")
     found = stage(components(links), "components")
     apart = stage(several_components(with_components(met.where("df > 2"), found)), "apart")
-    sketched = stage(line_signatures(texts.join(apart.select("id").distinct(), "id", "left_semi")), "signatures")
-    rows = apart.agg(F.sum(F.ceil(F.col("df") / MEMBERS))).first()[0] or 0
-    size = sketched.agg(F.avg(F.octet_length("s"))).first()[0] or 0
-    joined = stage(meeting_pairs(apart, sketched, max(parts, rows // PART_ROWS + 1, int(rows * size) // PART_BYTES + 1), percent), "links")
+    blocks = F.ceil(F.col("df") / MEMBERS)
+    sizes = texts.select("id", F.octet_length("s").alias("size"))
+    rows, size = apart.join(sizes, "id").agg(F.coalesce(F.sum(blocks), F.lit(0)), F.coalesce(F.sum(blocks * F.col("size")), F.lit(0))).first()
+    joined = stage(meeting_pairs(apart, texts, max(parts, rows // PART_ROWS + 1, size // PART_BYTES + 1), percent), "links")
     grouped = with_components(classes, found)
     if not joined.isEmpty():
         sides = [with_components(joined.select("a", "b", F.col(c).alias("id")), found).select("a", "b", F.col("comp").alias(f"c{c}")) for c in "ab"]
@@ -382,7 +401,16 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = grouped.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     gone = seen.join(grouped.select(F.col("id").alias("h"), "comp").join(kept, "comp").select("h", "kept"), "h")
     gone = gone.where(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("kept")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return seen, line_numbers(gone)
+
+
+def line_numbers(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+
+
+def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash and removed (array of line numbers from 0): the lines that are not the first of their component."""
+    return worded_and_gone(docs, percent)[1]
 
 
 def _lines() -> Column:
@@ -395,19 +423,18 @@ def _worded(text: Column) -> Column:
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_lines, n_removed and removed of every row of (doc_id, text)."""
-    gone = duplicate_lines(docs, percent).toDF("d", "t", "removed")
+    seen, gone = worded_and_gone(docs, percent)
+    gone = gone.toDF("d", "t", "removed")
     rows = docs.select("doc_id", text_hash().alias("text_hash"), F.size(_lines()).cast("long").alias("n_lines"))
     rows = stage(rows.groupBy("doc_id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.count("*").alias("n")), "rows")
     none = F.array().cast("array<int>")
     first = rows.join(gone, same_row(gone, "d", "t"), "left").select("doc_id", "n_lines", F.coalesce("removed", none).alias("removed"))
     # of equal rows all but one lose every line with a word
     again = rows.where("n > 1").toDF("d", "t", "n_lines", "n")
-    worded = F.filter(F.transform(_lines(), lambda line, k: F.when(_worded(line), k)), lambda k: k.isNotNull())
-    keyed = docs.select("doc_id", text_hash().alias("text_hash"), "text")
-    copied = keyed.join(again, same_row(again, "d", "t"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    copied = copied.select("doc_id", "text_hash", worded.alias("removed"))
-    more = copied.join(again, same_row(again, "d", "t")).select(
-        "doc_id", "n_lines", "removed", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))).alias("copy")
+    worded = line_numbers(seen.join(again, same_row(again, "d", "t"), "left_semi"))
+    copied = again.join(worded, same_row(again, "d", "t"), "left").withColumn("doc_id", F.col("d"))
+    more = copied.select(
+        "doc_id", "n_lines", F.coalesce("removed", none).alias("removed"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))).alias("copy")
     )
     return first.unionByName(more.drop("copy")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 

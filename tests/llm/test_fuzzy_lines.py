@@ -120,3 +120,16 @@ def test_members_that_only_resemble_each_other_give_no_rows(spark):
     assert len(set(root[40:])) == 1
     similar = [(a, b) for a in range(len(lines)) for b in range(a) if similarity(lines[a], lines[b]) >= 0.8]
     assert all(root[a] == root[b] for a, b in similar)
+
+
+def test_lines_are_shipped_once_and_small(spark):
+    """Bands take 13 bytes an entry, lines travel compressed and come once, and documents are not dealt out by their texts."""
+    rng = random.Random(14)
+    lines = [line(rng, 200) for _ in range(400)]
+    docs = spark.createDataFrame([(k, "\n".join(lines[k % 50 * 8 :][:8])) for k in range(100)], "doc_id long, text string").repartition(3).cache()
+    sizes = L.banded(docs.where("doc_id < 50").coalesce(1), 4).selectExpr("octet_length(payload) AS n").collect()
+    assert sum(r.n for r in sizes) == 13 * 400 * L.BANDS
+    met = L.occurrences(docs).where("line % 2 = 0").selectExpr("h AS id")
+    got = L.line_texts(docs, met, 4)
+    assert sorted(bytes(r.s) for r in got.collect()) == sorted(x.encode() for k, x in enumerate(lines) if k % 2 == 0)
+    assert [r.n_removed for r in L.removed_lines(docs.unionByName(docs)).orderBy("doc_id").collect()].count(0) == 50
